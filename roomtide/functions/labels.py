@@ -19,12 +19,17 @@ _LIGATURES = (("œ", "oe"), ("Œ", "OE"), ("æ", "ae"), ("Æ", "AE"), ("ß", "ss
 
 def round_from_all_digits(label: Column) -> Column:
     """Round number from every digit of the label: "Tour 1 - phase 2" is 12."""
-    return F.regexp_replace(label, "[^0-9]", "").try_cast("double")
+    return _digits_to_number(F.regexp_replace(label, "[^0-9]", ""))
 
 
 def round_from_first_digits(label: Column) -> Column:
     """Round number from the first run of digits: "Tour 1 - phase 2" is 1."""
-    return F.regexp_extract(label, "([0-9]+)", 1).try_cast("double")
+    return _digits_to_number(F.regexp_extract(label, "([0-9]+)", 1))
+
+
+def _digits_to_number(digits: Column) -> Column:
+    """Text of digits to double, null if empty. Whole numbers parse much faster than doubles."""
+    return F.coalesce(digits.try_cast("bigint").cast("double"), digits.try_cast("double"))
 
 
 def _by_class(x: Column, answers: list) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _INF = float("inf")
-_NAN = float("nan")
 
 # Beyond this size a double has no decimals worth rounding, and floor() would leave the bigint range.
 _ROUND_LIMIT = 1e13
@@ -15,13 +14,8 @@ _ROUND_LIMIT = 1e13
 def ratio(a: Column, b: Column) -> Column:
     """a / b in floating point: x/0 is +-Infinity, 0/0 is NaN, null if either side is null."""
     a, b = a.cast("double"), b.cast("double")
-    return (
-        F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
-        .when(b != 0, F.try_divide(a, b))
-        .when(F.isnan(a) | (a == 0), F.lit(_NAN))
-        .when(a > 0, F.lit(_INF))
-        .otherwise(F.lit(-_INF))
-    )
+    # try_divide is null only for a missing side or a zero divisor; a * (0 + Infinity) settles the latter.
+    return F.coalesce(F.try_divide(a, b), a * (b + F.lit(_INF)))
 
 
 def round_to(x: Column, digits: int) -> Column:
@@ -31,15 +25,14 @@ def round_to(x: Column, digits: int) -> Column:
     how an engine scales doubles. NaN, infinities and very large values pass unchanged.
     """
     scale = F.lit(float(10**digits))
-    down = F.floor(x * scale).cast("double")
-    low, high = down / scale, F.ceil(x * scale).cast("double") / scale
-    return (
-        F.when(x.isNull() | F.isnan(x) | (F.abs(x) >= _ROUND_LIMIT), x)
-        .when(x - low < high - x, low)
-        .when(x - low > high - x, high)
-        .when(down % 2 == 0, low)
-        .otherwise(high)
-    )
+
+    def neighbour(whole: Column, sign: int) -> Column:
+        value = whole.cast("double") / scale
+        distance = x - value if sign < 0 else value - x
+        return F.struct(distance.alias("distance"), F.pmod(whole, F.lit(2)).alias("odd"), value.alias("value"))
+
+    nearest = F.least(neighbour(F.floor(x * scale), -1), neighbour(F.ceil(x * scale), 1))
+    return F.when(F.abs(x) < _ROUND_LIMIT, nearest["value"]).otherwise(x)
 
 
 def percent(a: Column, b: Column) -> Column:

@@ -131,20 +131,23 @@ def demand_summary(
     Each applicant is first folded to their highest round under each rule. Counting applicants per
     (rule, round) then leaves few rows, from which `max_by` picks each rule's last round.
     """
-    counted = all_present(needed_for_demand(group))
-    all_digits = round_from_all_digits(F.col("round_label"))
-    first_digits = round_from_first_digits(F.col("round_label"))
     needed = ["applicant_id"] + (["residence"] if "residence" in group else [])
-    per_applicant = (
-        require(df, needed)
-        .groupBy(*group, "applicant_id")
-        .agg(
-            F.max(F.when(counted, 0.0)).alias("applicants"),
-            F.max(F.when(counted, all_digits)).alias("applicants_last_round"),
-            F.max(F.when(counted & is_eligible(excluded), all_digits)).alias("eligible_last_round"),
-            F.max(first_digits).alias("applicants_last_round_any"),
-            F.max(F.when(counted & F.col("offered_total").isNotNull(), 0.0)).alias("reportable_applicants"),
-        )
+    # Each label is parsed once per rule, below the aggregation.
+    rows = require(df, needed).select(
+        *group,
+        "applicant_id",
+        all_present(needed_for_demand(group)).alias("counted"),
+        is_eligible(excluded).alias("eligible"),
+        F.col("offered_total").isNotNull().alias("has_places"),
+        round_from_all_digits(F.col("round_label")).alias("round_all"),
+        round_from_first_digits(F.col("round_label")).alias("round_first"),
+    )
+    per_applicant = rows.groupBy(*group, "applicant_id").agg(
+        F.max(F.expr("if(counted, 0D, null)")).alias("applicants"),
+        F.max(F.expr("if(counted, round_all, null)")).alias("applicants_last_round"),
+        F.max(F.expr("if(counted AND eligible, round_all, null)")).alias("eligible_last_round"),
+        F.max("round_first").alias("applicants_last_round_any"),
+        F.max(F.expr("if(counted AND has_places, 0D, null)")).alias("reportable_applicants"),
     )
     rules = [
         "applicants",

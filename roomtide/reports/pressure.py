@@ -16,18 +16,31 @@ from roomtide.functions import adjusted_pressure, percent, raw_pressure
 from roomtide.operators.demand import balance_demand, demand_summary
 from roomtide.operators.joins import left_join_null_safe, star
 from roomtide.operators.places import leftover, place_summary, round_places
-from roomtide.operators.selection import in_period, sector_chosen
+from roomtide.operators.selection import in_period, in_sectors, require, sector_chosen
 from roomtide.operators.shares import concentration
 from roomtide.schema import NOT_ELIGIBLE, SECTOR
 
 
 def _indicators(
-    df: DataFrame, group: Sequence[str], order_cols: Sequence[str], excluded: Sequence[str]
+    df: DataFrame,
+    group: Sequence[str],
+    order_cols: Sequence[str],
+    excluded: Sequence[str],
+    sectors: Sequence[str] | None,
 ) -> DataFrame:
-    """One row per group with applicants and every measure; the base of `pressure` and `report`."""
-    demand = demand_summary(df, group, excluded).filter(F.col("applicants").isNotNull())
-    places = place_summary(df, group, order_cols)
-    joined = star(concentration(demand), [places, leftover(df, group)], group)
+    """One row per group with applicants and every measure; the base of `pressure` and `report`.
+
+    Applicants are needed of every sector, for the shares, and twice: per group and per period. Both
+    uses read the same shuffle, as long as no filter is pushed into one of them only. Hence groups
+    are made complete first, and sectors are chosen by a condition that also needs the joined total.
+    """
+    rows = require(df, group)
+    demand = demand_summary(rows, group, excluded)
+    shared = concentration(demand.filter(F.col("applicants").isNotNull()))
+    if sectors is not None:
+        shared = shared.filter(F.when(F.col("concentration_pct").isNotNull(), sector_chosen(sectors)))
+        rows = in_sectors(rows, sectors)
+    joined = star(shared, [place_summary(rows, group, order_cols), leftover(rows, group)], group)
     offered = F.col("offered")
     return joined.withColumn("pressure_raw", raw_pressure(F.col("applicants"), offered)).withColumn(
         "pressure_adjusted", adjusted_pressure(F.col("eligible_last_round"), offered, F.col("leftover"))
@@ -40,14 +53,16 @@ def pressure(
     order_cols: Sequence[str] = (),
     excluded: Sequence[str] = NOT_ELIGIBLE,
     period: str | None = None,
+    sectors: Sequence[str] | None = None,
 ) -> DataFrame:
     """Demand, places, pressure and concentration of every sector or residence.
 
-    Concentration is relative to the whole period, so choose sectors from the result, not before.
+    Concentration is relative to the whole period: choose sectors with `sectors` or from the result,
+    not before.
     """
     located = [] if "residence" in group else ["latitude", "longitude"]
     rows = df if period is None else in_period(df, period)
-    return _indicators(rows, group, order_cols, excluded).select(
+    return _indicators(rows, group, order_cols, excluded, sectors).select(
         *group,
         "applicants",
         "capacity_total",
@@ -116,8 +131,8 @@ def report(
     may be chosen before aggregating: concentration needs every sector of it.
     """
     rows = df if period is None else in_period(df, period)
-    joined = _indicators(rows, group, order_cols, excluded)
-    chosen = joined.filter(sector_chosen(sectors) & F.col("reportable_applicants").isNotNull())
+    joined = _indicators(rows, group, order_cols, excluded, sectors)
+    chosen = joined.filter(F.col("reportable_applicants").isNotNull())
     unplaced = F.col("applicants_last_round_any") - _places_of_last_round(joined.columns)
     return chosen.select(
         *group,

@@ -33,14 +33,16 @@ def yearly_demand(
     `applicants` counts each chosen sector an applicant applied in; the last-round counts are over
     all sectors, and the last round is that of the whole period.
     """
-    round_number = round_from_all_digits(F.col("round_label"))
-    per_sector = (
-        require(df, ["period", "sector", "applicant_id"])
-        .groupBy("period", "sector", "applicant_id")
-        .agg(
-            F.max(round_number).alias("applicants_last_round"),
-            F.max(F.when(is_eligible(excluded), round_number)).alias("eligible_last_round"),
-        )
+    rows = require(df, ["period", "sector", "applicant_id"]).select(
+        "period",
+        "sector",
+        "applicant_id",
+        is_eligible(excluded).alias("eligible"),
+        round_from_all_digits(F.col("round_label")).alias("round"),
+    )
+    per_sector = rows.groupBy("period", "sector", "applicant_id").agg(
+        F.max("round").alias("applicants_last_round"),
+        F.max(F.when(F.col("eligible"), F.col("round"))).alias("eligible_last_round"),
     )
     per_applicant = per_sector.groupBy("period", "applicant_id").agg(
         F.count(F.when(sector_chosen(sectors), 1)).alias("sectors"),

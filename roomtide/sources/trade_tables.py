@@ -20,8 +20,19 @@ BANDS = ("0 Bis", "1", "2", "3", "4", "5", "6", "7", "Hors Bareme")
 BAND_ORDER = ("0 Bis", "1", "2", "3", "4", "5", "6", "7", "Non-boursiers", "Hors Bareme")
 
 
+# The columns used; declared, so that reading starts no job to look at the files.
+_SCHEMAS = {
+    "lineitem": """l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint,
+        l_quantity double, l_extendedprice double""",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _unless_multiple(part: int, value: Column) -> Column:
