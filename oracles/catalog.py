@@ -289,8 +289,8 @@ register("band_distribution_selection", sql.distribution(f"period = '{ONE_PERIOD
 # --- reports ---
 
 
-def _pressure(a: DataFrame, group: list[str]) -> DataFrame:
-    return pressures.pressure(a, group, ORDER, trade.NOT_ELIGIBLE)
+def _pressure(a: DataFrame, group: list[str], period=None, sectors=None) -> DataFrame:
+    return pressures.pressure(a, group, ORDER, trade.NOT_ELIGIBLE, period, sectors)
 
 
 for _level, _group in (("sector", SECTOR), ("residence", RESIDENCE)):
@@ -330,13 +330,13 @@ register(
 )
 register("map_raw", sql.map_points("pressure_raw"))(lambda a: maps.map_points(_pressure(a, SECTOR)))
 register("map_adjusted", sql.map_points("pressure_adjusted", SOME_SECTORS))(
-    lambda a: maps.map_points(_pressure(a, SECTOR), "réajustée", SOME_SECTORS)
+    lambda a: maps.map_points(_pressure(a, SECTOR, sectors=SOME_SECTORS), "réajustée", SOME_SECTORS)
 )
 register_with_areas("area_map_points", sql.area_points())(
     lambda a, areas: maps.area_map_points(_pressure(a, SECTOR), areas)
 )
 register("top_residences", sql.top_residences(ONE_PERIOD))(
-    lambda a: maps.top_residences(_pressure(a, RESIDENCE), ONE_PERIOD)
+    lambda a: maps.top_residences(_pressure(a, RESIDENCE, ONE_PERIOD), ONE_PERIOD)
 )
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomtide.functions import parse_number
+from roomtide.operators.places import Order
 from roomtide.operators.selection import in_period, in_sectors, require
-from roomtide.schema import SECTOR
+from roomtide.schema import SECTOR, row_order
 
 
 def top_band_per_applicant(
     df: DataFrame,
-    order_cols: Sequence[str],
+    order: Order,
     sectors=None,
     period=None,
     case_sensitive: bool = False,
@@ -27,14 +28,14 @@ def top_band_per_applicant(
     rows = require(df, ["applicant_id", "scale_band", "period", "sector"])
     rows = in_period(in_sectors(rows, sectors, case_sensitive), period)
     rank = F.coalesce(-parse_number(F.col("scale_band")), F.lit(float("inf")))
-    best = F.min_by(F.struct("sector", "scale_band"), F.struct(rank.alias("rank"), *order_cols))
+    best = F.min_by(F.struct("sector", "scale_band"), F.struct(rank.alias("rank"), *row_order(order).columns))
     kept = rows.groupBy("period", "applicant_id").agg(best.alias("best"))
     return kept.select("period", "applicant_id", "best.sector", "best.scale_band")
 
 
 def band_counts(
-    df: DataFrame, order_cols: Sequence[str], sectors=None, period=None, case_sensitive: bool = False
+    df: DataFrame, order: Order, sectors=None, period=None, case_sensitive: bool = False
 ) -> DataFrame:
     """Applicants per period, sector and band, each applicant credited once per period."""
-    kept = top_band_per_applicant(df, order_cols, sectors, period, case_sensitive)
+    kept = top_band_per_applicant(df, order, sectors, period, case_sensitive)
     return kept.groupBy(*SECTOR, "scale_band").agg(F.count("*").alias("applicants"))

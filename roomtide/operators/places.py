@@ -1,57 +1,88 @@
 """Sums of residence-level facts that repeat on every application row.
 
-"First" always means first in the row order given by `order_cols`, which must be unique per row. A
-single numeric order column keeps these aggregations on the hash path; several columns are compared
-as a struct, which Spark aggregates by sorting.
+"First" always means first in the row order given by `order`, which must be unique per row: column
+names or a `RowOrder`. With a single number as order, or a `RowOrder` with a unit, these aggregations
+stay on the hash path; several columns are compared as a struct, which Spark aggregates by sorting.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomtide.operators.reshape import round_columns
 from roomtide.operators.selection import in_sectors, require
-from roomtide.schema import RESIDENCE, SECTOR
+from roomtide.schema import RESIDENCE, SECTOR, RowOrder, row_order
 
+Order = RowOrder | Sequence[str]
 
-def row_order(order_cols: Sequence[str]) -> Column:
-    """One comparable column for the row order."""
-    return F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*order_cols)
 
+def first_values(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Order,
+    firsts: Mapping[str, tuple[str, Column]],
+    sums: Mapping[str, Column] | None = None,
+    largest: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Per key: values of first rows, with sums and maxima from the same pass.
 
-def first_in_order(value: str, order: Column, where: Column) -> Column:
-    """Aggregate: `value` of the first row satisfying `where` (possibly null)."""
-    return F.min_by(value, F.when(where, order))
+    `firsts` gives, by result name, a column and the condition its row must satisfy; the value may be
+    null. The place of that row comes along as `<name>_order`, null if no row satisfies it.
+    """
+    columns, unit = row_order(order)
+    sums, largest = sums or {}, largest or {}
+    totals = [F.sum(c).alias(n) for n, c in sums.items()] + [F.max(c).alias(n) for n, c in largest.items()]
+
+    def first_of(values: Mapping[str, tuple[str, Column]], place: Mapping[str, Column]) -> list[Column]:
+        found = []
+        for name, (value, where) in values.items():
+            at = F.when(where, place[name])
+            found += [F.min_by(value, at).alias(name), F.min(at).alias(f"{name}_order")]
+        return found
+
+    if not unit or len(columns) != unit + 1:
+        place = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+        return df.groupBy(*keys).agg(*first_of(firsts, dict.fromkeys(firsts, place)), *totals)
+
+    stretch, position = columns[:unit], columns[unit]
+    per_stretch = df.groupBy(*keys, *stretch).agg(
+        *first_of(firsts, dict.fromkeys(firsts, F.col(position))), *totals
+    )
+    winners = {name: (name, F.col(f"{name}_order").isNotNull()) for name in firsts}
+    places = {name: F.struct(*stretch, f"{name}_order") for name in firsts}
+    return per_stretch.groupBy(*keys).agg(
+        *first_of(winners, places),
+        *[F.sum(n).alias(n) for n in sums],
+        *[F.max(n).alias(n) for n in largest],
+    )
 
 
-def sum_first_per(
-    df: DataFrame, group: Sequence[str], value: str, order_cols: Sequence[str], name: str
-) -> DataFrame:
+def sum_first_per(df: DataFrame, group: Sequence[str], value: str, order: Order, name: str) -> DataFrame:
     """Per group: the first present `value` of each residence, summed."""
     rows = require(df, ["sector", value, "residence", "period"])
     keys = list(dict.fromkeys([*group, "residence"]))
-    first = rows.groupBy(*keys).agg(F.min_by(value, row_order(order_cols)).alias(name))
+    first = first_values(rows, keys, order, {name: (value, F.lit(True))})
     if set(keys) == set(group):
-        return first
+        return first.select(*group, name)
     return first.groupBy(*group).agg(F.sum(name).alias(name))
 
 
-def capacity(df: DataFrame, group: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+def capacity(df: DataFrame, group: Sequence[str], order: Order) -> DataFrame:
     """Dwellings per group. At period level a residence name shared by two sectors counts once."""
-    return sum_first_per(df, group, "capacity", order_cols, "capacity_total")
+    return sum_first_per(df, group, "capacity", order, "capacity_total")
 
 
-def offered(df: DataFrame, group: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+def offered(df: DataFrame, group: Sequence[str], order: Order) -> DataFrame:
     """Offered places per group."""
-    return sum_first_per(df, group, "offered_total", order_cols, "offered")
+    return sum_first_per(df, group, "offered_total", order, "offered")
 
 
-def offered_per_period(df: DataFrame, order_cols: Sequence[str], sectors=None) -> DataFrame:
+def offered_per_period(df: DataFrame, order: Order, sectors=None) -> DataFrame:
     """Offered places per period over the residences of the chosen sectors."""
-    per_residence = offered(in_sectors(df, sectors), RESIDENCE, order_cols)
+    per_residence = offered(in_sectors(df, sectors), RESIDENCE, order)
     return per_residence.groupBy("period").agg(F.sum("offered").alias("offered"))
 
 
@@ -84,15 +115,15 @@ def leftover_per_period(
     return distinct.groupBy("period").agg(F.sum("leftover").alias("leftover"))
 
 
-def renewals(df: DataFrame, group: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+def renewals(df: DataFrame, group: Sequence[str], order: Order) -> DataFrame:
     """Confirmed renewals: those on the first row of each residence with a capacity, summed.
 
     A missing first value counts as 0 even if later rows have one.
     """
     rows = require(df, ["sector", "capacity", "period"] + (["residence"] if "residence" in group else []))
     keys = list(dict.fromkeys([*group, "residence"]))
-    first = rows.groupBy(*keys).agg(F.min_by("renewals_confirmed", row_order(order_cols)).alias("first"))
-    first = first.withColumn("renewals_confirmed", F.coalesce("first", F.lit(0.0))).drop("first")
+    first = first_values(rows, keys, order, {"first": ("renewals_confirmed", F.lit(True))})
+    first = first.withColumn("renewals_confirmed", F.coalesce("first", F.lit(0.0)))
     if set(keys) == set(group):
         return first.select(*group, "renewals_confirmed")
     return first.groupBy(*group).agg(F.sum("renewals_confirmed").alias("renewals_confirmed"))
@@ -121,22 +152,22 @@ def round_places_wide(df: DataFrame, group: Sequence[str]) -> DataFrame:
     The largest value per residence (0 if none), summed over the residences, those without a name
     included. The columns are folded before any reshaping, so no row is multiplied.
     """
-    rounds = round_columns(df)
+    rounds = places_by_round(df)
     keys = list(dict.fromkeys([*group, "residence"]))
-    per_residence = df.groupBy(*keys).agg(*most_places(rounds))
+    per_residence = df.groupBy(*keys).agg(*[F.max(c).alias(n) for n, c in rounds.items()])
     if set(keys) == set(group):
-        return per_residence.fillna(0.0, [f"places_{k}" for k in rounds])
+        return per_residence.fillna(0.0, list(rounds))
     return per_residence.groupBy(*group).agg(
-        *[F.sum(F.coalesce(f"places_{k}", F.lit(0.0))).alias(f"places_{k}") for k in rounds]
+        *[F.sum(F.coalesce(n, F.lit(0.0))).alias(n) for n in rounds]
     )
 
 
-def most_places(rounds: dict[int, list[str]]) -> list[Column]:
-    """Aggregates: the largest value of each round over all columns of that round."""
-    return [
-        F.max(F.greatest(*names) if len(names) > 1 else F.col(names[0])).alias(f"places_{k}")
-        for k, names in rounds.items()
-    ]
+def places_by_round(df: DataFrame) -> dict[str, Column]:
+    """`places_<k>` for each round k: its column, or the largest if several name the same round."""
+    return {
+        f"places_{k}": F.greatest(*names) if len(names) > 1 else F.col(names[0])
+        for k, names in round_columns(df).items()
+    }
 
 
 def round_places(df: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -147,37 +178,42 @@ def round_places(df: DataFrame, group: Sequence[str]) -> DataFrame:
     return long.select(*group, F.substring_index("name", "_", -1).cast("double").alias("round"), "places")
 
 
-def residence_facts(df: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+def residence_facts(df: DataFrame, order: Order) -> DataFrame:
     """Everything the reports need to know of a residence in a period, from one pass over the rows.
 
     One row per (period, sector, residence), null keys included: first present capacity and offered
     places, renewals on the first row with a capacity (null without one), largest places per round,
     and coordinate sums over the rows that have both coordinates.
     """
-    order = row_order(order_cols)
     has_capacity = F.col("capacity").isNotNull()
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    facts = df.groupBy(*RESIDENCE).agg(
-        first_in_order("capacity", order, has_capacity).alias("capacity"),
-        F.min(F.when(has_capacity, order)).alias("capacity_order"),
-        first_in_order("offered_total", order, F.col("offered_total").isNotNull()).alias("offered"),
-        first_in_order("renewals_confirmed", order, has_capacity).alias("first_renewals"),
-        F.sum(F.when(located, F.col("latitude"))).alias("latitude_sum"),
-        F.sum(F.when(located, F.col("longitude"))).alias("longitude_sum"),
-        F.count(F.when(located, 1)).alias("located_rows"),
-        *most_places(round_columns(df)),
+    facts = first_values(
+        df,
+        RESIDENCE,
+        order,
+        firsts={
+            "capacity": ("capacity", has_capacity),
+            "offered": ("offered_total", F.col("offered_total").isNotNull()),
+            "first_renewals": ("renewals_confirmed", has_capacity),
+        },
+        sums={
+            "latitude_sum": F.when(located, F.col("latitude")),
+            "longitude_sum": F.when(located, F.col("longitude")),
+            "located_rows": F.when(located, 1).otherwise(0),
+        },
+        largest=places_by_round(df),
     )
     renewed = F.when(F.col("capacity").isNotNull(), F.coalesce("first_renewals", F.lit(0.0)))
-    return facts.withColumn("renewals_confirmed", renewed).drop("first_renewals")
+    return facts.withColumn("renewals_confirmed", renewed)
 
 
-def place_summary(df: DataFrame, group: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+def place_summary(df: DataFrame, group: Sequence[str], order: Order) -> DataFrame:
     """All place measures of the sector or residence reports from one pass over the rows.
 
     Columns: the group, `capacity_total`, `offered`, `renewals_confirmed`, `places_<k>` and, at sector
     level, `latitude` and `longitude`. A measure is null where the single operator has no row.
     """
-    facts = residence_facts(df, order_cols)
+    facts = residence_facts(df, order)
     rounds = [c for c in facts.columns if c.startswith("places_")]
     if "residence" in group:
         return facts.filter(F.col("residence").isNotNull()).select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from roomtide.functions import band_rank, ratio, round_to
 from roomtide.operators.bands import band_counts
 from roomtide.operators.demand import sector_applicants
+from roomtide.operators.places import Order
 from roomtide.operators.reshape import pivot_bands
 from roomtide.operators.selection import positive
 from roomtide.schema import BAND_ORDER, BANDS, NON_GRANT, SECTOR, TOTAL
@@ -18,7 +19,7 @@ from roomtide.schema import BAND_ORDER, BANDS, NON_GRANT, SECTOR, TOTAL
 
 def band_table(
     df: DataFrame,
-    order_cols: Sequence[str],
+    order: Order,
     sectors: Sequence[str] | None = None,
     period: str | None = None,
     bands: Sequence[str] | None = BANDS,
@@ -31,7 +32,7 @@ def band_table(
     `non_grant` includes grant holders credited elsewhere. Sectors without any banded row are left
     out. Bands outside `bands` are summed in `band_other`; `bands=None` gives every band a column.
     """
-    counts = band_counts(df, order_cols, sectors, period, case_sensitive)
+    counts = band_counts(df, order, sectors, period, case_sensitive)
     wide = pivot_bands(counts, SECTOR, "applicants", bands)
     columns = [c for c in wide.columns if c not in SECTOR]
     totals = sector_applicants(df, sectors, period, case_sensitive)
@@ -58,7 +59,7 @@ def with_total_rows(table: DataFrame) -> DataFrame:
 
 def band_distribution(
     df: DataFrame,
-    order_cols: Sequence[str],
+    order: Order,
     sectors: Sequence[str] | None = None,
     period: str | None = None,
     band_order: Sequence[str] = BAND_ORDER,
@@ -68,7 +69,7 @@ def band_distribution(
 
     Only positive counts appear. Sectors are compared exactly here.
     """
-    counts = band_counts(df, order_cols, sectors, period, case_sensitive)
+    counts = band_counts(df, order, sectors, period, case_sensitive)
     totals = sector_applicants(df, sectors, period, case_sensitive)
     per_sector = counts.groupBy(*SECTOR).agg(F.sum("applicants").alias("in_bands"))
     without = per_sector.join(totals, SECTOR, "left").select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from roomtide.functions import adjusted_pressure, percent, raw_pressure
 from roomtide.operators.demand import balance_demand, demand_summary
 from roomtide.operators.joins import left_join_null_safe, star
-from roomtide.operators.places import leftover, place_summary, round_places
+from roomtide.operators.places import Order, leftover, place_summary, round_places
 from roomtide.operators.selection import in_period, in_sectors, require, sector_chosen
 from roomtide.operators.shares import concentration
 from roomtide.schema import NOT_ELIGIBLE, SECTOR
@@ -24,7 +24,7 @@ from roomtide.schema import NOT_ELIGIBLE, SECTOR
 def _indicators(
     df: DataFrame,
     group: Sequence[str],
-    order_cols: Sequence[str],
+    order: Order,
     excluded: Sequence[str],
     sectors: Sequence[str] | None,
 ) -> DataFrame:
@@ -40,7 +40,7 @@ def _indicators(
     if sectors is not None:
         shared = shared.filter(F.when(F.col("concentration_pct").isNotNull(), sector_chosen(sectors)))
         rows = in_sectors(rows, sectors)
-    joined = star(shared, [place_summary(rows, group, order_cols), leftover(rows, group)], group)
+    joined = star(shared, [place_summary(rows, group, order), leftover(rows, group)], group)
     offered = F.col("offered")
     return joined.withColumn("pressure_raw", raw_pressure(F.col("applicants"), offered)).withColumn(
         "pressure_adjusted", adjusted_pressure(F.col("eligible_last_round"), offered, F.col("leftover"))
@@ -50,7 +50,7 @@ def _indicators(
 def pressure(
     df: DataFrame,
     group: Sequence[str] = SECTOR,
-    order_cols: Sequence[str] = (),
+    order: Order = (),
     excluded: Sequence[str] = NOT_ELIGIBLE,
     period: str | None = None,
     sectors: Sequence[str] | None = None,
@@ -62,7 +62,7 @@ def pressure(
     """
     located = [] if "residence" in group else ["latitude", "longitude"]
     rows = df if period is None else in_period(df, period)
-    return _indicators(rows, group, order_cols, excluded, sectors).select(
+    return _indicators(rows, group, order, excluded, sectors).select(
         *group,
         "applicants",
         "capacity_total",
@@ -78,9 +78,9 @@ def pressure(
     )
 
 
-def renewal(df: DataFrame, group: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+def renewal(df: DataFrame, group: Sequence[str], order: Order) -> DataFrame:
     """Confirmed renewals, capacity and the share of capacity they fill."""
-    places = place_summary(df, group, order_cols)
+    places = place_summary(df, group, order)
     known = places.filter(
         F.col("renewals_confirmed").isNotNull() & F.col("period").isNotNull() & F.col("sector").isNotNull()
     )
@@ -120,7 +120,7 @@ def _places_of_last_round(columns: Sequence[str]) -> Column:
 def report(
     df: DataFrame,
     group: Sequence[str] = SECTOR,
-    order_cols: Sequence[str] = (),
+    order: Order = (),
     sectors: Sequence[str] | None = None,
     period: str | None = None,
     excluded: Sequence[str] = NOT_ELIGIBLE,
@@ -131,7 +131,7 @@ def report(
     may be chosen before aggregating: concentration needs every sector of it.
     """
     rows = df if period is None else in_period(df, period)
-    joined = _indicators(rows, group, order_cols, excluded, sectors)
+    joined = _indicators(rows, group, order, excluded, sectors)
     chosen = joined.filter(F.col("reportable_applicants").isNotNull())
     unplaced = F.col("applicants_last_round_any") - _places_of_last_round(joined.columns)
     return chosen.select(

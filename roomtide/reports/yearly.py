@@ -17,7 +17,7 @@ from roomtide.functions import (
 )
 from roomtide.operators.demand import count_by_rule, last_count
 from roomtide.operators.joins import star
-from roomtide.operators.places import leftover_per_period, renewals_per_period, residence_facts
+from roomtide.operators.places import Order, leftover_per_period, renewals_per_period, residence_facts
 from roomtide.operators.selection import in_sectors, is_eligible, require, sector_chosen
 from roomtide.operators.shares import yearly_growth
 from roomtide.schema import NOT_ELIGIBLE, PERIOD, RESIDENCE
@@ -59,14 +59,14 @@ def yearly_demand(
 
 
 def yearly_places(
-    df: DataFrame, order_cols: Sequence[str], sectors: Sequence[str] | None = None
+    df: DataFrame, order: Order, sectors: Sequence[str] | None = None
 ) -> DataFrame:
     """Offered places (chosen sectors) and capacity (all sectors) per period.
 
     Capacity takes the first row of each residence name in the period, whatever its sector. Periods
     without offered places in the selection are left out.
     """
-    facts = residence_facts(require(df, RESIDENCE), order_cols)
+    facts = residence_facts(require(df, RESIDENCE), order)
     per_name = facts.groupBy("period", "residence").agg(
         F.min_by("capacity", "capacity_order").alias("capacity"),
         F.sum(F.when(sector_chosen(sectors), F.col("offered"))).alias("offered"),
@@ -87,7 +87,7 @@ def _pressures() -> dict[str, Column]:
 
 def yearly_overview(
     df: DataFrame,
-    order_cols: Sequence[str],
+    order: Order,
     sectors: Sequence[str] | None = None,
     excluded: Sequence[str] = NOT_ELIGIBLE,
     select_everywhere: bool = False,
@@ -100,7 +100,7 @@ def yearly_overview(
     """
     rows = in_sectors(df, sectors) if select_everywhere else df
     joined = star(
-        yearly_places(rows, order_cols, sectors).drop("capacity_total"),
+        yearly_places(rows, order, sectors).drop("capacity_total"),
         [yearly_demand(rows, sectors, excluded), leftover_per_period(rows, sectors, leftover_per)],
         PERIOD,
     )
@@ -122,7 +122,7 @@ def yearly_overview(
 
 def yearly_table(
     df: DataFrame,
-    order_cols: Sequence[str],
+    order: Order,
     sectors: Sequence[str] | None = None,
     excluded: Sequence[str] = NOT_ELIGIBLE,
     select_everywhere: bool = False,
@@ -135,7 +135,7 @@ def yearly_table(
     """
     rows = in_sectors(df, sectors) if select_everywhere else df
     joined = star(
-        yearly_places(rows, order_cols, sectors),
+        yearly_places(rows, order, sectors),
         [
             yearly_demand(rows, sectors, excluded),
             leftover_per_period(rows, sectors, leftover_per, residence_needed=True),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import types as T
 
 PERIOD = ["period"]
@@ -29,8 +32,26 @@ REQUIRED_COLUMNS = TEXT_COLUMNS + NUMBER_COLUMNS
 # One column per round, `offered_round_1` ... `offered_round_n`, found by prefix.
 ROUND_PREFIX = "offered_round_"
 
+
+
+class RowOrder(NamedTuple):
+    """Columns that together order all rows without ties.
+
+    The first `unit` of them may name a stretch of input that is read in one go, such as a file. The
+    first row is then found per stretch by one number, and only those winners are compared in full.
+    """
+
+    columns: tuple[str, ...]
+    unit: int = 0
+
+
 # File position added by `sources.read_applications`: the order of rows as the files hold them.
-FILE_ORDER = ("source_file", "source_block", "source_row")
+FILE_ORDER = RowOrder(("source_file", "source_block", "source_row"), unit=2)
+
+
+def row_order(order: RowOrder | Sequence[str]) -> RowOrder:
+    return order if isinstance(order, RowOrder) else RowOrder(tuple(order))
+
 
 # --- fixed values: these must be spelled exactly like this for results to match ---
 

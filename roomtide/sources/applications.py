@@ -41,7 +41,7 @@ def read_applications(
     if fmt == "csv":
         reader = reader.option("header", True)
     df = reader.format(fmt).load(path)
-    file, block, row = FILE_ORDER
+    file, block, row = FILE_ORDER.columns
     position = F.col("_metadata.row_index") if fmt == "parquet" else F.monotonically_increasing_id()
     return rename_headers(
         df.select(

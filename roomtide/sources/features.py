@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 # `coordinates` is kept as JSON text, because Polygon and MultiPolygon nest it differently.
-_FEATURE = (
-    "struct<properties: struct<code: string, nom: string>, "
-    "geometry: struct<type: string, coordinates: string>>"
-)
+_PROPERTIES = "struct<code: string, nom: string>"
+_GEOMETRY = "struct<type: string, coordinates: string>"
 
 
 def read_features(spark: SparkSession, paths: str | list[str], one_per_line: bool = False) -> DataFrame:
@@ -18,16 +16,16 @@ def read_features(spark: SparkSession, paths: str | list[str], one_per_line: boo
     that come with one feature per line (`one_per_line`), which Spark splits.
     """
     if one_per_line:
-        fields = _FEATURE[len("struct<") : -1]
-        features = spark.read.schema(fields).json(paths)
+        features = spark.read.schema(f"properties {_PROPERTIES}, geometry {_GEOMETRY}").json(paths)
     else:
-        collection = spark.read.schema(f"features: array<{_FEATURE}>").option("multiLine", True).json(paths)
-        features = collection.selectExpr("inline(features)")
+        collection = f"features array<struct<properties: {_PROPERTIES}, geometry: {_GEOMETRY}>>"
+        documents = spark.read.schema(collection).option("multiLine", True).json(paths)
+        features = documents.selectExpr("inline(features)")
     return features.selectExpr(
         "properties.code AS code",
         "properties.nom AS name",
         "geometry.type AS geometry_type",
-        "geometry.coordinates AS coordinates",
+        r"translate(geometry.coordinates, ' \t\r\n', '') AS coordinates",
     )
 
 

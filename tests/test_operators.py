@@ -1,0 +1,300 @@
+import pytest
+from pyspark.sql import functions as F
+
+from roomtide.operators import bands, demand, joins, places, reshape, selection, shares
+from roomtide.schema import PERIOD, RESIDENCE, SECTOR, RowOrder
+
+ORDER = ["id"]
+A25, B25, A24 = ("2025", "A"), ("2025", "B"), ("2024", "A")
+
+
+# --- selection ---
+
+
+def test_require_keeps_nan(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, None)], "id int, x double")
+    assert [r.id for r in selection.require(df, ["x"]).collect()] == [1]
+
+
+def test_eligible(micro, make):
+    assert {r.id for r in selection.eligible(micro).collect()} == {1, 2, 3, 6, 7, 8, 9}
+    odd = make([(1, "2025", "A", "R", "S", "Tour 1", b, 1, 1, 1, 1, 1, 1) for b in ("", "hors barème", "Hors Barème")])
+    assert [r.scale_band for r in selection.eligible(odd).collect()] == ["hors barème"]
+
+
+def test_sector_selection(micro, spark):
+    ids = lambda df: {r.id for r in df.collect()}
+    assert ids(selection.in_sectors(micro, ["b"])) == {7, 8, 9}
+    assert ids(selection.in_sectors(micro, ["b"], case_sensitive=True)) == set()
+    assert ids(selection.in_sectors(micro, ["B"], case_sensitive=True)) == {7, 8, 9}
+    assert ids(selection.in_sectors(micro, [])) == set()
+    names = spark.createDataFrame([("b",)], "sector string")
+    assert ids(selection.in_sectors(micro, names)) == {7, 8, 9}
+    assert ids(selection.in_sectors(micro, names, case_sensitive=True)) == set()
+
+
+def test_no_sector_keeps_schema(micro):
+    empty = selection.in_sectors(micro, [])
+    assert empty.schema == micro.schema and empty.count() == 0
+
+
+def test_periods(micro):
+    assert [r.period for r in selection.periods(micro).collect()] == ["2025", "2024"]
+    newest = micro.filter(F.col("period") == selection.newest_period(micro))
+    assert {r.period for r in newest.collect()} == {"2025"}
+    assert selection.in_period(micro, 2024).count() == 1
+    numbers = micro.withColumn("period", F.col("period").cast("int"))
+    assert selection.in_period(numbers, "2024").count() == 1
+
+
+def test_only_existing(micro):
+    assert selection.only_existing(micro, ["sector", "missing", "period"]).columns == ["sector", "period"]
+
+
+# --- demand ---
+
+
+def test_applicants(micro, rows):
+    assert rows(demand.count_applicants(micro, SECTOR), 2) == {A25: (4,), B25: (2,), A24: (1,)}
+    assert rows(demand.count_applicants(micro, RESIDENCE), 3) == {
+        ("2025", "A", "R1"): (2,),
+        ("2025", "A", "R2"): (2,),
+        ("2025", "B", "R3"): (2,),
+        ("2024", "A", "R1"): (1,),
+    }
+    assert rows(demand.count_applicants(micro, PERIOD), 1) == {("2025",): (5,), ("2024",): (1,)}
+
+
+def test_last_round(micro, rows):
+    assert rows(demand.last_round_applicants(micro, SECTOR), 2) == {A25: (3,), B25: (1,), A24: (1,)}
+    eligible = demand.last_round_applicants(micro, SECTOR, eligible_only=True)
+    assert rows(eligible, 2) == {A25: (2,), B25: (1,)}
+    by_residence = rows(demand.last_round_applicants(micro, RESIDENCE, eligible_only=True), 3)
+    assert by_residence == {("2025", "A", "R1"): (1,), ("2025", "B", "R3"): (1,)}
+
+
+def test_last_round_of_eligible_rows_may_be_earlier(make, rows):
+    df = make(
+        [
+            (1, "2025", "A", "R1", "S1", "Tour 1", "3", 1, 1, 1, 1, 1, 1),
+            (2, "2025", "A", "R1", "S2", "Tour 2", "Hors Barème", 1, 1, 1, 1, 1, 1),
+        ]
+    )
+    assert rows(demand.last_round_applicants(df, SECTOR, True), 2) == {A25: (1,)}
+
+
+def test_last_round_rows(micro):
+    assert {r.id for r in demand.last_round_rows(micro, SECTOR).collect()} == {2, 4, 6, 7, 10}
+
+
+def test_wishes_and_reportable_groups(micro, rows):
+    assert rows(demand.wishes_per_applicant(micro, SECTOR), 2) == {A25: (3, 5), B25: (2, 2), A24: (1, 1)}
+    assert rows(demand.reportable_groups(micro, SECTOR, ["b"], "2025")) == {B25}
+
+
+def test_applicants_per_period_counts_sectors(micro, rows):
+    assert rows(demand.applicants_per_period(micro), 1) == {("2025",): (6,), ("2024",): (1,)}
+    assert rows(demand.applicants_per_period(micro, ["b"]), 1) == {("2025",): (2,)}
+
+
+def test_demand_summary_equals_single_operators(micro, rows):
+    for group in (SECTOR, RESIDENCE):
+        n = len(group)
+        summary = demand.demand_summary(micro, group)
+        for name, single in [
+            ("applicants", demand.count_applicants(micro, group)),
+            ("applicants_last_round", demand.last_round_applicants(micro, group)),
+            ("eligible_last_round", demand.last_round_applicants(micro, group, True)),
+        ]:
+            assert rows(summary.filter(F.col(name).isNotNull()).select(*group, name), n) == rows(single, n)
+        anyhow = summary.filter("last_round_any IS NOT NULL").select(
+            *group, "last_round_any", "applicants_last_round_any"
+        )
+        assert rows(anyhow) == rows(demand.balance_demand(micro, group))
+        reportable = summary.filter("reportable_applicants IS NOT NULL").select(*group)
+        assert rows(reportable) == rows(demand.reportable_groups(micro, group))
+
+
+# --- places ---
+
+
+def test_capacity_and_offered(micro, rows):
+    assert rows(places.capacity(micro, SECTOR, ORDER), 2) == {A25: (140,), B25: (80,), A24: (90,)}
+    assert rows(places.offered(micro, SECTOR, ORDER), 2) == {A25: (15,), B25: (0,), A24: (8,)}
+    assert rows(places.capacity(micro, PERIOD, ORDER), 1) == {("2025",): (220,), ("2024",): (90,)}
+    assert rows(places.offered_per_period(micro, ORDER, ["a"]), 1) == {("2025",): (15,), ("2024",): (8,)}
+
+
+def test_shared_residence_name_counts_once_per_period(make, rows):
+    df = make(
+        [
+            (2, "2025", "A", "R", "S1", "Tour 1", "3", 10, 1, 1, 1, 1, 1),
+            (1, "2025", "B", "R", "S2", "Tour 1", "3", 30, 2, 1, 1, 1, 1),
+        ]
+    )
+    assert rows(places.capacity(df, PERIOD, ORDER), 1) == {("2025",): (30,)}
+    assert rows(places.offered_per_period(df, ORDER), 1) == {("2025",): (3,)}
+
+
+def test_leftover_sums_distinct_values(micro, rows):
+    assert rows(places.leftover(micro, SECTOR), 2) == {A25: (4,), B25: (2,), A24: (1,)}
+    assert rows(places.leftover_per_period(micro), 1) == {("2025",): (10,), ("2024",): (1,)}
+    table = places.leftover_per_period(micro, None, ("period", "residence"), True)
+    assert rows(table, 1) == {("2025",): (10,), ("2024",): (1,)}
+
+
+def test_leftover_keys_differ(make, rows):
+    """A nameless residence counts in the chart only, a shared name once in the table."""
+    row = ("S1", "Tour 1", "3", 1, 1, 7, 1, 1, 1)
+    df = make(
+        [
+            (1, "2025", "A", None, *row),
+            (2, "2025", "A", "R", *row),
+            (3, "2025", "B", "R", *row),
+        ]
+    )
+    assert rows(places.leftover_per_period(df), 1) == {("2025",): (21,)}
+    table = places.leftover_per_period(df, None, ("period", "residence"), True)
+    assert rows(table, 1) == {("2025",): (7,)}
+    assert rows(places.leftover(df.filter("id = 1"), SECTOR, strict=True)) == set()
+    assert rows(places.leftover(df.filter("id = 1"), SECTOR), 2) == {A25: (7,)}
+
+
+def test_renewals(micro, rows):
+    assert rows(places.renewals(micro, SECTOR, ORDER), 2) == {A25: (50,), B25: (30,), A24: (45,)}
+    assert rows(places.renewals(micro, RESIDENCE, ORDER), 3)[("2025", "A", "R2")] == (0,)
+    assert rows(places.renewals_per_period(micro), 1) == {("2025",): (100,), ("2024",): (45,)}
+
+
+def test_first_row_depends_on_order_only(micro, rows):
+    wanted = rows(places.place_summary(micro, SECTOR, ORDER))
+    shuffled = micro.repartition(3, F.rand(7)).sortWithinPartitions(F.desc("id"))
+    assert rows(places.place_summary(shuffled, SECTOR, ORDER)) == wanted
+    two_columns = micro.withColumn("page", F.floor((F.col("id") - 1) / 3))
+    assert rows(places.place_summary(two_columns, SECTOR, ["page", "id"])) == wanted
+    assert rows(places.place_summary(two_columns, SECTOR, RowOrder(("page", "id"), unit=1))) == wanted
+
+
+def test_first_row_is_the_lowest(make, rows):
+    df = make(
+        [
+            (3, "2025", "A", "R", "S1", "Tour 1", "3", 30, 3, 1, 3, 1, 1),
+            (1, "2025", "A", "R", "S2", "Tour 1", "3", None, 1, 1, 1, 1, 1),
+            (2, "2025", "A", "R", "S3", "Tour 1", "3", 20, None, 1, None, 1, 1),
+        ]
+    )
+    # Capacity and renewals from row 2 (the first with a capacity), offered places from row 1.
+    for order in (ORDER, ["offered_round_1", "id"], RowOrder(("offered_round_1", "id"), unit=1)):
+        got = places.place_summary(df, SECTOR, order)
+        assert rows(got.select("capacity_total", "offered", "renewals_confirmed")) == {(20.0, 1.0, 0.0)}
+
+
+def test_place_summary_equals_single_operators(micro, rows):
+    for group in (SECTOR, RESIDENCE):
+        n = len(group)
+        summary = places.place_summary(micro, group, ORDER)
+        for name, single in [
+            ("capacity_total", places.capacity(micro, group, ORDER)),
+            ("offered", places.offered(micro, group, ORDER)),
+            ("renewals_confirmed", places.renewals(micro, group, ORDER)),
+        ]:
+            assert rows(summary.filter(F.col(name).isNotNull()).select(*group, name), n) == rows(single, n)
+    located = places.place_summary(micro, SECTOR, ORDER).select(*SECTOR, "latitude", "longitude")
+    assert rows(located) == rows(places.sector_coordinates(micro))
+
+
+def test_round_places(micro, rows):
+    by_sector = rows(places.round_places(micro, SECTOR), 3)
+    assert by_sector[(*A25, 1.0)] == (9,) and by_sector[(*A25, 2.0)] == (7,)
+    assert by_sector[(*B25, 1.0)] == (0,) and by_sector[(*A24, 1.0)] == (4,)
+
+
+def test_round_columns_by_prefix(spark, rows):
+    df = spark.createDataFrame(
+        [("p", "s", "r", 1.0, None, 9.0)],
+        "period string, sector string, residence string, "
+        "offered_round_2 double, Offered_Round_10 double, offered_round_2_bis double",
+    )
+    assert reshape.round_columns(df) == {2: ["offered_round_2", "offered_round_2_bis"], 10: ["Offered_Round_10"]}
+    assert rows(places.round_places(df, SECTOR)) == {("p", "s", 2.0, 9.0), ("p", "s", 10.0, 0.0)}
+    long = reshape.unpivot_rounds(df, ["residence"])
+    assert rows(long) == {("r", 2.0, 1.0), ("r", 10.0, None), ("r", 2.0, 9.0)}
+
+
+# --- joins, shares, reshaping ---
+
+
+def test_null_keys_match(spark, rows):
+    left = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, x int")
+    right = spark.createDataFrame([("a", 10), (None, 20)], "k string, y int")
+    assert rows(joins.left_join_null_safe(left, right, ["k"])) == {("a", 1, 10), (None, 2, 20), ("b", 3, None)}
+
+
+def test_concentration(micro, rows):
+    got = rows(shares.concentration(demand.count_applicants(micro, SECTOR)), 2)
+    assert got == {A25: (4, 1.33, 66.67), B25: (2, 0.67, 33.33), A24: (1, 1.0, 100.0)}
+
+
+def test_growth_uses_previous_period_present(spark, rows):
+    yearly = spark.createDataFrame([("2020", 10.0, 5), ("2023", 5.0, 10), ("2024", 0.0, 10)], "period string, offered double, applicants int")
+    got = rows(shares.yearly_growth(yearly).select("period", "offered_growth_pct", "applicants_growth_pct"), 1)
+    assert got == {("2020",): (None, None), ("2023",): (-50.0, 100.0), ("2024",): (-100.0, 0.0)}
+
+
+def test_complete(spark, rows):
+    counts = spark.createDataFrame([("p", "A", "1", 2), ("p", "B", "2", 3), ("q", "A", "1", 4)], "period string, sector string, scale_band string, applicants bigint")
+    got = rows(reshape.complete(counts, PERIOD, "sector", "scale_band", "applicants"))
+    assert got == {("p", "A", "1", 2), ("p", "A", "2", 0), ("p", "B", "1", 0), ("p", "B", "2", 3), ("q", "A", "1", 4)}
+
+
+def test_pivot_bands(spark, rows):
+    counts = spark.createDataFrame([("p", "A", "0 Bis", 2), ("p", "B", "", 3), ("p", "B", "x", 1)], "period string, sector string, scale_band string, applicants bigint")
+    fixed = reshape.pivot_bands(counts, SECTOR, "applicants", ["0 Bis", "1", ""])
+    assert fixed.columns == ["period", "sector", "band_0_bis", "band_1", "band_blank", "band_other"]
+    assert rows(fixed) == {("p", "A", 2, 0, 0, 0), ("p", "B", 0, 0, 3, 1)}
+    found = reshape.pivot_bands(counts, SECTOR, "applicants")
+    assert set(found.columns) == {"period", "sector", "band_0_bis", "band_blank", "band_x"}
+
+
+def test_top_band(micro, rows):
+    got = rows(bands.top_band_per_applicant(micro, ORDER), 2)
+    assert got == {
+        ("2025", "S1"): ("B", "7"),
+        ("2025", "S2"): ("A", "0 Bis"),
+        ("2025", "S4"): ("A", "5"),
+        ("2025", "S5"): ("B", "2"),
+        ("2024", "S6"): ("A", "Hors Barème"),
+    }
+
+
+def test_top_band_tie_goes_to_first_row(make, rows):
+    df = make(
+        [
+            (2, "2025", "A", "R", "S1", "Tour 1", "3", 1, 1, 1, 1, 1, 1),
+            (1, "2025", "B", "R", "S1", "Tour 1", "3", 1, 1, 1, 1, 1, 1),
+            (3, "2025", "A", "R", "S1", "Tour 1", "Hors Barème", 1, 1, 1, 1, 1, 1),
+        ]
+    )
+    for order in (["id"], RowOrder(("capacity", "id"), unit=1)):
+        assert rows(bands.top_band_per_applicant(df, order)) == {("2025", "S1", "B", "3")}
+
+
+@pytest.mark.parametrize("group", [SECTOR, RESIDENCE, PERIOD])
+def test_counts_survive_a_hot_key(spark, make, rows, group):
+    """One applicant and one residence hold most rows; counts equal those of plain Python."""
+    data = []
+    for i in range(600):
+        hot = i % 3 == 0
+        sector, applicant = ("A", "S0") if hot else (("B", "C")[i % 2], f"S{i % 50}")
+        data.append((i, "2025", sector, "R0" if hot else f"R{i % 7}", applicant, f"Tour {i % 4}", "1", 1, 1, 1, 1, 1, 1))
+    df = make(data).repartition(5)
+    column = {"period": 1, "sector": 2, "residence": 3}
+    want, last = {}, {}
+    for r in data:
+        key = tuple(r[column[g]] for g in group)
+        want.setdefault(key, set()).add(r[4])
+        last.setdefault(key, {}).setdefault(int(r[5][-1]), set()).add(r[4])
+    got = rows(demand.count_applicants(df, group), len(group))
+    assert got == {k: (len(v),) for k, v in want.items()}
+    got = rows(demand.last_round_applicants(df, group), len(group))
+    assert got == {k: (len(v[max(v)]),) for k, v in last.items()}
