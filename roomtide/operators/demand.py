@@ -168,7 +168,10 @@ def count_by_rule(
 ) -> DataFrame:
     """Long counts (group, rule, round, n) from one row per applicant with a round column per rule."""
     kept = [c for c in per_applicant.columns if c not in rules and c != "applicant_id"]
-    long = per_applicant.drop("applicant_id").unpivot(kept, list(rules), "rule", "round")
+    # A generator rather than unpivot: it keeps what is known of the group columns, so that two uses
+    # of the counts in one query are planned alike and share this shuffle.
+    pairs = [part for rule in rules for part in (F.lit(rule), F.col(rule))]
+    long = per_applicant.select(*kept, F.stack(F.lit(len(rules)), *pairs).alias("rule", "round"))
     n = F.count("*") if weight is None else F.sum(weight)
     return long.filter("round IS NOT NULL").groupBy(*group, "rule", "round").agg(n.alias("n"))
 

@@ -32,11 +32,12 @@ def _indicators(
 
     Applicants are needed of every sector, for the shares, and twice: per group and per period. Both
     uses read the same shuffle, as long as no filter is pushed into one of them only. Hence groups
-    are made complete first, and sectors are chosen by a condition that also needs the joined total.
+    are required to be complete before and after counting, which leaves the planner no condition to
+    add, and sectors are chosen by a condition that also needs the joined total.
     """
     rows = require(df, group)
     demand = demand_summary(rows, group, excluded)
-    shared = concentration(demand.filter(F.col("applicants").isNotNull()))
+    shared = concentration(require(demand, [*group, "applicants"]))
     if sectors is not None:
         shared = shared.filter(F.when(F.col("concentration_pct").isNotNull(), sector_chosen(sectors)))
         rows = in_sectors(rows, sectors)
