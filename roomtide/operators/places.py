@@ -23,48 +23,60 @@ def first_values(
     df: DataFrame,
     keys: Sequence[str],
     order: Order,
-    firsts: Mapping[str, tuple[str, Column]],
+    firsts: Mapping[str, tuple[Column, Mapping[str, str]]],
     sums: Mapping[str, Column] | None = None,
     largest: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Per key: values of first rows, with sums and maxima from the same pass.
 
-    `firsts` gives, by result name, a column and the condition its row must satisfy; the value may be
-    null. The place of that row comes along as `<name>_order`, null if no row satisfies it.
+    `firsts` gives, by the name for the place of the first row, the condition that row must satisfy
+    and the columns to take from it, by result name. Values may be null; the place is null if no row
+    satisfies the condition.
     """
     columns, unit = row_order(order)
     sums, largest = sums or {}, largest or {}
     totals = [F.sum(c).alias(n) for n, c in sums.items()] + [F.max(c).alias(n) for n, c in largest.items()]
-
-    def first_of(values: Mapping[str, tuple[str, Column]], place: Mapping[str, Column]) -> list[Column]:
-        found = []
-        for name, (value, where) in values.items():
-            at = F.when(where, place[name])
-            found += [F.min_by(value, at).alias(name), F.min(at).alias(f"{name}_order")]
-        return found
-
-    if not unit or len(columns) != unit + 1:
-        place = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
-        return df.groupBy(*keys).agg(*first_of(firsts, dict.fromkeys(firsts, place)), *totals)
-
-    stretch, position = columns[:unit], columns[unit]
-    per_stretch = df.groupBy(*keys, *stretch).agg(
-        *first_of(firsts, dict.fromkeys(firsts, F.col(position))), *totals
-    )
-    winners = {name: (name, F.col(f"{name}_order").isNotNull()) for name in firsts}
-    places = {name: F.struct(*stretch, f"{name}_order") for name in firsts}
-    return per_stretch.groupBy(*keys).agg(
-        *first_of(winners, places),
-        *[F.sum(n).alias(n) for n in sums],
-        *[F.max(n).alias(n) for n in largest],
-    )
+    if len(columns) == 1:
+        return df.groupBy(*keys).agg(*_firsts_by_number(columns[0], firsts), *totals)
+    if unit and len(columns) == unit + 1:
+        stretch = columns[:unit]
+        per_stretch = df.groupBy(*keys, *stretch).agg(*_firsts_by_number(columns[unit], firsts), *totals)
+        winners = {
+            place: (F.col(place).isNotNull(), {name: name for name in values})
+            for place, (_, values) in firsts.items()
+        }
+        merged = [F.sum(n).alias(n) for n in sums] + [F.max(n).alias(n) for n in largest]
+        return _firsts_by_struct(per_stretch, keys, {p: [*stretch, p] for p in firsts}, winners, merged)
+    return _firsts_by_struct(df, keys, dict.fromkeys(firsts, columns), firsts, totals)
+
+
+def _firsts_by_number(position: str, firsts) -> list[Column]:
+    """Aggregates for an order by one column; their buffers are fixed-size, which hashing needs."""
+    found = []
+    for place, (where, values) in firsts.items():
+        at = F.when(where, F.col(position))
+        found.append(F.min(at).alias(place))
+        found += [F.min_by(value, at).alias(name) for name, value in values.items()]
+    return found
+
+
+def _firsts_by_struct(df: DataFrame, keys, places: Mapping[str, Sequence[str]], firsts, totals) -> DataFrame:
+    """First rows by an order of several columns: the values travel with the place, as one minimum."""
+    found, results = [], []
+    for place, (where, values) in firsts.items():
+        row = F.struct(F.struct(*places[place]).alias(place), *[F.col(v).alias(n) for n, v in values.items()])
+        found.append(F.min(F.when(where, row)).alias(f"first_{place}"))
+        results += [F.col(f"first_{place}")[n].alias(n) for n in (place, *values)]
+    grouped = df.groupBy(*keys).agg(*found, *totals)
+    kept = [c for c in grouped.columns if c not in {f"first_{p}" for p in firsts}]
+    return grouped.select(*kept, *results)
 
 
 def sum_first_per(df: DataFrame, group: Sequence[str], value: str, order: Order, name: str) -> DataFrame:
     """Per group: the first present `value` of each residence, summed."""
     rows = require(df, ["sector", value, "residence", "period"])
     keys = list(dict.fromkeys([*group, "residence"]))
-    first = first_values(rows, keys, order, {name: (value, F.lit(True))})
+    first = first_values(rows, keys, order, {"place": (F.lit(True), {name: value})})
     if set(keys) == set(group):
         return first.select(*group, name)
     return first.groupBy(*group).agg(F.sum(name).alias(name))
@@ -122,7 +134,7 @@ def renewals(df: DataFrame, group: Sequence[str], order: Order) -> DataFrame:
     """
     rows = require(df, ["sector", "capacity", "period"] + (["residence"] if "residence" in group else []))
     keys = list(dict.fromkeys([*group, "residence"]))
-    first = first_values(rows, keys, order, {"first": ("renewals_confirmed", F.lit(True))})
+    first = first_values(rows, keys, order, {"place": (F.lit(True), {"first": "renewals_confirmed"})})
     first = first.withColumn("renewals_confirmed", F.coalesce("first", F.lit(0.0)))
     if set(keys) == set(group):
         return first.select(*group, "renewals_confirmed")
@@ -192,9 +204,11 @@ def residence_facts(df: DataFrame, order: Order) -> DataFrame:
         RESIDENCE,
         order,
         firsts={
-            "capacity": ("capacity", has_capacity),
-            "offered": ("offered_total", F.col("offered_total").isNotNull()),
-            "first_renewals": ("renewals_confirmed", has_capacity),
+            "capacity_order": (
+                has_capacity,
+                {"capacity": "capacity", "first_renewals": "renewals_confirmed"},
+            ),
+            "offered_order": (F.col("offered_total").isNotNull(), {"offered": "offered_total"}),
         },
         sums={
             "latitude_sum": F.when(located, F.col("latitude")),
