@@ -93,7 +93,7 @@ def residence_tooltip(period: Column, residence: Column, offered: Column, applic
 
 
 def band_rank(band: Column, order: tuple = BAND_ORDER) -> Column:
-    """Place of a band in the display order (from 1), unknown bands after all others."""
+    """Place of a band in the display order (from 1); bands it does not name come last."""
     place = F.array_position(F.array(*[F.lit(b) for b in order]), band)
     return F.when(place > 0, place).otherwise(F.lit(len(order) + 1)).cast("int")
 

@@ -50,8 +50,8 @@ def _indicators(
 
 def pressure(
     df: DataFrame,
-    group: Sequence[str] = SECTOR,
-    order: Order = (),
+    group: Sequence[str],
+    order: Order,
     excluded: Sequence[str] = NOT_ELIGIBLE,
     period: str | None = None,
     sectors: Sequence[str] | None = None,
@@ -120,8 +120,8 @@ def _places_of_last_round(columns: Sequence[str]) -> Column:
 
 def report(
     df: DataFrame,
-    group: Sequence[str] = SECTOR,
-    order: Order = (),
+    group: Sequence[str],
+    order: Order,
     sectors: Sequence[str] | None = None,
     period: str | None = None,
     excluded: Sequence[str] = NOT_ELIGIBLE,
