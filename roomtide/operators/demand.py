@@ -64,16 +64,22 @@ def last_round_applicants(
     return counts.select(*group, F.col("n").alias(name))
 
 
-def last_round_rows(df: DataFrame, group: Sequence[str]) -> DataFrame:
+def last_round_rows(
+    df: DataFrame, group: Sequence[str], broadcast_up_to: int | None = None
+) -> DataFrame:
     """The rows that belong to the last round of their group, with its number as `round`.
 
     The maximum is aggregated and joined back instead of taken over a window, so that no task has to
-    hold a whole group.
+    hold a whole group. The join shuffles the rows by group and round. With `broadcast_up_to` the
+    groups are counted first (one job over the group columns and the label), and up to that many are
+    broadcast, which spares the shuffle.
     """
     rows = require(df, needed_for_demand(group)).withColumn(
         "round", round_from_all_digits(F.col("round_label"))
     )
     last = rows.groupBy(*group).agg(F.max("round").alias("round"))
+    if broadcast_up_to is not None and last.count() <= broadcast_up_to:
+        last = F.broadcast(last)
     return rows.join(last, [*group, "round"], "left_semi")
 
 

@@ -84,7 +84,20 @@ def test_last_round_of_eligible_rows_may_be_earlier(make, rows):
 
 
 def test_last_round_rows(micro):
-    assert {r.id for r in demand.last_round_rows(micro, SECTOR).collect()} == {2, 4, 6, 7, 10}
+    for limit in (None, 1, 3):
+        assert {r.id for r in demand.last_round_rows(micro, SECTOR, limit).collect()} == {2, 4, 6, 7, 10}
+
+
+def test_last_round_rows_broadcasts_only_small_groups(spark, micro):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {
+            limit: demand.last_round_rows(micro, SECTOR, limit)._jdf.queryExecution().executedPlan().toString()
+            for limit in (None, 2, 3)
+        }
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {limit: "BroadcastHashJoin" in plan for limit, plan in plans.items()} == {None: False, 2: False, 3: True}
 
 
 def test_wishes_and_reportable_groups(micro, rows):
