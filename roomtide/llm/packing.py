@@ -30,6 +30,8 @@ END_ID = 2
 #: Words whose ids a task keeps; the table starts anew beyond it.
 KNOWN_WORDS = 400_000
 BAR = "|"
+#: Marks that may end a word of letters; no apostrophe, which the tokenizer joins with some letters.
+MARKS = ".,;:!?%#*&$"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -53,12 +55,29 @@ class WordIds(dict):
         self.bar = int(bar[0]) if len(bar) == 1 else -1
 
     def learn(self, found: set[str]) -> None:
-        """Many words are encoded as one text with a bar between them: a bar is one id, which no word without a bar
-        has. Words that hold a bar are encoded alone."""
+        """Letters and the marks behind them are apart for the tokenizer too, so such words are put together from both."""
         new = [w for w in found if w not in self]
-        if len(self) + len(new) > KNOWN_WORDS:
+        if len(self) + 2 * len(new) > KNOWN_WORDS:
             self.clear()
             new = list(found)
+        whole, composed = set(), []
+        for w in new:
+            core = w.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() and not core.islower() or core != w):
+                tail, core = w[len(core) :], core.lower() if core.isascii() else core
+                composed.append((w, core, tail))
+                whole.add(core)
+                if tail:
+                    whole.add(tail)
+            else:
+                whole.add(w)
+        self.add([w for w in whole if w not in self])
+        for w, core, tail in composed:
+            self[w] = self[core] + self[tail] if tail else self[core]
+
+    def add(self, new: list[str]) -> None:
+        """Many words are encoded as one text with a bar between them: a bar is one id, which no word without a bar
+        has. Words that hold a bar are encoded alone."""
         alone = [w for w in new if BAR in w]
         new = [w for w in new if BAR not in w]
         for start in range(0, len(new), 2_000):
@@ -88,6 +107,16 @@ class WordIds(dict):
         return [np.frombuffer(b"".join([self[w] for w in p]) + end, "<u4") for p in parts]
 
 
+_KNOWN: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The table of this Python worker, which later tasks find filled."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
+
+
 class SumOfSquares:
     """Open windows by fill level. `place` puts an item of `size` < window into the level that minimises the sum of
     squared level counts, and returns the window and the offset; `open` holds (window, fill) after the last item."""
@@ -173,7 +202,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base = WordIds(path), TaskContext.get().partitionId() << 32
+        words, base = word_ids(path), TaskContext.get().partitionId() << 32
 
         def documents():
             for batch in text_batches(batches):
