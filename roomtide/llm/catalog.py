@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from roomtide.llm import exact, mixing
+from roomtide.llm import exact, mixing, packing
 
 QUERIES = {
+    "op2_pack_sequences": packing.op2,
     "op3_exact_dedup": exact.op3,
     "op10_mix_sources": mixing.op10,
 }
