@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from roomtide.llm import exact, mixing, packing
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from roomtide.llm import exact, mixing, neardup, packing
+from roomtide.llm.common import importable
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        importable(spark)
+        return query(spark, folder)
+
+    return run
+
 
 QUERIES = {
-    "op2_pack_sequences": packing.op2,
-    "op3_exact_dedup": exact.op3,
-    "op10_mix_sources": mixing.op10,
+    name: _shipped(query)
+    for name, query in {
+        "op2_pack_sequences": packing.op2,
+        "op3_exact_dedup": exact.op3,
+        "op6_near_duplicates": neardup.op6,
+        "op10_mix_sources": mixing.op10,
+    }.items()
 }
 
 SQL = {

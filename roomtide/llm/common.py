@@ -41,6 +41,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that share this machine's folders import the package from where the driver did. On a cluster
+    the package is installed or sent with --py-files."""
+    import roomtide
+
+    root = os.path.dirname(next(iter(roomtide.__path__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def buckets(spark: SparkSession, per_partition: int = 2) -> int:
     """How many buckets deal out packed bytes: some for each shuffle partition, so that one bucket fits a task many times."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -196,23 +207,33 @@ def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
 # --- small encodings of sorted numbers -----------------------------------------------------------
 
 
+_UNITS = {b"b": np.uint8, b"h": np.uint16}
+
+
 def pack_gaps(gaps: np.ndarray) -> bytes:
-    """Non-negative numbers, small ones in a byte: each 255 adds 255 to the number that ends with the next smaller byte."""
-    full = gaps // 255
-    if full.sum() > 4 * len(gaps) + 64:
-        return b"w" + zlib.compress(gaps.astype("<i8").tobytes(), 1)
-    at = np.cumsum(full + 1) - 1
-    out = np.full(int(at[-1]) + 1 if len(at) else 0, 255, np.uint8)
-    out[at] = (gaps % 255).astype(np.uint8)
-    return b"b" + out.tobytes()
+    """Non-negative numbers in bytes or 16-bit units: each unit full of ones adds its value to the number that ends with
+    the next smaller unit. Compressed 64-bit numbers where those are shorter."""
+    best, size = b"w", 6 * len(gaps)
+    for name, unit in _UNITS.items():
+        most = np.iinfo(unit).max
+        cost = int((gaps // most).sum() + len(gaps)) * (most.bit_length() // 8)
+        if cost <= size:
+            best, size = name, cost
+    if best == b"w":
+        return best + zlib.compress(gaps.astype("<i8").tobytes(), 1)
+    most = np.iinfo(_UNITS[best]).max
+    at = np.cumsum(gaps // most + 1) - 1
+    out = np.full(int(at[-1]) + 1 if len(at) else 0, most, _UNITS[best])
+    out[at] = gaps % most
+    return best + out.tobytes()
 
 
 def unpack_gaps(data: bytes) -> np.ndarray:
     if data[:1] == b"w":
         return np.frombuffer(zlib.decompress(data[1:]), "<i8")
-    raw = np.frombuffer(data, np.uint8, offset=1)
-    sums = np.cumsum(raw, dtype=np.int64)[raw != 255]
-    return np.diff(sums, prepend=0)
+    unit = _UNITS[data[:1]]
+    raw = np.frombuffer(data[1:], unit)
+    return np.diff(np.cumsum(raw, dtype=np.int64)[raw != np.iinfo(unit).max], prepend=0)
 
 
 def join_parts(*parts: bytes) -> bytes:
@@ -264,3 +285,77 @@ def intervals(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.nda
 def cpu_threads_off() -> None:
     """One thread a task: Spark already runs one task for each core."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+# --- documents dealt out by id, with what is known of them ------------------------------------------
+
+#: What a null doc_id counts as: after every other.
+NO_ID = np.iinfo(np.int64).max
+
+
+def doc_ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+
+
+def dealt(ids: np.ndarray, n: int) -> np.ndarray:
+    """The part of n that each document belongs to."""
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def split_by(names: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """(name, ascending indices) for each name below n that occurs."""
+    order = np.argsort(names, kind="stable")
+    cuts = np.searchsorted(names[order], np.arange(n + 1))
+    return [(i, order[a:b]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+PART_SCHEMA = "part long, kind int, data binary"
+TEXTS = 0
+
+
+def part_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+    kinds = [pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "kind", "data"])
+
+
+def dealt_texts(docs: DataFrame, parts: int, flush: int = 8 << 20) -> DataFrame:
+    """The documents as rows (part, TEXTS, compressed doc_id and text columns), so that text travels compressed."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def rows():
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids = doc_ids(table.column("doc_id").combine_chunks())
+            out = []
+            for part, at in split_by(dealt(ids, parts), parts):
+                sink = pa.BufferOutputStream()
+                chosen = table.take(pa.array(at))
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(chosen)
+                out.append((part, TEXTS, sink.getvalue().to_pybytes()))
+            return part_rows(out)
+
+        for batch in text_batches(batches, flush):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= flush:
+                yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
+
+    return docs.select("doc_id", text_column().alias("text")).mapInArrow(run, PART_SCHEMA)
+
+
+def part_texts(table: pa.Table) -> pa.Table:
+    """The documents of a group of part rows."""
+    found = [d for k, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True) if k == TEXTS]
+    return pa.concat_tables([pa.ipc.open_stream(d).read_all() for d in found]) if found else pa.table(
+        {"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}
+    )
+
+
+def part_data(table: pa.Table, kind: int) -> list[bytes]:
+    return [d for k, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True) if k == kind]
