@@ -28,7 +28,7 @@ from roomtide.llm.common import cpu_threads_off, text_batches
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a task keeps; the table starts anew beyond it.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_200_000
 BAR = "|"
 #: Marks that may end a word of letters; no apostrophe, which the tokenizer joins with some letters.
 MARKS = ".,;:!?%#*&$"
@@ -42,7 +42,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of words as bytes of 32-bit numbers. The tokenizer drops white space and joins nothing across it,
     so a text's ids are those of its words in order, and a frequent word is encoded once."""
 
@@ -50,15 +50,17 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         cpu_threads_off()
+        self.ids: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         bar = self.encode([BAR])[0]
         self.bar = int(bar[0]) if len(bar) == 1 else -1
 
     def learn(self, found: set[str]) -> None:
         """Letters and the marks behind them are apart for the tokenizer too, so such words are put together from both."""
-        new = [w for w in found if w not in self]
-        if len(self) + 2 * len(new) > KNOWN_WORDS:
-            self.clear()
+        known = self.ids
+        new = [w for w in found if w not in known]
+        if len(known) + 2 * len(new) > KNOWN_WORDS:
+            known.clear()
             new = list(found)
         whole, composed = set(), []
         for w in new:
@@ -71,9 +73,9 @@ class WordIds(dict):
                     whole.add(tail)
             else:
                 whole.add(w)
-        self.add([w for w in whole if w not in self])
+        self.add([w for w in whole if w not in known])
         for w, core, tail in composed:
-            self[w] = self[core] + self[tail] if tail else self[core]
+            known[w] = known[core] + known[tail] if tail else known[core]
 
     def add(self, new: list[str]) -> None:
         """Many words are encoded as one text with a bar between them: a bar is one id, which no word without a bar
@@ -90,11 +92,11 @@ class WordIds(dict):
             starts, stops = np.concatenate([[0], cuts + 1]) * 4, np.append(cuts, len(ids)) * 4
             data = ids.tobytes()
             for word, a, b in zip(part, starts.tolist(), stops.tolist(), strict=True):
-                self[word] = data[a:b]
+                self.ids[word] = data[a:b]
         for start in range(0, len(alone), 2_000):
             part = alone[start : start + 2_000]
             for word, ids in zip(part, self.encode(part), strict=True):
-                self[word] = ids.tobytes()
+                self.ids[word] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,7 +106,7 @@ class WordIds(dict):
         found = set().union(*parts)
         self.learn(found)
         end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join([self[w] for w in p]) + end, "<u4") for p in parts]
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, p)) + end, "<u4") for p in parts]
 
 
 _KNOWN: dict[str, WordIds] = {}
