@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomtide.llm import exact, mixing, neardup, packing
+from roomtide.llm import exact, mixing, neardup, packing, substring
 from roomtide.llm.common import importable
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     for name, query in {
         "op2_pack_sequences": packing.op2,
         "op3_exact_dedup": exact.op3,
+        "op5_remove_repeats": substring.op5,
         "op6_near_duplicates": neardup.op6,
         "op10_mix_sources": mixing.op10,
     }.items()
