@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomtide.llm import exact, mixing, neardup, packing, substring
+from roomtide.llm import bytedup, exact, mixing, neardup, packing, substring
 from roomtide.llm.common import importable
 
 
@@ -25,6 +25,7 @@ QUERIES = {
         "op3_exact_dedup": exact.op3,
         "op5_remove_repeats": substring.op5,
         "op6_near_duplicates": neardup.op6,
+        "op8_repeated_bytes": bytedup.op8,
         "op10_mix_sources": mixing.op10,
     }.items()
 }
