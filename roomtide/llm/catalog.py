@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomtide.llm import bytedup, exact, mixing, neardup, packing, substring
+from roomtide.llm import bytedup, exact, html_text, mixing, neardup, neighbours, packing, personal, substring, toxicity
 from roomtide.llm.common import importable
 
 
@@ -21,11 +21,15 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     name: _shipped(query)
     for name, query in {
+        "op1_extract_text": html_text.op1,
         "op2_pack_sequences": packing.op2,
         "op3_exact_dedup": exact.op3,
+        "op4_nearest_neighbours": neighbours.op4,
         "op5_remove_repeats": substring.op5,
         "op6_near_duplicates": neardup.op6,
+        "op7_toxicity": toxicity.op7,
         "op8_repeated_bytes": bytedup.op8,
+        "op9_personal_data": personal.op9,
         "op10_mix_sources": mixing.op10,
     }.items()
 }
