@@ -268,6 +268,7 @@ def near_duplicates(
     members = checked.groupBy(F.col("b").alias("centre"), F.col("a").alias("doc_id")).agg(
         F.max(linked).alias("linked"), F.min(far).alias("far")
     )
+    members = written(members)
     links = checked.filter(linked).select("a", "b").union(residual_links(members, texts, width, percent))
     found = components(links).withColumnRenamed("node", "class_id")
     of_class = classes.join(found, "class_id", "left").select(
