@@ -56,49 +56,89 @@ def shared_targets(
     return rows.select("source", "source_size", "target")
 
 
-def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS, share: float = 1.0, seed: int = 0
-) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and the sort key `mix_key`.
-
-    `taken` counts the words that the mix takes of the document: whole epochs, and its part of the last one.
-    """
+def keyed(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """Adds the size, the hash-random key, the source and the key's range."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
-    rows = docs.select(
-        "doc_id",
-        "source",
-        n_words(text_column()).alias("size"),
-        key.alias("mix_key"),
-        # A null source is told from every text by its prefix.
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"),
-        F.substring(key, 1, RANGE_DIGITS).alias("_range"),
-    )
-    rows = written(rows)
-    ranges = rows.groupBy("_source", "_range").agg(
-        F.sum("size").alias("_in_range"), F.first("source").alias("source")
+    return docs.withColumns(
+        {
+            "_mix_size": n_words(text_column()),
+            "_mix_key": key,
+            # A null source is told from every text by its prefix.
+            "_mix_source": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
+            "_mix_range": F.substring(key, 1, RANGE_DIGITS),
+        }
     )
-    sources = ranges.groupBy("_source").agg(F.sum("_in_range").alias("source_size"), F.first("source").alias("source"))
-    targets = shared_targets(sources.drop("_source"), weights, most, share)
-    targets = targets.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)))
-    ranges = ranges.select("_source", "_range", "_before").join(
-        targets.select("_source", "source_size", "target"), "_source"
+
+
+def range_budgets(rows: DataFrame, weights: Sequence[float], most: int, share: float) -> DataFrame:
+    """For each source and key range: source_size, target, and the words of the source in earlier ranges."""
+    ranges = rows.groupBy("_mix_source", "_mix_range").agg(
+        F.sum("_mix_size").alias("_mix_inside"), F.first("source").alias("source")
     )
-    placed = rows.join(ranges, ["_source", "_range"])
+    sources = ranges.groupBy("_mix_source").agg(F.sum("_mix_inside").alias("source_size"), F.first("source").alias("source"))
+    targets = shared_targets(sources.drop("_mix_source"), weights, most, share)
+    targets = targets.withColumn("_mix_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    earlier = Window.partitionBy("_mix_source").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_mix_inside").over(earlier), F.lit(0))
+    ranges = ranges.select("_mix_source", "_mix_range", before.alias("_mix_before"))
+    targets = targets.select("_mix_source", F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
+    return ranges.join(targets, "_mix_source")
+
+
+def taken_words(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Adds `_mix_taken`: whole epochs of the document, and its part of the last one."""
+    placed = rows.join(ranges, ["_mix_source", "_mix_range"])
     inside = (
-        Window.partitionBy("_source", "_range")
-        .orderBy("mix_key", "doc_id", "size")
+        Window.partitionBy("_mix_source", "_mix_range")
+        .orderBy("_mix_key", "doc_id", "_mix_size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    placed = placed.withColumn("_at", before).withColumn("_epochs", epochs.cast("long"))
-    rest = budget - F.col("_epochs") * F.col("source_size") - F.col("_at")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    taken = (F.col("_epochs") * F.col("size") + part).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "mix_key")
+    at = F.col("_mix_before") + F.coalesce(F.sum("_mix_size").over(inside), F.lit(0))
+    budget, whole = F.floor("_mix_target"), F.col("_mix_source_size")
+    epochs = F.when(whole > 0, F.floor(budget / whole)).otherwise(F.lit(0)).cast("long")
+    placed = placed.withColumn("_mix_at", at).withColumn("_mix_epochs", epochs)
+    rest = budget - F.col("_mix_epochs") * whole - F.col("_mix_at")
+    part = F.greatest(F.lit(0), F.least(F.col("_mix_size"), rest))
+    return placed.withColumn("_mix_taken", (F.col("_mix_epochs") * F.col("_mix_size") + part).cast("long"))
+
+
+SMALL = ["doc_id", "source", "_mix_size", "_mix_key", "_mix_source", "_mix_range"]
+
+
+def mix_sources(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS, share: float = 1.0, seed: int = 0
+) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and the sort key `mix_key`."""
+    rows = written(keyed(docs.select("doc_id", "source", "text"), seed).select(SMALL))
+    found = taken_words(rows, range_budgets(rows, weights, most, share))
+    names = {"size": "size", "source_size": "source_size", "target": "target", "taken": "taken", "key": "mix_key"}
+    return found.select("doc_id", *(F.col(f"_mix_{k}").alias(v) for k, v in names.items()))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    pattern = F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), n.cast("string"), F.lit("}+"))
+    return F.rtrim(F.regexp_substr(text, pattern))
+
+
+def mixed(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS, share: float = 1.0, seed: int = 0
+) -> DataFrame:
+    """The mix itself; columns as given. A document appears once for each whole epoch that takes it, and the document
+    at a source's cut once more with as many of its first words as the budget has left. Its other columns stay.
+    Documents without words have nothing to take and are not in the mix.
+    """
+    rows = written(keyed(docs.select("doc_id", "source", "text"), seed).select(SMALL))
+    found = taken_words(keyed(docs, seed), range_budgets(rows, weights, most, share)).filter("_mix_taken > 0")
+    whole = F.floor(F.col("_mix_taken") / F.col("_mix_size")).cast("int")
+    rest = F.col("_mix_taken") - whole * F.col("_mix_size")
+    parts = F.concat(
+        F.array_repeat(F.lit(None).cast("long"), whole),
+        F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")),
+    )
+    found = found.withColumn("_mix_part", F.explode(parts))
+    text = F.when(F.col("_mix_part").isNull(), F.col("text")).otherwise(first_words(F.col("text"), F.col("_mix_part")))
+    return found.withColumn("text", text).select(*docs.columns)
 
 
 def op10(spark, folder: str) -> DataFrame:
