@@ -87,7 +87,7 @@ def ratio(a: str, b: str) -> str:
 def rounded(x: str, digits: int) -> str:
     s = f"{10 ** digits}.0::DOUBLE"
     low, high = f"(floor({x} * {s}) / {s})", f"(ceil({x} * {s}) / {s} + 0.0::DOUBLE)"
-    return f"""(CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) >= 1e13::DOUBLE THEN {x}
+    return f"""(CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) >= 4503599627370496::DOUBLE THEN {x}
       WHEN {x} - {low} < {high} - {x} THEN {low}
       WHEN {x} - {low} > {high} - {x} THEN {high}
       WHEN floor({x} * {s}) % 2 = 0 THEN {low} ELSE {high} END)"""
@@ -125,9 +125,20 @@ def marker(x: str) -> str:
 
 
 def number_text(x: str) -> str:
+    """Up to 15 significant digits, written out or scientific, whichever is shorter."""
+    form = f"printf('%.14e', abs({x}))"
+    power = f"CAST(split_part({form}, 'e', 2) AS INTEGER)"
+    digits = f"rtrim(replace(split_part({form}, 'e', 1), '.', ''), '0')"
+    fixed = f"""(CASE WHEN {power} >= length({digits}) - 1 THEN rpad({digits}, {power} + 1, '0')
+      WHEN {power} >= 0 THEN substr({digits}, 1, {power} + 1) || '.' || substr({digits}, {power} + 2)
+      ELSE '0.' || repeat('0', -{power} - 1) || {digits} END)"""
+    scientific = f"""(substr({digits}, 1, 1) || CASE WHEN length({digits}) > 1 THEN '.' || substr({digits}, 2) ELSE '' END
+      || CASE WHEN {power} < 0 THEN 'e-' ELSE 'e+' END
+      || CASE WHEN abs({power}) < 10 THEN '0' ELSE '' END || CAST(abs({power}) AS VARCHAR))"""
     return f"""(CASE WHEN {x} IS NULL THEN 'NA' WHEN isnan({x}) THEN 'NaN'
-      WHEN {x} = 'Infinity'::DOUBLE THEN 'Inf' WHEN {x} = '-Infinity'::DOUBLE THEN '-Inf'
-      ELSE regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '') END)"""
+      WHEN {x} = 'Infinity'::DOUBLE THEN 'Inf' WHEN {x} = '-Infinity'::DOUBLE THEN '-Inf' WHEN {x} = 0 THEN '0'
+      ELSE CASE WHEN {x} < 0 THEN '-' ELSE '' END
+        || CASE WHEN length({fixed}) <= length({scientific}) THEN {fixed} ELSE {scientific} END END)"""
 
 
 # --- indicator tables ---

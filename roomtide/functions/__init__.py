@@ -18,6 +18,7 @@ from roomtide.functions.numbers import (
     number_text,
     parse_number,
     percent,
+    plain_text,
     ratio,
     raw_pressure,
     round_to,

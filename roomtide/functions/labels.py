@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from math import pi
 
@@ -9,12 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roomtide.functions.numbers import number_text
-from roomtide.schema import BAND_ORDER, MARKER_SHIFT, PRESSURE_CLASSES
+from roomtide.schema import BAND_ORDER, MARKER_SHIFT, PRESSURE_CLASSES, TOOLTIP_WORDS
 
-# Accented letters and their plain form, for file names.
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+# Letters that no accent makes of a plain one, and their plain form, for file names.
 _LIGATURES = (("œ", "oe"), ("Œ", "OE"), ("æ", "ae"), ("Æ", "AE"), ("ß", "ss"))
+_STROKES = str.maketrans("łŁøØđĐħĦıŧŦ", "lLoOdDhHitT")
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Accented Latin letters and the plain letters that they are made of."""
+    blocks = [chr(c) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block]
+    plain = {c: unicodedata.normalize("NFD", c.translate(_STROKES))[0] for c in blocks}
+    found = {c: p for c, p in plain.items() if p != c and p.isascii()}
+    return "".join(found), "".join(found.values())
+
+
+_ACCENTED, _PLAIN = _plain_letters()
 
 
 def round_from_all_digits(label: Column) -> Column:
@@ -77,23 +88,21 @@ def map_label(sector: Column, value: Column, kind: str | None = None) -> Column:
 
 
 def residence_tooltip(period: Column, residence: Column, offered: Column, applicants: Column, pressure: Column) -> Column:
-    return F.concat_ws(
-        " ",
-        F.lit("Année :"),
+    texts = [
         text_or_na(period),
-        F.lit("<br>Résidence :"),
         text_or_na(residence),
-        F.lit("<br>Places:"),
         number_text(offered),
-        F.lit("<br>Demandes:"),
         text_or_na(applicants.cast("string")),
-        F.lit("<br>Tension:"),
         number_text(pressure),
+    ]
+    return F.concat_ws(
+        " ",
+        *[part for word, text in zip(TOOLTIP_WORDS, texts) for part in (F.lit(word), text)],
     )
 
 
 def band_rank(band: Column, order: tuple = BAND_ORDER) -> Column:
-    """Place of a band in the display order (from 1); bands it does not name come last."""
+    """Place of a band in the display order (from 1); bands it does not name come last, "0 bis" among them."""
     place = F.array_position(F.array(*[F.lit(b) for b in order]), band)
     return F.when(place > 0, place).otherwise(F.lit(len(order) + 1)).cast("int")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 _INF = float("inf")
 
-# Beyond this size a double has no decimals worth rounding, and floor() would leave the bigint range.
-_ROUND_LIMIT = 1e13
+# From this size on every double is whole, so there is nothing to round; below it floor() stays a bigint.
+_ALL_WHOLE = float(2**52)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -22,7 +22,7 @@ def round_to(x: Column, digits: int) -> Column:
     """Round to the nearest decimal, a tie going to the even last digit.
 
     Both neighbours are compared by their distance to `x`, so the answer does not depend on
-    how an engine scales doubles. NaN, infinities and very large values pass unchanged.
+    how an engine scales doubles. NaN, infinities and values too large for decimals pass unchanged.
     """
     scale = F.lit(float(10**digits))
 
@@ -32,7 +32,7 @@ def round_to(x: Column, digits: int) -> Column:
         return F.struct(distance.alias("distance"), F.pmod(whole, F.lit(2)).alias("odd"), value.alias("value"))
 
     nearest = F.least(neighbour(F.floor(x * scale), -1), neighbour(F.ceil(x * scale), 1))
-    return F.when(F.abs(x) < _ROUND_LIMIT, nearest["value"]).otherwise(x)
+    return F.when(F.abs(x) < _ALL_WHOLE, nearest["value"]).otherwise(x)
 
 
 def percent(a: Column, b: Column) -> Column:
@@ -66,32 +66,50 @@ def parse_number(text: Column) -> Column:
     return F.when(plain, F.trim(text).try_cast("double"))
 
 
+def plain_text(column: Column, kind: str) -> Column:
+    """A column of type `kind` as text, numbers written out: 2025.0 is "2025", 100000.0 is "100000", NaN is missing.
+
+    For periods, identifiers and bands that a file holds as numbers. `number_text` is for labels.
+    """
+    if kind.startswith("decimal"):
+        text = F.regexp_replace(column.cast("string"), r"(\.[0-9]*?)0+$", "$1")
+        return F.regexp_replace(text, r"\.$", "")
+    if kind not in ("double", "float"):
+        return column.cast("string")
+    x = column.cast("double")
+    whole = (x == F.rint(x)) & (F.abs(x) < 1e38)
+    return F.when(whole, x.try_cast("decimal(38,0)").cast("string")).when(~F.isnan(x), column.cast("string"))
+
+
 def number_text(x: Column) -> Column:
-    """A number as a label: no trailing ".0", "NA" for null, "Inf"/"-Inf"/"NaN" spelled out.
+    """A number as a label: up to 15 significant digits, "NA" for null, "Inf"/"-Inf"/"NaN" spelled out.
 
-    A whole number takes the scientific form where that is shorter (100000 is "1e+05", 120000
-    stays "120000"). Values of 10 million and more with decimals show two of them.
+    Written out, or in the scientific form where that is shorter: 100000 is "1e+05", 120000 stays
+    "120000", 0.0001 is "1e-04", 1e15 is "1e+15".
     """
-    size = F.abs(x)
     sign = F.when(x < 0, "-").otherwise("")
-    two_decimals = F.regexp_replace(size.try_cast("decimal(20,2)").cast("string"), r"\.?0+$", "")
-    fixed = F.when(size < 1e7, size.cast("string")).otherwise(two_decimals)
-    whole = size.try_cast("decimal(20,0)").cast("string")
-    mantissa = F.regexp_replace(whole, "0+$", "")
-    power = F.length(whole) - 1
+    # One digit, a point, 14 digits, "e", a signed power.
+    form = F.format_string("%.14e", F.abs(x))
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(form, "e", 1), r"\.", ""), "0+$", "")
+    power = F.substring_index(form, "e", -1).try_cast("int")
+    n = F.length(digits)
+    whole_part = digits.substr(F.lit(1), power + 1)
+    fixed = (
+        F.when(power >= n - 1, F.rpad(digits, power + 1, "0"))
+        .when(power >= 0, F.concat(whole_part, F.lit("."), digits.substr(power + 2, n)))
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    )
+    size = F.abs(power).cast("string")
     scientific = F.concat(
-        F.substring(mantissa, 1, 1),
-        F.when(F.length(mantissa) > 1, F.concat(F.lit("."), mantissa.substr(F.lit(2), F.lit(20)))).otherwise(""),
-        F.lit("e+"),
-        F.lpad(power.cast("string"), 2, "0"),
+        digits.substr(1, 1),
+        F.when(n > 1, F.concat(F.lit("."), digits.substr(F.lit(2), n))).otherwise(""),
+        F.when(power < 0, "e-").otherwise("e+"),
+        F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size),
     )
-    is_whole = size == F.floor(size)
     return (
         F.when(x.isNull(), "NA")
         .when(F.isnan(x), "NaN")
-        .when(size == _INF, F.concat(sign, F.lit("Inf")))
-        .when(size >= 1e15, x.cast("string"))
-        .when(is_whole & (size >= 1e5) & (F.length(scientific) < F.length(whole)), F.concat(sign, scientific))
-        .when(is_whole, F.concat(sign, whole))
-        .otherwise(F.concat(sign, fixed))
+        .when(F.abs(x) == _INF, F.concat(sign, F.lit("Inf")))
+        .when(x == 0, "0")
+        .otherwise(F.concat(sign, F.when(F.length(fixed) <= F.length(scientific), fixed).otherwise(scientific)))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomtide.functions import parse_number
@@ -13,6 +13,32 @@ from roomtide.operators.selection import in_period, in_sectors, require
 from roomtide.schema import SECTOR, row_order
 
 
+def _folded(df: DataFrame, order: Order, sectors, period, case_sensitive: bool) -> DataFrame:
+    """One row per period, applicant, sector and band, with the place of its first row (`place`).
+
+    With a number as order, or a `RowOrder` with a unit, this is a hash aggregate; the best band of an
+    applicant is then looked for among these few rows.
+    """
+    rows = in_period(in_sectors(require(df, ["applicant_id", "period", "sector"]), sectors, case_sensitive), period)
+    columns, unit = row_order(order)
+    keys = ["period", "applicant_id", "sector", "scale_band"]
+    if unit and len(columns) == unit + 1:
+        found = rows.groupBy(*keys, *columns[:unit]).agg(F.min(columns[unit]).alias("place"))
+        return found.withColumn("place", F.struct(*columns[:unit], "place")).drop(*columns[:unit])
+    place = F.min(columns[0] if len(columns) == 1 else F.struct(*columns))
+    return rows.groupBy(*keys).agg(place.alias("place"))
+
+
+def _best() -> Column:
+    """Aggregate: sector and band of the row with the highest numeric band; null without a band.
+
+    Bands that are no numbers rank last; ties go to the first row.
+    """
+    rank = F.coalesce(-parse_number(F.col("scale_band")), F.lit(float("inf")))
+    banded = F.when(F.col("scale_band").isNotNull(), F.struct(rank.alias("rank"), "place"))
+    return F.min_by(F.struct("sector", "scale_band"), banded)
+
+
 def top_band_per_applicant(
     df: DataFrame,
     order: Order,
@@ -22,14 +48,10 @@ def top_band_per_applicant(
 ) -> DataFrame:
     """One row per period and applicant: the sector and band of the row with the highest numeric band.
 
-    Bands that are no numbers rank last; ties go to the first row. An aggregate, not a window: rows
-    of one applicant are folded before the shuffle.
+    An aggregate, not a window: rows of one applicant are folded before the shuffle.
     """
-    rows = require(df, ["applicant_id", "scale_band", "period", "sector"])
-    rows = in_period(in_sectors(rows, sectors, case_sensitive), period)
-    rank = F.coalesce(-parse_number(F.col("scale_band")), F.lit(float("inf")))
-    best = F.min_by(F.struct("sector", "scale_band"), F.struct(rank.alias("rank"), *row_order(order).columns))
-    kept = rows.groupBy("period", "applicant_id").agg(best.alias("best"))
+    rows = _folded(require(df, ["scale_band"]), order, sectors, period, case_sensitive)
+    kept = rows.groupBy("period", "applicant_id").agg(_best().alias("best"))
     return kept.select("period", "applicant_id", "best.sector", "best.scale_band")
 
 
@@ -39,3 +61,20 @@ def band_counts(
     """Applicants per period, sector and band, each applicant credited once per period."""
     kept = top_band_per_applicant(df, order, sectors, period, case_sensitive)
     return kept.groupBy(*SECTOR, "scale_band").agg(F.count("*").alias("applicants"))
+
+
+def credits(
+    df: DataFrame, order: Order, sectors: Sequence[str] | None = None, period=None, case_sensitive: bool = False
+) -> DataFrame:
+    """Applicants per period, sector and credited band, in one pass over the rows.
+
+    An applicant counts in each of their sectors: with their top band in the sector it is credited to, with
+    a null band in the others. So the sum over all bands is the number of a sector's applicants, and the
+    rows with a band are those of `band_counts`.
+    """
+    rows = _folded(df, order, sectors, period, case_sensitive)
+    # The sectors that one applicant applied in.
+    found = rows.groupBy("period", "applicant_id").agg(_best().alias("best"), F.collect_set("sector").alias("sectors"))
+    each = found.select("period", "best", F.explode("sectors").alias("sector"))
+    band = F.when(F.col("sector") == F.col("best.sector"), F.col("best.scale_band"))
+    return each.groupBy(*SECTOR, band.alias("scale_band")).agg(F.count("*").alias("applicants"))

@@ -64,23 +64,25 @@ def last_round_applicants(
     return counts.select(*group, F.col("n").alias(name))
 
 
-def last_round_rows(
-    df: DataFrame, group: Sequence[str], broadcast_up_to: int | None = None
-) -> DataFrame:
+def _rows_with_round(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    return require(df, needed_for_demand(group)).withColumn("round", round_from_all_digits(F.col("round_label")))
+
+
+def last_rounds(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The number of the last round of each group, as `round`."""
+    return _rows_with_round(df, group).groupBy(*group).agg(F.max("round").alias("round"))
+
+
+def last_round_rows(df: DataFrame, group: Sequence[str], last: DataFrame | None = None) -> DataFrame:
     """The rows that belong to the last round of their group, with its number as `round`.
 
     The maximum is aggregated and joined back instead of taken over a window, so that no task has to
-    hold a whole group. The join shuffles the rows by group and round. With `broadcast_up_to` the
-    groups are counted first (one job over the group columns and the label), and up to that many are
-    broadcast, which spares the shuffle.
+    hold a whole group. `last` may give the result of `last_rounds`, for instance read from a table or
+    with a hint: where it is known to be small, a broadcast spares the shuffle of the rows. Without, rows
+    are shuffled by group and round, and adaptive execution splits the partition of a large group.
     """
-    rows = require(df, needed_for_demand(group)).withColumn(
-        "round", round_from_all_digits(F.col("round_label"))
-    )
-    last = rows.groupBy(*group).agg(F.max("round").alias("round"))
-    if broadcast_up_to is not None and last.count() <= broadcast_up_to:
-        last = F.broadcast(last)
-    return rows.join(last, [*group, "round"], "left_semi")
+    last = last_rounds(df, group) if last is None else last
+    return _rows_with_round(df, group).join(last, [*group, "round"], "left_semi")
 
 
 def balance_demand(df: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomtide.operators.reshape import round_columns
-from roomtide.operators.selection import in_sectors, require
+from roomtide.operators.selection import all_present, in_sectors, require
 from roomtide.schema import RESIDENCE, SECTOR, RowOrder, row_order
 
 Order = RowOrder | Sequence[str]
 
+# Residence-level facts that repeat on every row.
+FACTS = ["capacity", "offered_total", "leftover", "renewals_confirmed"]
+
 
 def first_values(
     df: DataFrame,
@@ -190,32 +193,52 @@ def round_places(df: DataFrame, group: Sequence[str]) -> DataFrame:
     return long.select(*group, F.substring_index("name", "_", -1).cast("double").alias("round"), "places")
 
 
+def folded(df: DataFrame, order: Order) -> DataFrame:
+    """One row per residence of a period and combination of its facts, null keys included.
+
+    Facts repeat on every row, so this is little more than one row per residence, and all place measures
+    follow from it: the place of the first row of each combination in the order (`place`), the largest
+    places per round, and coordinate sums over the rows that have both coordinates.
+    """
+    columns, unit = row_order(order)
+    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    measures = [
+        F.sum(F.when(located, F.col("latitude"))).alias("latitude_sum"),
+        F.sum(F.when(located, F.col("longitude"))).alias("longitude_sum"),
+        F.sum(F.when(located, 1).otherwise(0)).alias("located_rows"),
+        *[F.max(c).alias(n) for n, c in places_by_round(df).items()],
+    ]
+    keys = [*RESIDENCE, *FACTS]
+    if unit and len(columns) == unit + 1:
+        # A number within each stretch of input; a struct with the stretch only for these few rows.
+        rows = df.groupBy(*keys, *columns[:unit]).agg(F.min(columns[unit]).alias("place"), *measures)
+        return rows.withColumn("place", F.struct(*columns[:unit], "place")).drop(*columns[:unit])
+    place = F.min(columns[0] if len(columns) == 1 else F.struct(*columns))
+    return df.groupBy(*keys).agg(place.alias("place"), *measures)
+
+
 def residence_facts(df: DataFrame, order: Order) -> DataFrame:
     """Everything the reports need to know of a residence in a period, from one pass over the rows.
 
     One row per (period, sector, residence), null keys included: first present capacity and offered
     places, renewals on the first row with a capacity (null without one), largest places per round,
-    and coordinate sums over the rows that have both coordinates.
+    coordinate sums over the rows that have both coordinates, the distinct leftover values and the
+    distinct pairs of renewals and capacity.
     """
-    has_capacity = F.col("capacity").isNotNull()
-    located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    facts = first_values(
-        df,
-        RESIDENCE,
-        order,
-        firsts={
-            "capacity_order": (
-                has_capacity,
-                {"capacity": "capacity", "first_renewals": "renewals_confirmed"},
-            ),
-            "offered_order": (F.col("offered_total").isNotNull(), {"offered": "offered_total"}),
-        },
-        sums={
-            "latitude_sum": F.when(located, F.col("latitude")),
-            "longitude_sum": F.when(located, F.col("longitude")),
-            "located_rows": F.when(located, 1).otherwise(0),
-        },
-        largest=places_by_round(df),
+    with_capacity = F.when(F.col("capacity").isNotNull(), F.col("place"))
+    with_offered = F.when(F.col("offered_total").isNotNull(), F.col("place"))
+    pair = F.when(F.col("capacity").isNotNull(), F.struct("renewals_confirmed", "capacity"))
+    facts = folded(df, order).groupBy(*RESIDENCE).agg(
+        F.min(with_capacity).alias("capacity_order"),
+        F.min_by("capacity", with_capacity).alias("capacity"),
+        F.min_by("renewals_confirmed", with_capacity).alias("first_renewals"),
+        F.min_by("offered_total", with_offered).alias("offered"),
+        F.sum("latitude_sum").alias("latitude_sum"),
+        F.sum("longitude_sum").alias("longitude_sum"),
+        F.sum("located_rows").alias("located_rows"),
+        *[F.max(n).alias(n) for n in places_by_round(df)],
+        F.collect_set("leftover").alias("leftovers"),
+        F.collect_set(pair).alias("renewal_pairs"),
     )
     renewed = F.when(F.col("capacity").isNotNull(), F.coalesce("first_renewals", F.lit(0.0)))
     return facts.withColumn("renewals_confirmed", renewed)
@@ -224,25 +247,36 @@ def residence_facts(df: DataFrame, order: Order) -> DataFrame:
 def place_summary(df: DataFrame, group: Sequence[str], order: Order) -> DataFrame:
     """All place measures of the sector or residence reports from one pass over the rows.
 
-    Columns: the group, `capacity_total`, `offered`, `renewals_confirmed`, `places_<k>` and, at sector
-    level, `latitude` and `longitude`. A measure is null where the single operator has no row.
+    Columns: the group, `capacity_total`, `offered`, `renewals_confirmed`, `leftover`, `places_<k>` and,
+    at sector level, `latitude` and `longitude`. A measure is null where the single operator has no row.
     """
     facts = residence_facts(df, order)
     rounds = [c for c in facts.columns if c.startswith("places_")]
+    placed = all_present(["period", "sector"])
     if "residence" in group:
+        total = F.aggregate("leftovers", F.lit(0.0), lambda a, b: a + b)
         return facts.filter(F.col("residence").isNotNull()).select(
             *group,
             F.col("capacity").alias("capacity_total"),
             "offered",
             "renewals_confirmed",
+            F.when(placed & (F.size("leftovers") > 0), total).alias("leftover"),
             *[F.coalesce(c, F.lit(0.0)).alias(c) for c in rounds],
         )
-    named = F.col("residence").isNotNull()
-    return facts.groupBy(*group).agg(
+    # A row for each leftover value of a residence; its other measures are on the first of them.
+    rows = facts.select("*", F.posexplode_outer("leftovers").alias("nth", "leftover_value"))
+    first = F.coalesce(F.col("nth"), F.lit(0)) == 0
+    named = first & F.col("residence").isNotNull()
+    return rows.groupBy(*group).agg(
         F.sum(F.when(named, F.col("capacity"))).alias("capacity_total"),
         F.sum(F.when(named, F.col("offered"))).alias("offered"),
-        F.sum("renewals_confirmed").alias("renewals_confirmed"),
-        F.try_divide(F.sum("latitude_sum"), F.sum("located_rows")).alias("latitude"),
-        F.try_divide(F.sum("longitude_sum"), F.sum("located_rows")).alias("longitude"),
-        *[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in rounds],
+        F.sum(F.when(first, F.col("renewals_confirmed"))).alias("renewals_confirmed"),
+        F.sum_distinct(F.when(placed, F.col("leftover_value"))).alias("leftover"),
+        F.try_divide(F.sum(F.when(first, F.col("latitude_sum"))), F.sum(F.when(first, F.col("located_rows")))).alias(
+            "latitude"
+        ),
+        F.try_divide(F.sum(F.when(first, F.col("longitude_sum"))), F.sum(F.when(first, F.col("located_rows")))).alias(
+            "longitude"
+        ),
+        *[F.sum(F.when(first, F.coalesce(c, F.lit(0.0)))).alias(c) for c in rounds],
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomtide.functions import safe_name
@@ -24,10 +24,13 @@ def round_columns(df: DataFrame, prefix: str = ROUND_PREFIX) -> dict[int, list[s
 
 def unpivot_rounds(df: DataFrame, ids: Sequence[str], prefix: str = ROUND_PREFIX) -> DataFrame:
     """One row per input row and round column: the ids, `round` and `places` (null kept)."""
-    columns = [c for names in round_columns(df, prefix).values() for c in names]
-    long = df.unpivot(list(ids), columns, "round_name", "places")
-    number = F.regexp_extract(F.substring("round_name", len(prefix) + 1, 1000), "([0-9]+)", 1)
-    return long.select(*ids, number.cast("double").alias("round"), "places")
+    pairs = [
+        part
+        for k, names in round_columns(df, prefix).items()
+        for name in names
+        for part in (F.lit(float(k)), F.col(f"`{name}`"))
+    ]
+    return df.select(*ids, F.stack(F.lit(len(pairs) // 2), *pairs).alias("round", "places"))
 
 
 def complete(
@@ -35,15 +38,11 @@ def complete(
 ) -> DataFrame:
     """Add the missing pairs of `key` and `other` within each `group` with a count of 0.
 
-    The values of `other` present in a group are gathered into one short list (they are categories)
-    and expanded per key, so no cartesian product is planned.
+    The pairs are the result, so there are as many as keys times categories of a group.
     """
-    categories = counts.groupBy(*group).agg(F.collect_set(F.struct(other)).alias("categories"))
     keys = counts.select(*group, key).distinct()
-    pairs = keys.join(categories, list(group)).select(
-        *group, key, F.explode("categories").alias("category")
-    )
-    pairs = pairs.select(*group, key, F.col(f"category.{other}").alias(other))
+    others = counts.select(*group, other).distinct()
+    pairs = keys.join(others, list(group))
     filled = pairs.join(counts, [*group, key, other], "left")
     return filled.fillna(0, [count]).select(*group, key, other, count)
 
@@ -54,23 +53,46 @@ def band_column(band: str) -> str:
     return f"band_{plain or 'blank'}"
 
 
-def pivot_bands(
-    counts: DataFrame, group: Sequence[str], count: str, bands: Sequence[str] | None = None
-) -> DataFrame:
-    """One count column per band, 0 where a band is missing.
+def band_columns(bands: Sequence[str]) -> dict[str, str]:
+    """Band -> its column name, unique: a name that is taken gets a number."""
+    names: dict[str, str] = {}
+    for band in bands:
+        plain, k = band_column(band), 1
+        name = plain
+        while name in names.values():
+            k += 1
+            name = f"{plain}_{k}"
+        names[band] = name
+    return names
+
+
+def present_bands(counts: DataFrame) -> list[str]:
+    """The bands of a count table, sorted. Runs its plan; the table of bands has a column for each, so they are few."""
+    found = counts.agg(F.sort_array(F.collect_set("scale_band"))).first()[0]
+    return [b for b in found if b is not None]
+
 
-    With `bands` the columns are fixed and every other band is summed in `band_other`; without,
-    the bands present are looked up first.
+def band_sums(bands: Sequence[str] | None, counts: DataFrame, count: str) -> dict[str, Column]:
+    """Column name -> aggregate that sums `count` over the rows of its band.
+
+    With `bands` the columns are fixed, a band counts in any letter case, and every other band is
+    summed in `band_other`. With None the bands present are looked up first, each as it is spelled.
     """
+    amount, band = F.col(count), F.col("scale_band")
     if bands is None:
-        wide = counts.groupBy(*group).pivot("scale_band").agg(F.sum(count))
-        values = [c for c in wide.columns if c not in group]
-        names = {v: band_column(v) for v in values}
-        return wide.select(*group, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(names[v]) for v in values])
-    names = [band_column(b) for b in bands] + ["band_other"]
-    known = F.create_map(*[F.lit(x) for b in bands for x in (b, band_column(b))])
-    named = counts.withColumn("band_name", F.coalesce(known[F.col("scale_band")], F.lit("band_other")))
-    return named.groupBy(*group).pivot("band_name", names).agg(F.sum(count)).fillna(0, names)
+        conditions = {name: band == b for b, name in band_columns(present_bands(counts)).items()}
+    else:
+        folded = F.lower(band)
+        conditions = {name: folded == b.lower() for b, name in band_columns(bands).items()}
+        conditions["band_other"] = ~folded.isin([b.lower() for b in bands])
+    return {name: F.coalesce(F.sum(F.when(c, amount)), F.lit(0)) for name, c in conditions.items()}
+
+
+def pivot_bands(
+    counts: DataFrame, group: Sequence[str], count: str, bands: Sequence[str] | None = None
+) -> DataFrame:
+    """One count column per band, 0 where a band is missing; see `band_sums` for the columns."""
+    return counts.groupBy(*group).agg(*[c.alias(n) for n, c in band_sums(bands, counts, count).items()])
 
 
 def add_safe_area(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roomtide.functions.numbers import plain_text
 from roomtide.schema import NOT_ELIGIBLE
 
 
@@ -41,28 +42,23 @@ def sector_chosen(sectors: Sequence[str] | None, case_sensitive: bool = False) -
     return F.coalesce(F.lower(sector).isin([s.lower() for s in sectors]), F.lit(False))
 
 
-def in_sectors(
-    df: DataFrame, sectors: Sequence[str] | DataFrame | None, case_sensitive: bool = False
-) -> DataFrame:
-    """Rows of the chosen sectors.
-
-    Names can be a list or, for long selections, a DataFrame with a `sector` column.
-    """
-    if isinstance(sectors, DataFrame):
-        if case_sensitive:
-            return df.join(sectors.select("sector"), "sector", "left_semi")
-        names = sectors.select(F.lower("sector").alias("chosen_sector"))
-        return df.join(names, F.lower(df["sector"]) == names["chosen_sector"], "left_semi")
+def in_sectors(df: DataFrame, sectors: Sequence[str] | None, case_sensitive: bool = False) -> DataFrame:
+    """Rows of the chosen sectors."""
     return df.filter(sector_chosen(sectors, case_sensitive))
 
 
-def in_period(df: DataFrame, period: str | int | None) -> DataFrame:
+def period_is(period: str | float, column: Column, kind: str) -> Column:
+    """Whether a period column of type `kind` is the given period, compared as text: 2025, 2025.0 and "2025" agree."""
+    if isinstance(period, float) and period.is_integer():
+        period = int(period)
+    return plain_text(column, kind) == F.lit(str(period))
+
+
+def in_period(df: DataFrame, period: str | float | None) -> DataFrame:
     """Rows of one period, compared as text. None keeps every row that has a period."""
     if period is None:
         return df.filter(F.col("period").isNotNull())
-    if dict(df.dtypes)["period"] == "string":
-        return df.filter(F.col("period") == F.lit(str(period)))
-    return df.filter(F.col("period").cast("string") == F.lit(str(period)))
+    return df.filter(period_is(period, F.col("period"), dict(df.dtypes)["period"]))
 
 
 def periods(df: DataFrame) -> DataFrame:

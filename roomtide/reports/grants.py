@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomtide.functions import band_rank, ratio, round_to
-from roomtide.operators.bands import band_counts
-from roomtide.operators.demand import sector_applicants
+from roomtide.operators.bands import credits
 from roomtide.operators.places import Order
-from roomtide.operators.reshape import pivot_bands
+from roomtide.operators.reshape import band_sums
 from roomtide.operators.selection import positive
 from roomtide.schema import BAND_ORDER, BANDS, NON_GRANT, SECTOR, TOTAL
 
@@ -29,19 +28,27 @@ def band_table(
     """Sectors by band with holders of no grant and totals, and a total row per period (last).
 
     Each applicant is credited to one sector while the sector's applicants count them in each, so
-    `non_grant` includes grant holders credited elsewhere. Sectors without any banded row are left
-    out. Bands outside `bands` are summed in `band_other`; `bands=None` gives every band a column.
+    `non_grant` includes grant holders credited elsewhere. Sectors without any credited applicant are
+    left out. With `bands` a band counts in any letter case ("0 bis" in `band_0_bis`), and others are
+    summed in `band_other`; `bands=None` looks the bands up and gives each spelling a column. A band
+    called like the holders of no grant has no column, as theirs is computed.
     """
-    counts = band_counts(df, order, sectors, period, case_sensitive)
-    wide = pivot_bands(counts, SECTOR, "applicants", bands)
-    columns = [c for c in wide.columns if c not in SECTOR]
-    totals = sector_applicants(df, sectors, period, case_sensitive)
-    in_bands = reduce(Column.__add__, [F.col(c) for c in columns], F.lit(0))
+    counts = credits(df, order, sectors, period, case_sensitive)
+    banded = counts.filter(F.col("scale_band") != NON_GRANT)
+    sums = band_sums(bands, banded if bands is None else counts, "applicants")
+    if "band_other" in sums:
+        spared = F.sum(F.when(F.lower("scale_band") == NON_GRANT.lower(), F.col("applicants")))
+        sums["band_other"] = sums["band_other"] - F.coalesce(spared, F.lit(0))
+    in_bands = F.coalesce(F.sum(F.when(F.col("scale_band").isNotNull(), F.col("applicants"))), F.lit(0))
+    table = counts.groupBy(*SECTOR).agg(
+        *[c.alias(n) for n, c in sums.items()], in_bands.alias("in_bands"), F.sum("applicants").alias("sector_applicants")
+    )
+    total = reduce(Column.__add__, [F.col(n) for n in sums], F.col("non_grant"))
     table = (
-        wide.join(totals, SECTOR, "left")
-        .withColumn("non_grant", F.greatest(F.col("sector_applicants") - in_bands, F.lit(0)))
-        .drop("sector_applicants")
-        .withColumn("total", in_bands + F.col("non_grant"))
+        table.filter("in_bands > 0")
+        .withColumn("non_grant", F.greatest(F.col("sector_applicants") - F.col("in_bands"), F.lit(0)))
+        .withColumn("total", total)
+        .drop("in_bands", "sector_applicants")
     )
     return with_total_rows(table) if with_total else table
 
@@ -69,15 +76,19 @@ def band_distribution(
 
     Only positive counts appear. Sectors are compared exactly here.
     """
-    counts = band_counts(df, order, sectors, period, case_sensitive)
-    totals = sector_applicants(df, sectors, period, case_sensitive)
-    per_sector = counts.groupBy(*SECTOR).agg(F.sum("applicants").alias("in_bands"))
-    without = per_sector.join(totals, SECTOR, "left").select(
-        "period",
+    counts = credits(df, order, sectors, period, case_sensitive)
+    banded, n = F.col("scale_band").isNotNull(), F.col("applicants")
+    per_sector = counts.groupBy(*SECTOR).agg(
+        F.sum(n).alias("sector_applicants"),
+        F.sum(F.when(banded, n)).alias("in_bands"),
+        # The bands of one sector; one called like the holders of no grant gives way to their computed number.
+        F.collect_list(F.when(banded & (F.col("scale_band") != NON_GRANT), F.struct("scale_band", "applicants"))).alias("parts"),
+    )
+    without = F.struct(
         F.lit(NON_GRANT).alias("scale_band"),
         F.greatest(F.col("sector_applicants") - F.col("in_bands"), F.lit(0)).alias("applicants"),
     )
-    parts = counts.select("period", "scale_band", "applicants").unionByName(without)
+    parts = per_sector.filter("in_bands > 0").select("period", F.inline(F.concat("parts", F.array(without))))
     summed = parts.groupBy("period", "scale_band").agg(F.sum("applicants").alias("applicants"))
     # A few bands per period.
     total = F.sum("applicants").over(Window.partitionBy("period"))

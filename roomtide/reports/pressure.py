@@ -1,8 +1,8 @@
 """Pressure, balance, renewals and the final table, per sector or residence.
 
 The reports share two summaries, each one pass over the rows: applicants (`demand_summary`) and
-places (`place_summary`); a third pass reads only the leftover places. The passes read nearly disjoint
-columns. Everything after them works on one row per group.
+places (`place_summary`). The passes read nearly disjoint columns. Everything after them works on one row
+per group.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from roomtide.functions import adjusted_pressure, percent, raw_pressure
 from roomtide.operators.demand import balance_demand, demand_summary
 from roomtide.operators.joins import left_join_null_safe, star
-from roomtide.operators.places import Order, leftover, place_summary, round_places
-from roomtide.operators.selection import in_period, in_sectors, require, sector_chosen
+from roomtide.operators.places import Order, place_summary, round_places
+from roomtide.operators.selection import in_period, in_sectors, only_existing, require, sector_chosen
 from roomtide.operators.shares import concentration
 from roomtide.schema import NOT_ELIGIBLE, SECTOR
 
@@ -41,7 +41,7 @@ def _indicators(
     if sectors is not None:
         shared = shared.filter(F.when(F.col("concentration_pct").isNotNull(), sector_chosen(sectors)))
         rows = in_sectors(rows, sectors)
-    joined = star(shared, [place_summary(rows, group, order), leftover(rows, group)], group)
+    joined = star(shared, [place_summary(rows, group, order)], group)
     offered = F.col("offered")
     return joined.withColumn("pressure_raw", raw_pressure(F.col("applicants"), offered)).withColumn(
         "pressure_adjusted", adjusted_pressure(F.col("eligible_last_round"), offered, F.col("leftover"))
@@ -61,21 +61,25 @@ def pressure(
     Concentration is relative to the whole period: choose sectors with `sectors` or from the result,
     not before.
     """
-    located = [] if "residence" in group else ["latitude", "longitude"]
     rows = df if period is None else in_period(df, period)
-    return _indicators(rows, group, order, excluded, sectors).select(
-        *group,
-        "applicants",
-        "capacity_total",
-        "offered",
-        "applicants_last_round",
-        "leftover",
-        "eligible_last_round",
-        *located,
-        "pressure_raw",
-        "pressure_adjusted",
-        "concentration",
-        "concentration_pct",
+    # Coordinates exist at sector level only.
+    return only_existing(
+        _indicators(rows, group, order, excluded, sectors),
+        [
+            *group,
+            "applicants",
+            "capacity_total",
+            "offered",
+            "applicants_last_round",
+            "leftover",
+            "eligible_last_round",
+            "latitude",
+            "longitude",
+            "pressure_raw",
+            "pressure_adjusted",
+            "concentration",
+            "concentration_pct",
+        ],
     )
 
 

@@ -17,10 +17,10 @@ from roomtide.functions import (
 )
 from roomtide.operators.demand import count_by_rule, last_count
 from roomtide.operators.joins import star
-from roomtide.operators.places import Order, leftover_per_period, renewals_per_period, residence_facts
+from roomtide.operators.places import Order, residence_facts
 from roomtide.operators.selection import in_sectors, is_eligible, require, sector_chosen
 from roomtide.operators.shares import yearly_growth
-from roomtide.schema import NOT_ELIGIBLE, PERIOD, RESIDENCE
+from roomtide.schema import NOT_ELIGIBLE, PERIOD
 
 MEASURES = ("applicants", "applicants_last_round", "offered", "leftover")
 
@@ -59,20 +59,51 @@ def yearly_demand(
 
 
 def yearly_places(
-    df: DataFrame, order: Order, sectors: Sequence[str] | None = None
+    df: DataFrame,
+    order: Order,
+    sectors: Sequence[str] | None = None,
+    leftover_per: Sequence[str] = ("period", "sector", "residence"),
+    residence_needed: bool = False,
 ) -> DataFrame:
-    """Offered places (chosen sectors) and capacity (all sectors) per period.
+    """All place measures per period from one pass over the rows.
 
-    Capacity takes the first row of each residence name in the period, whatever its sector. Periods
-    without offered places in the selection are left out.
+    Offered places and `leftover` are those of the chosen sectors, capacity and renewals of all. Capacity
+    takes the first row of each residence name in the period, whatever its sector. Leftover sums the
+    distinct values per `leftover_per`, with `residence_needed` only of rows that name a residence.
+    Periods without offered places in the selection are left out.
     """
-    facts = residence_facts(require(df, RESIDENCE), order)
+    facts = residence_facts(require(df, ["period", "sector"]), order)
+    named, chosen = F.col("residence").isNotNull(), sector_chosen(sectors)
+    counted = chosen & named if residence_needed else chosen
+    values = F.transform("leftovers", lambda v: F.struct(F.col("sector").alias("sector"), v.alias("value")))
+    pairs_sum = F.aggregate(
+        "renewal_pairs", F.lit(0.0), lambda a, pair: a + F.coalesce(pair["renewals_confirmed"], F.lit(0.0))
+    )
     per_name = facts.groupBy("period", "residence").agg(
-        F.min_by("capacity", "capacity_order").alias("capacity"),
-        F.sum(F.when(sector_chosen(sectors), F.col("offered"))).alias("offered"),
+        F.min_by("capacity", F.when(named, F.col("capacity_order"))).alias("capacity"),
+        F.sum(F.when(chosen & named, F.col("offered"))).alias("offered"),
+        F.sum(F.when(named & (F.size("renewal_pairs") > 0), pairs_sum)).alias("renewals_confirmed"),
+        # The values of a residence name, one for each sector and fact: a few.
+        F.flatten(F.collect_list(F.when(counted, values))).alias("values"),
+    )
+    # A row for each leftover value; the other measures are on the first of a name.
+    measures = ["capacity", "offered", "renewals_confirmed"]
+    rows = per_name.select("period", "residence", *measures, F.posexplode_outer("values").alias("nth", "of"))
+    first = F.coalesce(F.col("nth"), F.lit(0)) == 0
+    rows = rows.select(
+        "period",
+        "residence",
+        *[F.when(first, F.col(m)).alias(m) for m in measures],
+        F.col("of.sector").alias("sector"),
+        F.col("of.value").alias("leftover"),
     )
-    per_period = per_name.groupBy("period").agg(
-        F.sum("capacity").alias("capacity_total"), F.sum("offered").alias("offered")
+    per = [c for c in leftover_per if c != "period"]
+    distinct = rows.groupBy("period", *per, "leftover").agg(*[F.sum(m).alias(m) for m in measures])
+    per_period = distinct.groupBy("period").agg(
+        F.sum("capacity").alias("capacity_total"),
+        F.sum("offered").alias("offered"),
+        F.sum("renewals_confirmed").alias("renewals_confirmed"),
+        F.sum("leftover").alias("leftover"),
     )
     return require(per_period, ["offered"])
 
@@ -100,8 +131,8 @@ def yearly_overview(
     """
     rows = in_sectors(df, sectors) if select_everywhere else df
     joined = star(
-        yearly_places(rows, order, sectors).drop("capacity_total"),
-        [yearly_demand(rows, sectors, excluded), leftover_per_period(rows, sectors, leftover_per)],
+        yearly_places(rows, order, sectors, leftover_per),
+        [yearly_demand(rows, sectors, excluded)],
         PERIOD,
     )
     return (
@@ -135,12 +166,8 @@ def yearly_table(
     """
     rows = in_sectors(df, sectors) if select_everywhere else df
     joined = star(
-        yearly_places(rows, order, sectors),
-        [
-            yearly_demand(rows, sectors, excluded),
-            leftover_per_period(rows, sectors, leftover_per, residence_needed=True),
-            renewals_per_period(rows),
-        ],
+        yearly_places(rows, order, sectors, leftover_per, residence_needed=True),
+        [yearly_demand(rows, sectors, excluded)],
         PERIOD,
     )
     complete = joined.withColumns(

@@ -33,7 +33,6 @@ REQUIRED_COLUMNS = TEXT_COLUMNS + NUMBER_COLUMNS
 ROUND_PREFIX = "offered_round_"
 
 
-
 class RowOrder(NamedTuple):
     """Columns that together order all rows without ties.
 
@@ -94,6 +93,9 @@ PRESSURE_CLASSES = (
 # Shift of the second marker of a sector, in degrees per unit of marker size.
 MARKER_SHIFT = 0.002
 
+# Words of the residence tooltip, each before its value.
+TOOLTIP_WORDS = ("Année :", "<br>Résidence :", "<br>Places:", "<br>Demandes:", "<br>Tension:")
+
 # Names of the two ratios on the area maps.
 RAW_KIND = "Brute"
 ADJUSTED_KIND = "Réajustée"

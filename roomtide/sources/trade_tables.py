@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomtide import schema
+
 ROUNDS = (1, 2, 3, 4)
 
 # Unique per line item at every scale; the first two alone are not.
 ORDER_COLS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
-NOT_ELIGIBLE = ("", "Hors Bareme")
-BANDS = ("0 Bis", "1", "2", "3", "4", "5", "6", "7", "Hors Bareme")
-BAND_ORDER = ("0 Bis", "1", "2", "3", "4", "5", "6", "7", "Non-boursiers", "Hors Bareme")
-
+# The bands of the domain, spelled without accents here.
+NOT_ELIGIBLE, BANDS, BAND_ORDER = (
+    tuple(band.replace("è", "e") for band in bands) for bands in (schema.NOT_ELIGIBLE, schema.BANDS, schema.BAND_ORDER)
+)
 
 # The columns used; declared, so that reading starts no job to look at the files.
 _SCHEMAS = {
