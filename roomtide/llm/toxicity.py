@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from roomtide.llm.common import LOWER, mix, span_hashes, string_bytes, text_batches, words
 
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 8_000
 FEATURE_BITS = 20
 MOST_FEATURES = 3000
 #: Beginnings of words, in bytes, beside whole words.
@@ -111,8 +111,8 @@ def fit(rows: np.ndarray, numbers: np.ndarray, before: np.ndarray, y: np.ndarray
     tells[count < LEAST_DOCS] = 0
     most = min(MOST_FEATURES, int((tells > 0).sum()))
     chosen = np.sort(np.argpartition(-tells, most - 1)[:most]) if most else none.astype(np.int64)
-    index = np.full(1 << FEATURE_BITS, -1)
-    index[chosen] = np.arange(len(chosen))
+    index = np.full(1 << FEATURE_BITS, -1, np.int32)
+    index[chosen] = np.arange(len(chosen), dtype=np.int32)
     at = index[numbers]
     rows, at = rows[at >= 0], at[at >= 0]
     dense = np.concatenate([before, np.ones((n, 1))], axis=1)
@@ -137,7 +137,7 @@ def fit_chain(rows: np.ndarray, numbers: np.ndarray, labels: np.ndarray, folds:
     before = np.zeros((n, 0))
 
     def part(keep: np.ndarray, y: np.ndarray | None = None):
-        place = np.cumsum(keep) - 1
+        place = (np.cumsum(keep) - 1).astype(np.int32)
         inside = keep[rows]
         pairs = (place[rows[inside]], numbers[inside], before[keep])
         return pairs if y is None else (*pairs, y[keep])
@@ -189,11 +189,15 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, seed: int =
     schema = f"doc_id long, {', '.join(f'{n} double' for n in names)}, numbers binary"
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(collect, schema).limit(2 * TRAIN_ROWS)
     table = rows.toArrow().sort_by("doc_id")
-    found = [np.frombuffer(x, "<u4") for x in table.column("numbers").to_pylist()]
-    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    numbers = np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int64)
-    y = np.column_stack([table.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names]).reshape(len(found), len(names))
+    data, ends = string_bytes(table.column("numbers"))
+    numbers = data.view("<u4").astype(np.int32)
+    owner = np.repeat(np.arange(table.num_rows, dtype=np.int32), np.diff(ends) // 4)
+    y = np.column_stack([table.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
     ids = table.column("doc_id").to_numpy()
+    del table, data
+    # Most features are in a document or two: none of them is ever chosen.
+    common = np.bincount(numbers, minlength=1 << FEATURE_BITS)[numbers] >= LEAST_DOCS
+    owner, numbers = owner[common], numbers[common]
     folds = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
     return fit_chain(owner, numbers, y, folds)
 
