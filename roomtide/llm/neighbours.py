@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomtide.llm.common import buckets, dealt, written
+from roomtide.llm.common import dealt, written
 
 SAMPLE = 20_000
 MOST_CENTROIDS = 1024
 #: Vectors in a cell on average, as long as there are enough centroids.
-CELL = 4
+CELL = 16
+#: Vectors that are reranked together: a query's visits, and so its short lists, grow with the index, not with the cluster.
+GROUP = 2048
 #: Queries whose true neighbours are found to set the number of candidates, and the part of them to be reached.
 TRIALS = 100
 RECALL = 0.96
@@ -205,7 +207,7 @@ def nearest(
     if asks.isEmpty():
         return spark.createDataFrame([], RESULT)
     candidates = candidates_needed(index, asks, codebooks, sizes, k, recall)
-    shards = buckets(spark)
+    shards = -(-n // GROUP)
 
     def groups_of(cell: np.ndarray, block: np.ndarray) -> np.ndarray:
         return dealt(cell * (1 << 20) + block, shards)
@@ -254,12 +256,16 @@ def nearest(
             order = np.argsort(cell, kind="stable")
             by_cell = cell[order]
             asked = vectors(right.column("query").combine_chunks())
-            for i, (entry, visited) in enumerate(zip(right.column("entry").to_pylist(), right.column("cells").to_pylist(), strict=True)):
-                at = np.concatenate([order[slice(*np.searchsorted(by_cell, [c, c + 1]))] for c in visited])
+            aims = unit(asked)
+            for i, (entry, visited) in enumerate(zip(right.column("entry").to_pylist(), right.column("cells"), strict=True)):
+                visited = visited.values.to_numpy()
+                low, high = np.searchsorted(by_cell, visited), np.searchsorted(by_cell, visited, "right")
+                counts = high - low
+                at = order[np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
                 if not len(at):
                     continue
                 # A fast product finds who can be among the nearest; scores are then summed row by row.
-                close = directions[at] @ unit(asked[i : i + 1])[0]
+                close = directions[at] @ aims[i]
                 if len(at) > k + 1:
                     at = at[close >= np.partition(close, -(k + 1))[-(k + 1)] - 1e-9]
                 scores = cosine(x[at], asked[i])
