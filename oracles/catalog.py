@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from oracles import sql
 from roomtide.functions import (
     marker_size,
+    number_text,
     percent,
     pressure_class,
     pressure_class_rank,
@@ -87,6 +88,17 @@ def _conform(a):
     return conform(untyped).select(*ALL_COLUMNS)
 
 
+@register(
+    "conform_numeric_text",
+    f"""SELECT {_keys}, period, CASE WHEN TRY_CAST(scale_band AS DOUBLE) IS NULL THEN NULL ELSE scale_band END AS scale_band
+        FROM applications""",
+)
+def _conform_numbers(a):
+    """Period and band given as numbers, as a spreadsheet reader returns them, and written out again."""
+    numbers = {c: F.col(c).try_cast("double") for c in ("period", "scale_band")}
+    return conform(a.withColumns(numbers)).select(*KEYS, "period", "scale_band")
+
+
 _FILTERED = ["period", "sector", "residence", "scale_band", "capacity", *KEYS]
 _filtered = f"SELECT {', '.join(_FILTERED)} FROM applications WHERE"
 
@@ -105,6 +117,11 @@ register("filter_sectors_cs", f"{_filtered} {EXACT_SQL}")(
 register("filter_period", f"{_filtered} period = '{ONE_PERIOD}'")(
     lambda a: selection.in_period(a, int(ONE_PERIOD)).select(*_FILTERED)
 )
+register("filter_period_numeric", f"SELECT sector, residence, {_keys} FROM applications WHERE period = '{ONE_PERIOD}'")(
+    lambda a: selection.in_period(a.withColumn("period", F.col("period").cast("double")), ONE_PERIOD).select(
+        "sector", "residence", *KEYS
+    )
+)
 register("list_periods", "SELECT DISTINCT period FROM applications WHERE period IS NOT NULL")(selection.periods)
 register(
     "filter_newest_period", f"{_filtered} period = (SELECT max(period) FROM applications)"
@@ -127,6 +144,45 @@ register(
        FROM applications""",
 )(lambda a: a.select("residence").distinct().withColumn("safe", safe_name(F.col("residence"))))
 
+_ACCENTS = ("Suplier0123", "ŠüpłîéŕàÇøñ")
+register(
+    "safe_name_accented",
+    f"""SELECT DISTINCT residence, regexp_replace(
+          replace(replace(strip_accents(translate(residence, '{_ACCENTS[0]}', '{_ACCENTS[1]}')), 'ł', 'l'), 'ø', 'o'),
+          '[^a-zA-Z0-9]', '_', 'g') AS safe
+        FROM applications""",
+)(
+    lambda a: a.select("residence")
+    .distinct()
+    .withColumn("safe", safe_name(F.translate("residence", *_ACCENTS)))
+)
+_VALUES = {
+    "small": "l_extendedprice / 1e9::DOUBLE / l_partkey",
+    "long": "l_extendedprice / 7.0::DOUBLE",
+    "large": "l_extendedprice * 1e11::DOUBLE * l_suppkey",
+    "whole": "CAST(l_partkey * 100000 AS DOUBLE)",
+}
+register(
+    "number_text",
+    " UNION ALL ".join(
+        f"SELECT DISTINCT '{kind}' AS kind, x, {sql.number_text('x')} AS label FROM (SELECT {value} AS x FROM applications)"
+        for kind, value in _VALUES.items()
+    ),
+)(
+    lambda a: a.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(kind).alias("kind"), F.expr(value.replace("1e9::DOUBLE", "1e9D").replace("1e11::DOUBLE", "1e11D").replace("7.0::DOUBLE", "7D")).cast("double").alias("x"))
+                    for kind, value in _VALUES.items()
+                ]
+            )
+        )
+    )
+    .distinct()
+    .withColumn("label", number_text(F.col("x")))
+)
+
 # --- applicant counts ---
 
 for _level, _group in (("sector", SECTOR), ("residence", RESIDENCE), ("period", PERIOD)):
@@ -275,6 +331,7 @@ register("band_pivot", sql.pivoted())(
 register("band_table_with_total", sql.band_table())(
     lambda a: grants.band_table(a, ORDER, bands=trade.BANDS)
 )
+register("band_table_discovered", sql.band_table_discovered())(lambda a: grants.band_table(a, ORDER, bands=None))
 _one = f"period = '{ONE_PERIOD}' AND {sql.chosen(SOME_SECTORS)}"
 register("band_table", sql.band_table(_one))(
     lambda a: grants.band_table(a, ORDER, SOME_SECTORS, ONE_PERIOD, trade.BANDS)

@@ -129,7 +129,7 @@ def number_text(x: str) -> str:
     form = f"printf('%.14e', abs({x}))"
     power = f"CAST(split_part({form}, 'e', 2) AS INTEGER)"
     digits = f"rtrim(replace(split_part({form}, 'e', 1), '.', ''), '0')"
-    fixed = f"""(CASE WHEN {power} >= length({digits}) - 1 THEN rpad({digits}, {power} + 1, '0')
+    fixed = f"""(CASE WHEN {power} >= 15 THEN printf('%.0f', abs({x})) WHEN {power} >= length({digits}) - 1 THEN rpad({digits}, {power} + 1, '0')
       WHEN {power} >= 0 THEN substr({digits}, 1, {power} + 1) || '.' || substr({digits}, {power} + 2)
       ELSE '0.' || repeat('0', -{power} - 1) || {digits} END)"""
     scientific = f"""(substr({digits}, 1, 1) || CASE WHEN length({digits}) > 1 THEN '.' || substr({digits}, 2) ELSE '' END
@@ -418,6 +418,19 @@ def band_table(where: str = "sector IS NOT NULL", total: bool = True) -> str:
     return added if total else table
 
 
+def band_table_discovered() -> str:
+    """The table with a column for each band that someone is credited with: here the known ones and the empty one."""
+    names = {**BANDS, "": "band_blank"}
+    sums = ", ".join(f"coalesce(sum(applicants) FILTER (scale_band = '{b}'), 0)::BIGINT AS {c}" for b, c in names.items())
+    plus = " + ".join(names.values())
+    table = f"""SELECT period, sector, {cols(list(names.values()))}, non_grant, {plus} + non_grant AS total
+      FROM (SELECT *, greatest(sector_applicants - ({plus}), 0) AS non_grant
+            FROM (SELECT period, sector, {sums} FROM ({band_counts()}) GROUP BY period, sector)
+            LEFT JOIN ({sector_applicants()}) USING (period, sector))"""
+    total = ", ".join(f"sum({m})::BIGINT AS {m}" for m in [*names.values(), "non_grant", "total"])
+    return f"{table} UNION ALL SELECT period, 'Total' AS sector, {total} FROM ({table}) GROUP BY period"
+
+
 def distribution(where: str = "sector IS NOT NULL") -> str:
     parts = f"""SELECT period, scale_band, applicants FROM ({band_counts(where)})
       UNION ALL SELECT period, 'Non-boursiers', non_grant FROM ({band_table(where, False)})"""

@@ -20,7 +20,7 @@ _STROKES = str.maketrans("łŁøØđĐħĦıŧŦ", "lLoOdDhHitT")
 def _plain_letters() -> tuple[str, str]:
     """Accented Latin letters and the plain letters that they are made of."""
     blocks = [chr(c) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block]
-    plain = {c: unicodedata.normalize("NFD", c.translate(_STROKES))[0] for c in blocks}
+    plain = {c: unicodedata.normalize("NFD", c)[0].translate(_STROKES) for c in blocks}
     found = {c: p for c, p in plain.items() if p != c and p.isascii()}
     return "".join(found), "".join(found.values())
 

@@ -82,7 +82,7 @@ def plain_text(column: Column, kind: str) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A number as a label: up to 15 significant digits, "NA" for null, "Inf"/"-Inf"/"NaN" spelled out.
+    """A number as a label: up to 15 significant digits after which decimals end, "NA" for null, "Inf"/"-Inf"/"NaN" spelled out.
 
     Written out, or in the scientific form where that is shorter: 100000 is "1e+05", 120000 stays
     "120000", 0.0001 is "1e-04", 1e15 is "1e+15".
@@ -94,8 +94,11 @@ def number_text(x: Column) -> Column:
     power = F.substring_index(form, "e", -1).try_cast("int")
     n = F.length(digits)
     whole_part = digits.substr(F.lit(1), power + 1)
+    # Beyond 15 digits before the point the whole number is written out; its double is exact as a bigint.
+    long = F.coalesce(F.rint(F.abs(x)).try_cast("bigint").cast("string"), F.rpad(digits, power + 1, "0"))
     fixed = (
-        F.when(power >= n - 1, F.rpad(digits, power + 1, "0"))
+        F.when(power >= 15, long)
+        .when(power >= n - 1, F.rpad(digits, power + 1, "0"))
         .when(power >= 0, F.concat(whole_part, F.lit("."), digits.substr(power + 2, n)))
         .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
     )

@@ -36,8 +36,8 @@ def test_ratio_without_ansi(spark):
 
 
 def test_round_to(spark):
-    inputs = [0.125, 0.375, 2.675, -0.125, -0.3, 0.27, 1e15, INF, -INF, None, 0.0]
-    want = [0.12, 0.38, 2.67, -0.12, -0.3, 0.27, 1e15, INF, -INF, None, 0.0]
+    inputs = [0.125, 0.375, 2.675, -0.125, -0.3, 0.27, 1e15, INF, -INF, None, 0.0, 2e13 + 0.126, 2.0**52 + 1]
+    want = [0.12, 0.38, 2.67, -0.12, -0.3, 0.27, 1e15, INF, -INF, None, 0.0, 20000000000000.12, 2.0**52 + 1]
     assert evaluate(spark, inputs, lambda x: fn.round_to(x, 2)) == want
     assert math.isnan(evaluate(spark, [NAN], lambda x: fn.round_to(x, 2))[0])
     assert evaluate(spark, [0.25, 0.35, 12.5], lambda x: fn.round_to(x, 1)) == [0.2, 0.3, 12.5]
@@ -86,6 +86,19 @@ def test_number_text(spark):
         123456.0: "123456",
         12000000.0: "1.2e+07",
         12345678.25: "12345678.25",
+        12345678.125: "12345678.125",
+        0.0001: "1e-04",
+        0.001: "0.001",
+        0.00012345: "0.00012345",
+        -1.5e-7: "-1.5e-07",
+        1e15: "1e+15",
+        123456789012345.0: "123456789012345",
+        1234567890123456.0: "1234567890123456",
+        2.0**53: "9007199254740992",
+        1.5e19: "1.5e+19",
+        1 / 3: "0.333333333333333",
+        200 / 3: "66.6666666666667",
+        1e100: "1e+100",
         None: "NA",
         INF: "Inf",
         -INF: "-Inf",
@@ -100,7 +113,7 @@ def test_parse_number(spark):
 
 
 def test_safe_name(spark):
-    cases = {"Lens-Liévin": "Lens_Lievin", "Béthune": "Bethune", "Cœur d'Îlot": "Coeur_d_Ilot", "Lille": "Lille"}
+    cases = {"Škoda Łódź": "Skoda_Lodz", "Ǻřǿ ệ": "Aro_e", "Lens-Liévin": "Lens_Lievin", "Béthune": "Bethune", "Cœur d'Îlot": "Coeur_d_Ilot", "Lille": "Lille"}
     assert evaluate(spark, list(cases), fn.safe_name, "string") == list(cases.values())
 
 
@@ -125,3 +138,13 @@ def test_second_marker(spark):
     assert evaluate(spark, [3.0], lambda x: fn.shifted_longitude(x, lat, size, size)) == pytest.approx([3.016])
     assert evaluate(spark, [60.0], lambda x: fn.shifted_latitude(x, size, size)) == pytest.approx([59.992])
     assert evaluate(spark, [60.0], lambda x: fn.shifted_latitude(x, F.lit(None).cast("double"), size)) == [None]
+
+
+def test_plain_text(spark):
+    numbers = [2025.0, 100000.0, 2025.5, -3.0, 0.0, 1e20, None, NAN]
+    want = ["2025", "100000", "2025.5", "-3", "0", "100000000000000000000", None, None]
+    assert evaluate(spark, numbers, lambda x: fn.plain_text(x, "double")) == want
+    decimals = [Decimal("2025.00"), Decimal("20.50"), Decimal("100"), None]
+    assert evaluate(spark, decimals, lambda x: fn.plain_text(x, "decimal(12,2)"), "decimal(12,2)") == ["2025", "20.5", "100", None]
+    assert evaluate(spark, [2025, None], lambda x: fn.plain_text(x, "bigint"), "bigint") == ["2025", None]
+    assert evaluate(spark, ["2025.0"], lambda x: fn.plain_text(x, "string"), "string") == ["2025.0"]

@@ -22,15 +22,12 @@ def test_eligible(micro, make):
     assert [r.scale_band for r in selection.eligible(odd).collect()] == ["hors barème"]
 
 
-def test_sector_selection(micro, spark):
+def test_sector_selection(micro):
     ids = lambda df: {r.id for r in df.collect()}
     assert ids(selection.in_sectors(micro, ["b"])) == {7, 8, 9}
     assert ids(selection.in_sectors(micro, ["b"], case_sensitive=True)) == set()
     assert ids(selection.in_sectors(micro, ["B"], case_sensitive=True)) == {7, 8, 9}
     assert ids(selection.in_sectors(micro, [])) == set()
-    names = spark.createDataFrame([("b",)], "sector string")
-    assert ids(selection.in_sectors(micro, names)) == {7, 8, 9}
-    assert ids(selection.in_sectors(micro, names, case_sensitive=True)) == set()
 
 
 def test_no_sector_keeps_schema(micro):
@@ -83,21 +80,23 @@ def test_last_round_of_eligible_rows_may_be_earlier(make, rows):
     assert rows(demand.last_round_applicants(df, SECTOR, True), 2) == {A25: (1,)}
 
 
-def test_last_round_rows(micro):
-    for limit in (None, 1, 3):
-        assert {r.id for r in demand.last_round_rows(micro, SECTOR, limit).collect()} == {2, 4, 6, 7, 10}
+def test_last_round_rows(spark, micro):
+    assert {r.id for r in demand.last_round_rows(micro, SECTOR).collect()} == {2, 4, 6, 7, 10}
+    last = F.broadcast(demand.last_rounds(micro, SECTOR))
+    given = demand.last_round_rows(micro, SECTOR, last)
+    assert {r.id for r in given.collect()} == {2, 4, 6, 7, 10}
+    assert "BroadcastHashJoin" in given._jdf.queryExecution().executedPlan().toString()
 
 
-def test_last_round_rows_broadcasts_only_small_groups(spark, micro):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_last_round_rows_starts_no_job(spark, micro):
+    micro.count()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
     try:
-        plans = {
-            limit: demand.last_round_rows(micro, SECTOR, limit)._jdf.queryExecution().executedPlan().toString()
-            for limit in (None, 2, 3)
-        }
+        demand.last_round_rows(micro, SECTOR)
+        assert list(tracker.getJobIdsForGroup("building")) == []
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert {limit: "BroadcastHashJoin" in plan for limit, plan in plans.items()} == {None: False, 2: False, 3: True}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_wishes_and_reportable_groups(micro, rows):
@@ -311,3 +310,38 @@ def test_counts_survive_a_hot_key(spark, make, rows, group):
     assert got == {k: (len(v),) for k, v in want.items()}
     got = rows(demand.last_round_applicants(df, group), len(group))
     assert got == {k: (len(v[max(v)]),) for k, v in last.items()}
+
+
+def test_periods_given_as_numbers(spark):
+    df = spark.createDataFrame([(1, 2025.0), (2, 2024.0), (3, None), (4, float("nan")), (5, 2025.5)], "id int, period double")
+    for period in ("2025", 2025, 2025.0):
+        assert [r.id for r in selection.in_period(df, period).collect()] == [1]
+    assert [r.id for r in selection.in_period(df, "2025.5").collect()] == [5]
+    whole = df.select("id", F.col("period").cast("decimal(10,2)").alias("period"))
+    assert [r.id for r in selection.in_period(whole, "2025").collect()] == [1]
+
+
+def test_bands_as_they_are_spelled(spark, rows):
+    counts = spark.createDataFrame(
+        [("2025", "A", b, n) for n, b in enumerate(["0 Bis", "0 bis", "é", "è", "", "Hors Barème", "9"], 1)],
+        "period string, sector string, scale_band string, applicants long",
+    )
+    found = reshape.pivot_bands(counts, SECTOR, "applicants")
+    assert found.columns[2:] == ["band_blank", "band_0_bis", "band_0_bis_2", "band_9", "band_hors_bareme", "band_e", "band_e_2"]
+    assert rows(found) == {("2025", "A", 5, 1, 2, 7, 6, 4, 3)}
+    fixed = reshape.pivot_bands(counts, SECTOR, "applicants", ["0 Bis", "Hors Barème"])
+    assert rows(fixed) == {("2025", "A", 3, 6, 19)}
+
+
+def test_a_band_called_like_no_grant_gives_way(spark, make, rows):
+    from roomtide.reports import grants
+
+    data = [(i, "2025", "A", "R1", f"S{i}", "Tour 1", band, 1, 1, 1, 1, 0, 0) for i, band in enumerate(["1", "Non-boursiers", None, None])]
+    applications = make(data)
+    for bands in (None, ("1",)):
+        table = grants.band_table(applications, ["id"], bands=bands, with_total=False).first()
+        # Four applicants, two of them with a band of any name.
+        assert (table.band_1, table.non_grant, table.total) == (1, 2, 3)
+        assert "band_non_boursiers" not in table and table.asDict().get("band_other", 0) == 0
+    shares = {r.scale_band: r.applicants for r in grants.band_distribution(applications, ["id"]).collect()}
+    assert shares == {"1": 1, "Non-boursiers": 2}

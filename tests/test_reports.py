@@ -243,3 +243,33 @@ def test_result_does_not_depend_on_partitions(micro, rows):
         shuffled = micro.repartition(parts, F.rand(parts))
         assert rows(pressure.report(shuffled, SECTOR, ORDER)) == wanted[0]
         assert rows(grants.band_table(shuffled, ORDER)) == wanted[1]
+
+
+ONE_NUMBER = [
+    "capacity_sector", "offered_residence", "renewals_sector", "report_sector", "report_residence_selection",
+    "pressure_residence", "yearly_overview", "yearly_table", "top_band_per_applicant", "band_table", "band_distribution",
+]
+
+
+@pytest.mark.parametrize("name", ONE_NUMBER)
+def test_one_number_as_order_gives_the_same(spark, monkeypatch, name):
+    """The order that files have, a single number, against the order of six columns."""
+    from pyspark.sql import Window
+
+    from oracles import catalog
+    from roomtide.schema import RowOrder
+    from roomtide.sources import trade_tables as trade
+
+    folder = "/root/testdata/sf0.001"
+    want = catalog.CATALOG[name].run(spark, folder).collect()
+    plain = trade.applications
+    number = F.row_number().over(Window.orderBy(*trade.ORDER_COLS))
+
+    def numbered(spark, folder):
+        rows = plain(spark, folder).withColumn("position", number.cast("long"))
+        return rows.withColumns({"file": F.lit("f"), "block": F.floor(F.col("position") / 500), "row": F.col("position") % 500})
+
+    monkeypatch.setattr(trade, "applications", numbered)
+    for order in (["position"], RowOrder(("file", "block", "row"), unit=2)):
+        monkeypatch.setattr(catalog, "ORDER", order)
+        assert sorted(map(repr, catalog.CATALOG[name].run(spark, folder).collect())) == sorted(map(repr, want))

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ def test_round_trip(spark, micro, tmp_path, rows, fmt):
     path = str(tmp_path / fmt)
     writer = spreadsheet(micro).coalesce(1).write.format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
-    df = conform(read_applications(spark, path, fmt))
+    schema = spreadsheet(micro).schema if fmt == "json" else None
+    df = conform(read_applications(spark, path, fmt, schema=schema))
     assert dict(df.dtypes)["offered_round_2"] == "double"
     got = rows(pressure.report(df, SECTOR, FILE_ORDER))
     assert got == rows(pressure.report(micro, SECTOR, ["id"]))
@@ -105,3 +107,43 @@ def test_write_area_maps(spark, micro, tmp_path):
     points = maps.area_map_points(pressure.pressure(micro, SECTOR, ["id"]), areas, "2025")
     write_area_maps(points, str(tmp_path / "maps"))
     assert [p.name for p in (tmp_path / "maps").iterdir() if p.is_dir()] == ["area_safe=Lens_Lievin"]
+
+
+def test_json_needs_a_schema(spark, tmp_path):
+    with pytest.raises(ValueError, match="schema"):
+        read_applications(spark, str(tmp_path), "json")
+
+
+def test_both_renewal_headers(spark, micro, tmp_path):
+    """The first counts, the other stays under its own name."""
+    path = str(tmp_path / "both")
+    sheet = spreadsheet(micro).withColumn("Renouvellements confirmés", F.lit(-1.0))
+    sheet.write.parquet(path)
+    df = conform(read_applications(spark, path))
+    assert {r[0] for r in df.select("Renouvellements confirmés").collect()} == {-1.0}
+    assert df.agg(F.sum("renewals_confirmed")).first()[0] == micro.agg(F.sum("renewals_confirmed")).first()[0]
+
+
+def test_numbers_in_text_columns(spark, micro, rows):
+    as_numbers = micro.withColumns(
+        {"period": F.col("period").cast("double"), "round_label": F.lit(2.0), "applicant_id": F.lit(100000.0)}
+    )
+    df = conform(as_numbers)
+    assert {r.period for r in df.collect()} == {"2024", "2025"}
+    assert {(r.round_label, r.applicant_id) for r in df.collect()} == {("2", "100000")}
+    found = pressure.report(conform(micro.withColumn("period", F.col("period").cast("double"))), SECTOR, ["id"], period="2025")
+    assert rows(found) == rows(pressure.report(micro, SECTOR, ["id"], period="2025")) and found.count() > 0
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
+def test_period_is_chosen_before_rows_are_numbered(spark, micro, tmp_path, rows, fmt):
+    path = str(tmp_path / fmt)
+    writer = micro.write.partitionBy("period").format(fmt)
+    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    schema = micro.schema if fmt == "json" else None
+    df = conform(read_applications(spark, path, fmt, schema=schema, period="2025"))
+    result = pressure.report(df, SECTOR, FILE_ORDER, period="2025")
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert filters and all("2025" in f for f in filters)
+    assert {r.period for r in result.collect()} == {"2025"}
