@@ -157,7 +157,7 @@ register(
     .withColumn("safe", safe_name(F.translate("residence", *_ACCENTS)))
 )
 _VALUES = {
-    "small": "l_extendedprice / 1e9::DOUBLE / l_partkey",
+    "small": "l_extendedprice / 1e9::DOUBLE / (l_partkey + 1)",
     "long": "l_extendedprice / 7.0::DOUBLE",
     "large": "l_extendedprice * 1e11::DOUBLE * l_suppkey",
     "whole": "CAST(l_partkey * 100000 AS DOUBLE)",

@@ -81,6 +81,39 @@ def plain_text(column: Column, kind: str) -> Column:
     return F.when(whole, x.try_cast("decimal(38,0)").cast("string")).when(~F.isnan(x), column.cast("string"))
 
 
+# Powers of ten that a double holds exactly.
+_EXACT_POWERS = [float(10**k) for k in range(23)]
+
+
+def _halves(x: Column) -> tuple[Column, Column]:
+    """Two doubles of half the digits each, which add up to x."""
+    c = x * F.lit(float(2**27 + 1))
+    high = c - (c - x)
+    return high, x - high
+
+
+def _product(a: Column, b: Column) -> tuple[Column, Column]:
+    """The product of two doubles, and what it misses of the exact one."""
+    p = a * b
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def _scaled_whole(x: Column, power: Column) -> Column:
+    """x * 10^power (0 to 44) to the nearest whole number, as for the exact product (a tie to the even one)."""
+    powers = F.array(*[F.lit(p) for p in _EXACT_POWERS])
+    rest = F.greatest(power - 22, F.lit(0))
+    first, missed = _product(x, F.get(powers, power - rest))
+    second = F.get(powers, rest)
+    p, error = _product(first, second)
+    error = error + missed * second
+    whole = F.floor(p)
+    above = (p - whole.cast("double")) - F.lit(0.5)
+    odd = F.pmod(whole, F.lit(2)) == 1
+    up = (above > 0) | (above == 0) & ((error > 0) | (error == 0) & odd)
+    return whole + F.when(up, 1).otherwise(0)
+
+
 def number_text(x: Column) -> Column:
     """A number as a label: up to 15 significant digits after which decimals end, "NA" for null, "Inf"/"-Inf"/"NaN" spelled out.
 
@@ -90,8 +123,11 @@ def number_text(x: Column) -> Column:
     sign = F.when(x < 0, "-").otherwise("")
     # One digit, a point, 14 digits, "e", a signed power.
     form = F.format_string("%.14e", F.abs(x))
-    digits = F.regexp_replace(F.regexp_replace(F.substring_index(form, "e", 1), r"\.", ""), "0+$", "")
     power = F.substring_index(form, "e", -1).try_cast("int")
+    # The format rounds the shortest decimal form, in which a tie is often none of the double itself.
+    exact = F.when(power.between(-30, 14), _scaled_whole(F.abs(x), 14 - power)).cast("string")
+    shown = F.regexp_replace(F.substring_index(form, "e", 1), r"\.", "")
+    digits = F.regexp_replace(F.when(F.length(exact) == 15, exact).otherwise(shown), "0+$", "")
     n = F.length(digits)
     whole_part = digits.substr(F.lit(1), power + 1)
     # Beyond 15 digits before the point the whole number is written out; its double is exact as a bigint.
