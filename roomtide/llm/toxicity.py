@@ -26,9 +26,11 @@ from pyspark.sql import types as T
 
 from roomtide.llm.common import LOWER, mix, span_hashes, string_bytes, text_batches, words
 
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 12_000
 FEATURE_BITS = 20
 MOST_FEATURES = 3000
+#: So many training rows for each feature, beyond a few features.
+ROWS_A_FEATURE, LEAST_FEATURES = 24, 60
 #: Beginnings of words, in bytes, beside whole words.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 FOLDS = 4
@@ -37,7 +39,7 @@ LEAST_DOCS = 4
 #: (category, label column, whether the label's ones or zeros are the category's)
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 REJECT = "toxic"
-THRESHOLD = 0.5
+THRESHOLD = 0.35
 
 
 # --- features -------------------------------------------------------------------------------------
@@ -97,7 +99,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: np.ndarray, numbers: np.ndarray, before: np.ndarray, y: np.ndarray, rounds: int = 200, penalty: float = 0.1) -> Linear:
+def fit(rows: np.ndarray, numbers: np.ndarray, before: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 0.1) -> Linear:
     """Logistic regression with a quadratic penalty, by Adam, on the features that tell most about y."""
     n, ones = len(y), y.sum()
     share = ones / max(n, 1)
@@ -109,7 +111,7 @@ def fit(rows: np.ndarray, numbers: np.ndarray, before: np.ndarray, y: np.ndarray
     with_one = np.bincount(numbers, y[rows], 1 << FEATURE_BITS)
     tells = (with_one - count * share) ** 2 / (count * share * (1 - share) + 1)
     tells[count < LEAST_DOCS] = 0
-    most = min(MOST_FEATURES, int((tells > 0).sum()))
+    most = min(MOST_FEATURES, max(LEAST_FEATURES, n // ROWS_A_FEATURE), int((tells > 0).sum()))
     chosen = np.sort(np.argpartition(-tells, most - 1)[:most]) if most else none.astype(np.int64)
     index = np.full(1 << FEATURE_BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen), dtype=np.int32)
