@@ -142,13 +142,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each group of equal texts; columns as given."""
-    columns = docs.columns
-    kept = exact_groups(docs).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")
-    )
-    rows = docs.withColumn("_sha", F.sha2(text_column(), 256))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sha"]).select(*columns)
+    # Keys without nulls, so that the join and the last step share a shuffle of the texts.
+    number = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    kept = exact_groups(docs).filter("kept").select(number.alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    rows = docs.withColumns({"_kept_id": number, "_kept_sha": F.sha2(text_column(), 256)})
+    rows = rows.join(kept, ["_kept_id", "_kept_sha"], "left_semi")
+    return rows.dropDuplicates(["_kept_id", "_kept_sha"]).select(*docs.columns)
 
 
 def op3(spark, folder: str) -> DataFrame:
