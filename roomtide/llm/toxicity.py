@@ -223,11 +223,12 @@ def scored(docs: DataFrame, models: list[Linear], names: Sequence[str]) -> DataF
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> DataFrame:
-    """One row per document: doc_id, p_<category>, rejected."""
+    """One row per document: doc_id, p_<category>, toxic (whether it is rejected), kept."""
     names = [name for name, _, _ in categories]
     models = train(docs, labels, categories)
     rows = scored(docs.select("doc_id", "text"), models, [f"p_{n}" for n in names])
-    return rows.select("doc_id", *(f"p_{n}" for n in names), (F.col(f"p_{REJECT}") >= THRESHOLD).alias("rejected"))
+    toxic = F.col(f"p_{REJECT}") >= THRESHOLD
+    return rows.select("doc_id", *(f"p_{n}" for n in names), toxic.alias("toxic"), (~toxic).alias("kept"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> DataFrame:

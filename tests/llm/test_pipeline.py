@@ -57,7 +57,7 @@ def test_stages(spark):
         after.append(written(stage(spark, after[-1], FOLDER)))
         assert after[-1].columns == docs.columns or stage is corpus_pipeline.pack
     rows = [{r["doc_id"]: r for r in df.collect()} for df in after[:4]]
-    rejected = {r["doc_id"] for r in toxicity.toxicity(docs, labels).filter("rejected").collect()}
+    rejected = {r["doc_id"] for r in toxicity.toxicity(docs, labels).filter("toxic").collect()}
     assert rows[1].keys() == rows[0].keys() - rejected
     last = {}
     for i, r in rows[1].items():

@@ -227,13 +227,13 @@ def test_held_out_accuracy(spark, documents):
     found = {r["doc_id"]: r for r in toxicity.toxicity(documents(rows), known).collect()}
     assert len(found) == len(rows)
     held = labels[1200:]
-    right = sum(found[i]["rejected"] == bool(t) for i, _, t in held)
-    missed = sum(t and not found[i]["rejected"] for i, _, t in held)
+    right = sum(found[i]["toxic"] == bool(t) for i, _, t in held)
+    missed = sum(t and not found[i]["toxic"] for i, _, t in held)
     poor = sum((found[i]["p_low_quality"] > 0.5) == (not q) for i, q, _ in held)
     assert right >= 0.98 * len(held) and missed <= 0.05 * sum(t for _, _, t in held) and poor >= 0.97 * len(held)
     kept = toxicity.reject_toxic(documents(rows), known)
     assert kept.columns == documents(rows).columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if not r["rejected"]}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if not r["toxic"]}
 
 
 def test_earlier_categories_help_later_ones():
