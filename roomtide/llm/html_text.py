@@ -38,13 +38,17 @@ ROLES = frozenset(
 )
 #: Words of class and id names that tell what is not the article.
 NAMES = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright discussion disqus foot footer gdpr header login masthead menu modal nav navbar navigation newsletter "
-    "notice notices notification overlay pager pagination popup promo promotion recommended related replies respond "
-    "share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar "
-    "widget widgets".split()
+    "ad ads adbox adsense adslot adunit advert adverts advertisement advertising advertorial alert alerts announcement "
+    "banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus foot footer gdpr "
+    "header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager "
+    "pagination popup promo promotion recommended related replies respond share sharing sidebar signup skip social "
+    "sponsor sponsored sponsors subscribe subscription teaser toolbar topbar widget widgets".split()
 )
-NEVER_BY_NAME = frozenset("html body main h1 h2 h3 h4 h5 h6 p b i em strong span a".split())
+#: First words of names that tell what is around an element, such as has-sidebar.
+AROUND = frozenset("has have no not with without is show hide".split())
+#: Elements that no name leaves out, and such that only a name of one word does.
+NEVER_BY_NAME = frozenset("html body main".split())
+BY_WHOLE_NAME = frozenset("article h1 h2 h3 h4 h5 h6 p b i em strong span a".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
@@ -68,11 +72,19 @@ def is_left_out(tag: str, attrs: list[tuple[str, str | None]], in_article: bool)
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
         if name in ("class", "id") and tag not in NEVER_BY_NAME:
-            if any(w.lower() in NAMES for w in WORDS.findall(value)):
+            if any(tells(n, tag in BY_WHOLE_NAME) for n in value.split()):
                 return True
     return False
 
 
+def tells(name: str, whole: bool) -> bool:
+    """Whether a class or id name is that of an element to leave out; with `whole` only as a single word."""
+    parts = [w.lower() for w in WORDS.findall(name)]
+    if whole:
+        return len(parts) == 1 and parts[0] in NAMES
+    return bool(parts) and parts[0] not in AROUND and not NAMES.isdisjoint(parts)
+
+
 class Blocks(HTMLParser):
     """Collects (text, tags, linked characters, elements around it, whether left out) for each block."""
 

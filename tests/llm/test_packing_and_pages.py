@@ -108,6 +108,9 @@ PAGES = {
     "<header><h1>Site</h1></header><div role=banner>x</div><p hidden>x</p><p>Body text here.</p><!-- <p>no</p> -->": "Body text here.",
     "<p>kept</p><a href='": "kept",
     "<article><p>x</p></section></b></article>": "x",
+    "<div class='site has-sidebar'><article class='post no-comments'><p>Kept.</p><p class=notice>no</p></article></div>": "Kept.",
+    "<main><p>Kept.</p><section id='reader-comments'><article class=comment><p>no</p></article></section></main>": "Kept.",
+    "<body class=menu-open><p>Kept.</p><div class=cookieNotice>no</div><ul class='main-nav'><li>no</ul></body>": "Kept.",
     "<p class='lead'>Leading words of the page.</p>": "Leading words of the page.",
 }
 
