@@ -191,19 +191,33 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, seed: int =
     schema = f"doc_id long, {', '.join(f'{n} double' for n in names)}, numbers binary"
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(collect, schema).limit(2 * TRAIN_ROWS)
     table = rows.toArrow().sort_by("doc_id")
-    data, ends = string_bytes(table.column("numbers"))
-    numbers = data.view("<u4").astype(np.int32)
-    owner = np.repeat(np.arange(table.num_rows, dtype=np.int32), np.diff(ends) // 4)
     y = np.column_stack([table.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
     ids = table.column("doc_id").to_numpy()
-    del table, data
-    # Most features are in a document or two: none of them is ever chosen.
-    common = np.bincount(numbers, minlength=1 << FEATURE_BITS)[numbers] >= LEAST_DOCS
-    owner, numbers = owner[common], numbers[common]
+    owner, numbers = common_features(table.column("numbers"))
+    del table
     folds = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
     return fit_chain(owner, numbers, y, folds)
 
 
+def common_features(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) pairs of packed feature numbers, without the features of a document or two, which are most and are
+    never chosen. A thousand rows at a time, as all numbers at once are large for a driver."""
+    data, ends = string_bytes(column)
+    every, ends = data.view("<u4"), ends // 4
+    rows = [slice(a, min(a + 1000, len(column))) for a in range(0, len(column), 1000)]
+    count = np.zeros(1 << FEATURE_BITS, np.int64)
+    for r in rows:
+        count += np.bincount(every[ends[r.start] : ends[r.stop]], minlength=1 << FEATURE_BITS)
+    wanted, found = count >= LEAST_DOCS, [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    for r in rows:
+        part = every[ends[r.start] : ends[r.stop]]
+        keep = wanted[part]
+        owner = np.repeat(np.arange(r.start, r.stop, dtype=np.int32), np.diff(ends[r.start : r.stop + 1]))
+        found.append((owner[keep], part[keep].astype(np.int32)))
+    owner, numbers = (np.concatenate(x) for x in zip(*found, strict=True))
+    return owner, numbers
+
+
 def scored(docs: DataFrame, models: list[Linear], names: Sequence[str]) -> DataFrame:
     """The documents with a column of probability for each category."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
