@@ -39,7 +39,7 @@ LEAST_DOCS = 4
 #: (category, label column, whether the label's ones or zeros are the category's)
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 REJECT = "toxic"
-THRESHOLD = 0.35
+THRESHOLD = 0.45
 
 
 # --- features -------------------------------------------------------------------------------------
