@@ -159,8 +159,9 @@ def cleaned(table: pa.Table, width: int) -> Iterator[tuple]:
         yield doc_id.as_py(), found, starts, np.minimum(stops, len(found))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, text (the kept words joined by one space)."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, and the kept words joined by one space as text if
+    asked for."""
     spark = docs.sparkSession
     n = parts = buckets(spark)
     docs = docs.select("doc_id", "text")
@@ -173,14 +174,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
                 keep[a:b] = False
             kept = b" ".join(found if not len(starts) else compress(found, keep.tolist()))
-            out.append((doc_id, len(found), int(len(found) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"]
+            text = kept.decode() if with_text else None
+            out.append((doc_id, len(found), int(len(found) - keep.sum()), hashlib.sha256(kept).hexdigest(), text))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(zip(names, kinds, strict=True))})
+        return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(zip(names, kinds, strict=False))})
+
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
+    schema = ", ".join(f"{n} {'string' if n in ('kept_sha256', 'text') else 'long'}" for n in names)
 
     rows = dealt_texts(docs, parts).union(repeats)
-    return rows.groupBy("part").applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    return rows.groupBy("part").applyInArrow(finish, schema)
 
 
 def op5(spark, folder: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{folder}/documents.parquet")).drop("text")
+    return remove_repeats(spark.read.parquet(f"{folder}/documents.parquet"), with_text=False)
