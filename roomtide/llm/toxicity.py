@@ -26,13 +26,13 @@ from pyspark.sql import types as T
 
 from roomtide.llm.common import LOWER, mix, span_hashes, string_bytes, text_batches, words
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 10_000
 FEATURE_BITS = 20
 MOST_FEATURES = 3000
 #: So many training rows for each feature, beyond a few features.
 ROWS_A_FEATURE, LEAST_FEATURES = 24, 60
 #: Beginnings of words, in bytes, beside whole words.
-BEGINNINGS = (3, 4, 5, 6, 7, 8)
+BEGINNINGS = (4, 5, 6)
 FOLDS = 4
 #: A feature is in so many training documents at least.
 LEAST_DOCS = 4
