@@ -28,7 +28,7 @@ from roomtide.llm.common import cpu_threads_off, text_batches
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a task keeps; the table starts anew beyond it.
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 1_400_000
 BAR = "|"
 #: Marks that may end a word of letters; no apostrophe, which the tokenizer joins with some letters.
 MARKS = ".,;:!?%#*&$"
