@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from roomtide.llm.common import cpu_threads_off, text_batches
+from roomtide.llm.common import cpu_threads_off, give_back, text_batches
 
 WINDOW = 4096
 END_ID = 2
@@ -204,6 +204,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what other stages have freed in this worker, before its table of words grows
         words, base = word_ids(path), TaskContext.get().partitionId() << 32
 
         def documents():
