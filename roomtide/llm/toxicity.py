@@ -4,9 +4,10 @@ Categories are predicted one after the other. Each is a logistic regression over
 document, and over the log odds of the categories before it. For training these come from models that have not seen
 the document (out-of-fold), for prediction from the models fitted on all training rows.
 
-The training rows are the labelled documents with the smallest share of a hash of doc_id, TRAIN_ROWS of them at most;
-features are made on Spark, and only hashed feature numbers of those rows come to the driver. The fitted model is a
-table of at most MOST_FEATURES weights for each category, whatever the size of the corpus. Every whole text is scored.
+The training rows are the labelled documents with the smallest share of a hash of doc_id, about TRAIN_ROWS of them at
+most. Features are made and counted by label and fold on Spark. From the counts the driver chooses the features of each
+model, and only the chosen feature numbers of the training rows come to it. The fitted model is a table of at most
+MOST_FEATURES weights for each category, whatever the size of the corpus. Every whole text is scored.
 
 Defined cases: null text is empty and has only the prior. A null or missing label leaves a document out of the training of
 its category; of repeated labels the largest counts. Without both classes among a category's labels its probability
@@ -24,15 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomtide.llm.common import LOWER, mix, span_hashes, string_bytes, text_batches, words
+from roomtide.llm.common import LOWER, mix, span_hashes, string_bytes, text_batches, words, written
 
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 12_000
 FEATURE_BITS = 20
 MOST_FEATURES = 3000
-#: So many training rows for each feature, beyond a few features.
-ROWS_A_FEATURE, LEAST_FEATURES = 24, 60
+#: So many training rows for each feature, beyond a few features; at TRAIN_ROWS there are MOST_FEATURES.
+ROWS_A_FEATURE, LEAST_FEATURES = 4, 60
 #: Beginnings of words, in bytes, beside whole words.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 FOLDS = 4
 #: A feature is in so many training documents at least.
 LEAST_DOCS = 4
@@ -99,6 +100,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def most_telling(count: np.ndarray, with_one: np.ndarray, n: int, ones: float) -> np.ndarray:
+    """The features, sorted, that tell most about which of n rows are the ones: from the rows with each feature, and
+    the ones among them."""
+    share = ones / max(n, 1)
+    if not 0 < ones < n:
+        return np.zeros(0, np.int64)
+    tells = (with_one - count * share) ** 2 / (count * share * (1 - share) + 1)
+    tells[count < LEAST_DOCS] = 0
+    most = min(MOST_FEATURES, max(LEAST_FEATURES, n // ROWS_A_FEATURE), int((tells > 0).sum()))
+    return np.sort(np.argpartition(-tells, most - 1)[:most]) if most else np.zeros(0, np.int64)
+
+
 def fit(rows: np.ndarray, numbers: np.ndarray, before: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 0.1) -> Linear:
     """Logistic regression with a quadratic penalty, by Adam, on the features that tell most about y."""
     n, ones = len(y), y.sum()
@@ -109,10 +122,7 @@ def fit(rows: np.ndarray, numbers: np.ndarray, before: np.ndarray, y: np.ndarray
         return Linear(none.astype(np.int64), none, np.zeros(before.shape[1]), constant)
     count = np.bincount(numbers, minlength=1 << FEATURE_BITS)
     with_one = np.bincount(numbers, y[rows], 1 << FEATURE_BITS)
-    tells = (with_one - count * share) ** 2 / (count * share * (1 - share) + 1)
-    tells[count < LEAST_DOCS] = 0
-    most = min(MOST_FEATURES, max(LEAST_FEATURES, n // ROWS_A_FEATURE), int((tells > 0).sum()))
-    chosen = np.sort(np.argpartition(-tells, most - 1)[:most]) if most else none.astype(np.int64)
+    chosen = most_telling(count, with_one, n, ones)
     index = np.full(1 << FEATURE_BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen), dtype=np.int32)
     at = index[numbers]
@@ -179,43 +189,87 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, seed: int =
     # The bound of what is broadcast: TRAIN_ROWS numbers and labels.
     drawn = known.filter(F.pmod(key, F.lit(1 << 20)) < int(part * (1 << 20)) + 1).limit(2 * TRAIN_ROWS)
     names = [name for name, _, _ in categories]
+    # Read twice, so written: at most about TRAIN_ROWS texts.
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
+    if rows.count() > 2 * TRAIN_ROWS:  # rows that share doc_ids
+        rows = written(rows.limit(2 * TRAIN_ROWS))
+    wanted = rows.sparkSession.sparkContext.broadcast(chosen_features(rows, names))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            rows, numbers = features(batch.column("text"))
-            cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            found, numbers = features(batch.column("text"), wanted.value)
+            cuts = np.searchsorted(found, np.arange(batch.num_rows + 1))
             packed = [numbers[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             kept = [batch.column(c) for c in ("doc_id", *names)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], ["doc_id", *names, "numbers"])
 
     schema = f"doc_id long, {', '.join(f'{n} double' for n in names)}, numbers binary"
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").mapInArrow(collect, schema).limit(2 * TRAIN_ROWS)
-    table = rows.toArrow().sort_by("doc_id")
+    table = rows.mapInArrow(collect, schema).toArrow().sort_by("doc_id")
     y = np.column_stack([table.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
-    ids = table.column("doc_id").to_numpy()
-    owner, numbers = common_features(table.column("numbers"))
-    del table
-    folds = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    return fit_chain(owner, numbers, y, folds)
-
-
-def common_features(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) pairs of packed feature numbers, without the features of a document or two, which are most and are
-    never chosen. A thousand rows at a time, as all numbers at once are large for a driver."""
-    data, ends = string_bytes(column)
-    every, ends = data.view("<u4"), ends // 4
-    rows = [slice(a, min(a + 1000, len(column))) for a in range(0, len(column), 1000)]
-    count = np.zeros(1 << FEATURE_BITS, np.int64)
-    for r in rows:
-        count += np.bincount(every[ends[r.start] : ends[r.stop]], minlength=1 << FEATURE_BITS)
-    wanted, found = count >= LEAST_DOCS, [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
-    for r in rows:
-        part = every[ends[r.start] : ends[r.stop]]
-        keep = wanted[part]
-        owner = np.repeat(np.arange(r.start, r.stop, dtype=np.int32), np.diff(ends[r.start : r.stop + 1]))
-        found.append((owner[keep], part[keep].astype(np.int32)))
-    owner, numbers = (np.concatenate(x) for x in zip(*found, strict=True))
-    return owner, numbers
+    data, ends = string_bytes(table.column("numbers"))
+    owner = np.repeat(np.arange(len(table), dtype=np.int32), np.diff(ends) // 4)
+    return fit_chain(owner, data.view("<u4").astype(np.int32), y, folds_of(table.column("doc_id").to_numpy()))
+
+
+def folds_of(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+
+
+def feature_counts(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(number, n<k>, ones<k>, ...) of features in LEAST_DOCS documents: how many documents have the feature and a label,
+    and a label of one, for each k = category * FOLDS + fold."""
+    cells = len(names) * FOLDS
+    columns = [f"{kind}{k}" for k in range(cells) for kind in ("n", "ones")]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = None
+        for batch in text_batches(batches):
+            if counts is None:
+                counts = np.zeros((2 * cells, 1 << FEATURE_BITS), np.int32)
+            owner, numbers = features(batch.column("text"))
+            fold = folds_of(batch.column("doc_id").to_numpy(zero_copy_only=False))
+            for c, name in enumerate(names):
+                y = batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+                for f in range(FOLDS):
+                    for j, has in enumerate((~np.isnan(y), y == 1)):
+                        found, times = np.unique(numbers[(has & (fold == f))[owner]], return_counts=True)
+                        counts[2 * (c * FOLDS + f) + j, found] += times.astype(np.int32)
+        if counts is not None:
+            seen = np.flatnonzero(counts.any(axis=0))
+            for at in np.array_split(seen, len(seen) // 10_000 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in counts)], ["number", *columns])
+
+    schema = f"number long, {', '.join(f'{c} int' for c in columns)}"
+    summed = rows.mapInArrow(count, schema).groupBy("number").agg(*(F.sum(c).cast("int").alias(c) for c in columns))
+    labelled = [sum((F.col(f"n{c * FOLDS + f}") for f in range(FOLDS)), F.lit(0)) for c in range(len(names))]
+    return summed.filter(F.greatest(F.lit(0), *labelled) >= LEAST_DOCS)
+
+
+def chosen_features(rows: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Marks the features that any model of the chain chooses, of all rows or of all folds but one."""
+    cells = [(c, f) for c in range(len(names)) for f in range(FOLDS)]
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = folds_of(batch.column("doc_id").to_numpy(zero_copy_only=False))
+            y = [batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names]
+            out = [int((has & (fold == f)).sum()) for c, f in cells for has in (~np.isnan(y[c]), y[c] == 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], [f"x{i}" for i in range(len(out))])
+
+    sizes = rows.select("doc_id", *names).mapInArrow(rows_of, ", ".join(f"x{i} long" for i in range(2 * len(cells))))
+    totals = sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sizes.columns)).first()
+    totals = np.array(totals, np.int64).reshape(len(names), FOLDS, 2)
+    table = feature_counts(rows, names).toArrow()
+    numbers = table.column("number").to_numpy()
+    counts = [table.column(i + 1).to_numpy() for i in range(2 * len(cells))]
+    wanted = np.zeros(1 << FEATURE_BITS, bool)
+    for c in range(len(names)):
+        n, ones = (sum(counts[2 * (c * FOLDS + f) + j] for f in range(FOLDS)) for j in (0, 1))
+        wanted[numbers[most_telling(n, ones, *totals[c].sum(axis=0))]] = True
+        for f in range(FOLDS):
+            k = 2 * (c * FOLDS + f)
+            wanted[numbers[most_telling(n - counts[k], ones - counts[k + 1], *(totals[c].sum(axis=0) - totals[c, f]))]] = True
+    return wanted
 
 
 def scored(docs: DataFrame, models: list[Linear], names: Sequence[str]) -> DataFrame:

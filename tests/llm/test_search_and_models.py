@@ -269,3 +269,41 @@ def test_features_are_distinct_words_and_beginnings():
     sets = [set(numbers[rows == i].tolist()) for i in range(4)]
     assert len(sets[0]) == 3 and not sets[1] and len(sets[2]) == 4 and len(sets[3]) == 1
     assert len(sets[0] & sets[2]) == 2  # idio, idiot
+
+
+def test_words_that_differ_only_late_and_many_of_them():
+    """Toxic words that begin like harmless ones for six bytes, in more kinds than a feature for 24 rows could tell."""
+    import pyarrow as pa
+
+    texts, labels = [], []
+    for i in range(1200):
+        late = "xy"[i % 2]
+        texts.append(f"beginn{late}{'abcdefgh'[i // 2 % 8]}{i}")
+        labels.append(float(i % 2))
+    rows, numbers = toxicity.features(pa.array(texts))
+    model = toxicity.fit(rows, numbers, np.zeros((1200, 0)), np.array(labels))
+    held, found = toxicity.features(pa.array(["beginnxaz", "beginnyaz"]))
+    assert (model.log_odds(held, found, np.zeros((2, 0))) > 0).tolist() == [False, True]
+    rng = np.random.default_rng(3)
+    kinds = np.arange(1200) // 8
+    model = toxicity.fit(np.arange(1200), kinds, np.zeros((1200, 0)), (rng.random(150) < 0.5)[kinds].astype(float))
+    assert len(model.numbers) == 150
+
+
+def test_features_chosen_from_counts_are_those_of_all_pairs(spark, documents, monkeypatch):
+    """The driver gets only the features that the models choose, and the models are those of all features."""
+    import pyarrow as pa
+
+    rows, labels = corpus(600, 4)
+    given = []
+    chain = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda *x: given.append(x) or chain(*x))
+    known = spark.createDataFrame([(i, q if i % 7 else None, t) for i, q, t in labels], "doc_id long, quality int, toxic int")
+    models = toxicity.train(documents(rows), known)
+    owner, numbers = toxicity.features(pa.array([t for _, t in rows]))
+    want = chain(owner, numbers, given[0][2], given[0][3])
+    every = [len(given[0][1]), len(numbers)]
+    assert every[0] < every[1] / 2
+    for model, other in zip(models, want, strict=True):
+        tied = np.setxor1d(model.numbers, other.numbers)
+        assert len(model.numbers) == len(other.numbers) and len(tied) <= 0.1 * len(other.numbers)
