@@ -3,8 +3,10 @@
 The standard library's parser streams events. Text between block tags is a block, with the elements around it, its number
 of tags and its linked characters. The ratio of text to tags over the blocks is smoothed with a Gaussian, and what
 lies above the standard deviation of the smoothed ratios is the content cluster. The content region is the article or main
-element with the most text of that cluster, else the smallest element that holds nearly all of it. Its blocks
-are the text, so a short paragraph between long ones stays. Left out everywhere are elements that by tag, role, class or
+element with the most text of that cluster, with the article or main elements around it. Its blocks are the text, so a
+short paragraph between long ones stays. Without such an element the region is the smallest container that holds nearly
+all of the cluster, widened to what else adjoins it: while the next block before or after it is no menu or list of links, to the
+smallest container that holds that block too. Left out everywhere are elements that by tag, role, class or
 id are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, and outside an
 article also blocks below the threshold that are mostly links.
 
@@ -49,6 +51,10 @@ AROUND = frozenset("has have no not with without is show hide".split())
 #: Elements that no name leaves out, and such that only a name of one word does.
 NEVER_BY_NAME = frozenset("html body main".split())
 BY_WHOLE_NAME = frozenset("article h1 h2 h3 h4 h5 h6 p b i em strong span a".split())
+#: Elements that can be a content region: those that hold paragraphs and headings.
+CONTAINERS = frozenset(
+    "article blockquote body center dd details div dl figure html li main ol section table tbody td tr ul".split()
+)
 CLOSED_BY_BLOCK = frozenset(["p"])
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
@@ -178,27 +184,47 @@ def main_text(html: str | None) -> str:
             held[number] = held.get(number, 0.0) + sizes[i]
     total = sizes[content].sum()
     tags_of = parser.tags_of
+    # Links outside an article, such as lists of them, are no text of the page.
+    links = [ratios[i] <= threshold and linked > 0.5 * len(text) for i, (text, _, linked, _, _) in enumerate(blocks)]
     articles = [n for n in held if tags_of[n] in ("article", "main")]
+    core = region = None
     if articles:
         # The element with the most content; the inner one if it has nearly all of the outer.
         most = max(held[n] for n in articles)
-        region = max(n for n in articles if held[n] >= NEARLY_ALL * most)
+        core = max(n for n in articles if held[n] >= NEARLY_ALL * most)
         # Several articles side by side, none of which is the page's: all that hold content.
-        if held[region] < total / 2 and len(articles) > 1:
-            region = None
+        if held[core] < total / 2 and len(articles) > 1:
+            core = None
+        else:
+            around = next(b[3] for b in blocks if core in b[3])
+            region = next(n for n in around if tags_of[n] in ("article", "main"))
     else:
-        region = max((n for n in held if held[n] >= NEARLY_ALL * total), default=None)
-    inside = bool(articles) and region is not None
+        region = max((n for n in held if tags_of[n] in CONTAINERS and held[n] >= NEARLY_ALL * total), default=None)
+        region = widened(region, blocks, links, tags_of)
     out = []
-    for i, (text, _, linked, around, left_out) in enumerate(blocks):
+    for i, (text, _, _, around, left_out) in enumerate(blocks):
         if left_out or region is not None and region not in around:
             continue
-        if not inside and ratios[i] <= threshold and linked > 0.5 * len(text):
+        if links[i] and (core is None or core not in around):
             continue
         out.append(text)
     return "\n\n".join(out)
 
 
+def widened(region: int | None, blocks: list, links: list[bool], tags_of: dict[int, str]) -> int | None:
+    """The smallest container around the region whose neighbours on both sides, if any, are links; None for the page."""
+    shown = [i for i, b in enumerate(blocks) if not b[4]]
+    while region is not None:
+        inside = [k for k, i in enumerate(shown) if region in blocks[i][3]]
+        beside = [shown[k] for k in (inside[0] - 1, inside[-1] + 1) if 0 <= k < len(shown)]
+        joining = [set(blocks[i][3]) for i in beside if not links[i]]
+        if not joining:
+            return region
+        around = [n for n in blocks[shown[inside[0]]][3] if n < region and tags_of[n] in CONTAINERS]
+        region = max((n for n in around if any(n in j for j in joining)), default=None)
+    return None
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
 

@@ -128,6 +128,21 @@ def test_article_without_its_element():
     assert text.startswith("Title\n\nword") and text.endswith("Short.") and "link" not in text
 
 
+def test_nothing_but_boilerplate_is_dropped():
+    """Paragraphs around a very long one, and titles and leads outside the inner container or before an article, stay."""
+    short, long = [f"{i} " + "ab " * 66 for i in range(10)], "word " * 1000
+    want = "\n\n".join(x.strip() for x in [*short[:5], long, *short[5:]])
+    texts = [*short[:5], long, *short[5:]]
+    assert html_text.main_text("<body>" + "".join(f"<p>{x}</p>" for x in texts)) == want
+    assert html_text.main_text("".join(f"<pre>{x}</pre>" for x in texts)) == want
+    lead = "<h1>Title</h1><p>A lead.</p>"
+    body = "".join(f"<p>{'word ' * 60}{i}.</p>" for i in range(5))
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(12)) + "</ul>"
+    for html in (f"<body>{links}<div>{lead}<div>{body}</div></div>{links}", f"<main>{links}{lead}<article>{body}</article></main>"):
+        text = html_text.main_text(html)
+        assert text.startswith("Title\n\nA lead.\n\nword") and text.endswith("4.") and "link" not in text
+
+
 def test_given_pages(spark):
     """In the test pages the main text is that of the article element."""
     import html
