@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds to them.
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers. A small labelled table is drawn from the
-documents: the neighbourhoods of digits and at signs in at most TRAIN_DOCS documents, whose words the patterns label, each
-also in the variants that people write and the patterns miss. The random field is trained on it by gradient
+documents: the neighbourhoods of digits and at signs in at most TRAIN_DOCS documents, in rows of at most LONGEST words,
+whose words the patterns label, each also in the variants that people write and the patterns miss. The random field is trained on it by gradient
 descent on the exact likelihood (forward-backward in numpy batches) and decoded by Viterbi over batches of
 neighbourhoods of all whole texts. A decoded span is added if it holds what its kind needs and touches no other span.
 
@@ -31,7 +31,10 @@ TRAIN_DOCS = 4000
 TRAIN_ROWS = 3000
 CONTEXT = 2
 SHAPES = 1 << 10
+#: Words of a training row at most, whose batch is padded to the longest.
 LONGEST = 40
+#: Padded words of neighbourhoods that are decoded side by side.
+SIDE_BY_SIDE = 1 << 18
 
 # --- patterns -------------------------------------------------------------------------------------
 
@@ -111,8 +114,7 @@ def neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
     out, begin = [], 0
     for i in range(1, len(hits) + 1):
         if i == len(hits) or low[i] > high[i - 1]:
-            words = found[low[begin] : high[i - 1]]
-            out += [words[j : j + LONGEST] for j in range(0, len(words), LONGEST)]
+            out.append(found[low[begin] : high[i - 1]])
             begin = i
     return out
 
@@ -232,7 +234,7 @@ class RandomField:
         features, lengths = self.features(rows)
         e = self.emissions(features)
         steps = e.shape[1]
-        best, back = e[:, 0], np.zeros(e.shape, np.int64)
+        best, back = e[:, 0], np.zeros(e.shape, np.int8)
         for t in range(1, steps):
             x = best[:, :, None] + self.moves
             back[:, t] = x.argmax(axis=1)
@@ -247,6 +249,18 @@ class RandomField:
         return [p[:n].tolist() for p, n in zip(path, lengths, strict=True)]
 
 
+def side_by_side(lengths: list[int], most: int = SIDE_BY_SIDE) -> Iterator[list[int]]:
+    """Indices of rows in batches of similar length, of `most` padded words; a longer row is a batch of its own."""
+    batch: list[int] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if batch and (len(batch) + 1) * lengths[i] > most:
+            yield batch
+            batch = []
+        batch.append(i)
+    if batch:
+        yield batch
+
+
 EDGES = ".,;:!?\"'<>[]{}|"
 
 
@@ -298,7 +312,8 @@ def labelled_table(docs: DataFrame, seed: int = 0) -> list[tuple[list[str], list
             for text in batch.column("text").to_pylist():
                 if text and ASKED.search(text):
                     spans = base_spans(text)
-                    for words in neighbourhoods(text)[:20]:  # a few of each document make the table varied
+                    rows = [w[j : j + LONGEST] for w in neighbourhoods(text) for j in range(0, len(w), LONGEST)]
+                    for words in rows[:20]:  # a few of each document make the table varied
                         out.append(json.dumps([[text[a:b][:100] for a, b in words], labelled(words, spans)]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["row"])
 
@@ -328,9 +343,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
                     for words in neighbourhoods(text):
                         rows.append([shape(text[a:b]) for a, b in words])
                         places.append((len(found) - 1, text, words))
-            for start in range(0, len(rows), 2000):
-                labels = field.value.decode(rows[start : start + 2000]) if rows else []
-                for (i, text, words), y in zip(places[start : start + 2000], labels, strict=True):
+            for at in side_by_side([len(r) for r in rows]):
+                for j, y in zip(at, field.value.decode([rows[j] for j in at]), strict=True):
+                    i, text, words = places[j]
                     if any(y):
                         found[i][1].extend(added_spans(text, words, y, found[i][0]))
             every = [sorted(b + m, key=lambda s: (KINDS.index(s[0]), s[1])) for b, m in found]

@@ -201,6 +201,31 @@ def test_viterbi_and_marginals_are_those_of_all_paths():
     assert np.allclose(edge, total)
 
 
+def test_long_neighbourhoods_are_decoded_whole():
+    """A number at any place of a long run of digits is found, also where a row of LONGEST words would end."""
+    rng = random.Random(2)
+    number = lambda: f"({rng.randint(100, 999)}) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}"
+    texts = [f"row {i} item 7 tel +1 {number()} or so {i} 12 more" for i in range(300)]
+    spans = [personal.base_spans(t) for t in texts]
+    table = []
+    for t, s in zip(texts, spans, strict=True):
+        table += [([t[a:b] for a, b in w], personal.labelled(w, s)) for w in personal.neighbourhoods(t)]
+    field = personal.train(table)
+    for before in range(30, 48):
+        text = " ".join(["7 item"] * before)[: None if before % 2 else -5] + f" tel {number()} or so 7 item 7"
+        (words,) = personal.neighbourhoods(text)
+        y = field.decode([[personal.shape(text[a:b]) for a, b in words]])[0]
+        at = text.index("(")
+        assert personal.added_spans(text, words, y, []) == [("phone", at, at + 14)], before
+
+
+def test_batches_of_neighbourhoods():
+    lengths = [5, 900, 1, 40, 3, 40, 7]
+    batches = list(personal.side_by_side(lengths, 100))
+    assert sorted(i for b in batches for i in b) == list(range(7)) and [1] in batches
+    assert all(len(b) == 1 or len(b) * max(lengths[i] for i in b) <= 100 for b in batches) and not list(personal.side_by_side([]))
+
+
 # --- toxicity ---------------------------------------------------------------------------------------
 
 
