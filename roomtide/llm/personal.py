@@ -16,6 +16,7 @@ neighbourhood nothing is added to the patterns.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import re
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomtide.llm.common import text_batches, written
+
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 4000
 TRAIN_ROWS = 3000
@@ -301,24 +304,49 @@ def added_spans(text: str, words: list[tuple[int, int]], labels: list[int], base
 
 
 def labelled_table(docs: DataFrame, seed: int = 0) -> list[tuple[list[str], list[int]]]:
-    """At most TRAIN_ROWS labelled neighbourhoods from at most about TRAIN_DOCS documents."""
+    """At most TRAIN_ROWS labelled rows of neighbourhoods from at most about TRAIN_DOCS documents: those with the smallest
+    hashes of document and place, first an equal share with each kind of span and with none, then of all."""
     count = docs.count()
     part = min(1.0, TRAIN_DOCS / max(count, 1))
-    some = docs.select("text").filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    some = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    names = ["key", "kinds", "row"]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_batches(batches):
             out = []
-            for text in batch.column("text").to_pylist():
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text and ASKED.search(text):
                     spans = base_spans(text)
                     rows = [w[j : j + LONGEST] for w in neighbourhoods(text) for j in range(0, len(w), LONGEST)]
-                    for words in rows[:20]:  # a few of each document make the table varied
-                        out.append(json.dumps([[text[a:b][:100] for a, b in words], labelled(words, spans)]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["row"])
-
-    rows = some.mapInArrow(label, "row string").limit(TRAIN_ROWS).collect()
-    return [tuple(json.loads(r[0])) for r in rows]
+                    for place, words in enumerate(rows):
+                        key = hashlib.blake2b(f"{seed}:{doc_id}:{place}".encode(), digest_size=8).hexdigest()
+                        found = labelled(words, between(spans, words[0][0], words[-1][1]))
+                        kinds = sum(1 << y for y in set(found) - {0}) or 1
+                        out.append((key, kinds, json.dumps([[text[a:b][:100] for a, b in words], found])))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            kinds_of = (pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True)], names)
+
+    rows = written(some.mapInArrow(label, "key string, kinds int, row string"))
+    share = TRAIN_ROWS // (len(KINDS) + 1)
+
+    def least(chosen: DataFrame, n: int) -> list[tuple[str, str]]:
+        return [tuple(r) for r in chosen.select("key", "row").orderBy("key", "row").limit(n).collect()]
+
+    parts = [least(rows.filter(F.col("kinds").bitwiseAND(1 << y) != 0), share) for y in range(len(KINDS) + 1)]
+    taken = dict.fromkeys(x for part in [*parts, least(rows, TRAIN_ROWS)] for x in part)
+    return [tuple(json.loads(row)) for _, row in sorted(list(taken)[:TRAIN_ROWS])]
+
+
+def between(spans: list[tuple[str, int, int]], start: int, stop: int) -> list[tuple[str, int, int]]:
+    """The spans, ordered by kind and start and disjoint within a kind, that touch the text from start to stop."""
+    out = []
+    for kind in KINDS:
+        at = bisect.bisect_left(spans, (KINDS.index(kind), start + 1), key=lambda s: (KINDS.index(s[0]), s[2]))
+        while at < len(spans) and spans[at][0] == kind and spans[at][1] < stop:
+            out.append(spans[at])
+            at += 1
+    return out
 
 
 def train(table: list[tuple[list[str], list[int]]]) -> RandomField | None:

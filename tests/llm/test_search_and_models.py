@@ -219,6 +219,18 @@ def test_long_neighbourhoods_are_decoded_whole():
         assert personal.added_spans(text, words, y, []) == [("phone", at, at + 14)], before
 
 
+def test_training_rows_hold_every_kind_and_do_not_depend_on_the_split(spark, monkeypatch):
+    """Numbers in the first rows of a table, and personal data in a few of the last and late in its document."""
+    monkeypatch.setattr(personal, "TRAIN_ROWS", 40)
+    rows = [(i, f"a {i} b c d e f " * 30) for i in range(60)]
+    late = "a 1 b c d e f " * 30
+    rows += [(100 + i, f"{late} {x} and so on") for i, x in enumerate(("me@some.example.com", "+1 (040) 555-0631"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = personal.labelled_table(docs.coalesce(1))
+    assert len(table) == 40 and {y for _, labels in table for y in labels} == {0, 1, 4}
+    assert table == personal.labelled_table(docs.repartition(5))
+
+
 def test_batches_of_neighbourhoods():
     lengths = [5, 900, 1, 40, 3, 40, 7]
     batches = list(personal.side_by_side(lengths, 100))
