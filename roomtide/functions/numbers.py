@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,74 +83,75 @@ def plain_text(column: Column, kind: str) -> Column:
     return F.when(whole, x.try_cast("decimal(38,0)").cast("string")).when(~F.isnan(x), column.cast("string"))
 
 
-# Powers of ten that a double holds exactly.
-_EXACT_POWERS = [float(10**k) for k in range(23)]
-
-
-def _halves(x: Column) -> tuple[Column, Column]:
-    """Two doubles of half the digits each, which add up to x."""
-    c = x * F.lit(float(2**27 + 1))
-    high = c - (c - x)
-    return high, x - high
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """`build` of a value that is computed once a row, however often `build` uses it.
 
+    A column used twice is written twice into the plan, so helpers that use their arguments several times multiply its
+    size. Here the value is the element of an array of one, and `build` a lambda over it.
+    """
+    return F.get(F.transform(F.array(value), build), 0)
 
-def _product(a: Column, b: Column) -> tuple[Column, Column]:
-    """The product of two doubles, and what it misses of the exact one."""
-    p = a * b
-    (ah, al), (bh, bl) = _halves(a), _halves(b)
-    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
 
+# One digit, a point, 14 digits, "E" and the power: rounded from the exact double, a tie to the even digit.
+_SCIENTIFIC = "0.00000000000000E0"
 
-def _scaled_whole(x: Column, power: Column) -> Column:
-    """x * 10^power (0 to 44) to the nearest whole number, as for the exact product (a tie to the even one)."""
-    powers = F.array(*[F.lit(p) for p in _EXACT_POWERS])
-    rest = F.greatest(power - 22, F.lit(0))
-    first, missed = _product(x, F.get(powers, power - rest))
-    second = F.get(powers, rest)
-    p, error = _product(first, second)
-    error = error + missed * second
-    whole = F.floor(p)
-    above = (p - whole.cast("double")) - F.lit(0.5)
-    odd = F.pmod(whole, F.lit(2)) == 1
-    up = (above > 0) | (above == 0) & ((error > 0) | (error == 0) & odd)
-    return whole + F.when(up, 1).otherwise(0)
 
+def _whole_digits(x: Column) -> Column:
+    """The nearest whole number of a double below 2^95, all digits written out."""
+    step, x = F.lit(float(2**32)), F.rint(x)
+    high = F.floor(x / step)
+    low = (x - high.cast("double") * step).cast("bigint")
+    return (high.cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)") + low.cast("decimal(10,0)")).cast("string")
 
-def number_text(x: Column) -> Column:
-    """A number as a label: up to 15 significant digits after which decimals end, "NA" for null, "Inf"/"-Inf"/"NaN" spelled out.
 
-    Written out, or in the scientific form where that is shorter: 100000 is "1e+05", 120000 stays
-    "120000", 0.0001 is "1e-04", 1e15 is "1e+15".
-    """
-    sign = F.when(x < 0, "-").otherwise("")
-    # One digit, a point, 14 digits, "e", a signed power.
-    form = F.format_string("%.14e", F.abs(x))
-    power = F.substring_index(form, "e", -1).try_cast("int")
-    # The format rounds the shortest decimal form, in which a tie is often none of the double itself.
-    exact = F.when(power.between(-30, 14), _scaled_whole(F.abs(x), 14 - power)).cast("string")
-    shown = F.regexp_replace(F.substring_index(form, "e", 1), r"\.", "")
-    digits = F.regexp_replace(F.when(F.length(exact) == 15, exact).otherwise(shown), "0+$", "")
+def _written(x: Column, digits: Column, power: Column) -> Column:
+    """The shorter of both forms of the positive x with these digits, the first of them worth 10^power."""
     n = F.length(digits)
-    whole_part = digits.substr(F.lit(1), power + 1)
-    # Beyond 15 digits before the point the whole number is written out; its double is exact as a bigint.
-    long = F.coalesce(F.rint(F.abs(x)).try_cast("bigint").cast("string"), F.rpad(digits, power + 1, "0"))
     fixed = (
-        F.when(power >= 15, long)
+        # Beyond 15 digits the whole number is written out; the scientific form is shorter from 21 on.
+        F.when(power.between(15, 20), _whole_digits(x))
         .when(power >= n - 1, F.rpad(digits, power + 1, "0"))
-        .when(power >= 0, F.concat(whole_part, F.lit("."), digits.substr(power + 2, n)))
+        .when(power >= 0, F.concat(digits.substr(F.lit(1), power + 1), F.lit("."), digits.substr(power + 2, n)))
         .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
     )
-    size = F.abs(power).cast("string")
     scientific = F.concat(
         digits.substr(1, 1),
         F.when(n > 1, F.concat(F.lit("."), digits.substr(F.lit(2), n))).otherwise(""),
         F.when(power < 0, "e-").otherwise("e+"),
-        F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size),
+        F.when(F.abs(power) < 10, "0").otherwise(""),
+        F.abs(power).cast("string"),
     )
+    return bound(
+        F.struct(fixed.alias("fixed"), scientific.alias("scientific")),
+        lambda both: F.when(F.length(both.fixed) <= F.length(both.scientific), both.fixed).otherwise(both.scientific),
+    )
+
+
+def _label(x: Column) -> Column:
+    """`number_text` of a value that is cheap to repeat."""
+    form = F.call_function("format_number", F.abs(x), F.lit(_SCIENTIFIC))
+    parts = bound(
+        form,
+        lambda text: F.struct(
+            F.regexp_replace(F.regexp_replace(text, r"E.*|\.", ""), "0+$", "").alias("digits"),
+            F.substring_index(text, "E", -1).try_cast("int").alias("power"),
+        ),
+    )
+    sign = F.when(x < 0, "-").otherwise("")
     return (
         F.when(x.isNull(), "NA")
         .when(F.isnan(x), "NaN")
         .when(F.abs(x) == _INF, F.concat(sign, F.lit("Inf")))
         .when(x == 0, "0")
-        .otherwise(F.concat(sign, F.when(F.length(fixed) <= F.length(scientific), fixed).otherwise(scientific)))
+        .otherwise(F.concat(sign, bound(parts, lambda p: _written(F.abs(x), p.digits, p.power))))
     )
+
+
+def number_text(x: Column) -> Column:
+    """A number as a label: up to 15 significant digits after which decimals end, "NA" for null, "Inf"/"-Inf"/"NaN" spelled out.
+
+    Written out, or in the scientific form where that is shorter: 100000 is "1e+05", 120000 stays
+    "120000", 0.0001 is "1e-04", 1e15 is "1e+15". The digits are those of the exact double, at every size; a tie goes to
+    the even digit. Only subnormal numbers (below 2.3e-308) can miss the last digit.
+    """
+    return bound(x.cast("double"), _label)

@@ -1,4 +1,7 @@
+import inspect
 import math
+import random
+import time
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
@@ -107,6 +110,76 @@ def test_number_text(spark):
     assert evaluate(spark, [NAN], fn.number_text) == ["NaN"]
 
 
+def written_number(x):
+    """The label of a number, from the digits that C's printf rounds exactly."""
+    sign, x = "-" if x < 0 else "", abs(x)
+    if x in (0.0, INF):
+        return sign + "Inf" if x else "0"
+    mantissa, power = (f"{x:.14e}").split("e")
+    power, digits = int(power), mantissa.replace(".", "").rstrip("0")
+    if power >= 15:
+        fixed = f"{x:.0f}"
+    elif power >= len(digits) - 1:
+        fixed = digits.ljust(power + 1, "0")
+    elif power >= 0:
+        fixed = f"{digits[: power + 1]}.{digits[power + 1 :]}"
+    else:
+        fixed = "0." + "0" * (-power - 1) + digits
+    point = "." if len(digits) > 1 else ""
+    scientific = f"{digits[0]}{point}{digits[1:]}e{'-' if power < 0 else '+'}{abs(power):02d}"
+    return sign + min(fixed, scientific, key=len)
+
+
+def test_number_text_is_exact_at_every_size(spark):
+    """Also for numbers of 16 digits that end with 5, ties or nearly so, and for whole numbers of many digits."""
+    rng = random.Random(1)
+    values = [rng.uniform(-1000, 1000) * 10.0 ** rng.randint(-300, 300) for _ in range(4000)]
+    values += [float(f"{rng.randint(10**14, 10**15 - 1)}5e{rng.randint(-60, 60)}") for _ in range(8000)]
+    values += [rng.randint(1, 2**53) / 2 ** rng.randint(0, 60) for _ in range(4000)]
+    values += [float(rng.randint(10**15, 10**21)) for _ in range(4000)]
+    assert evaluate(spark, values, fn.number_text) == [written_number(v) for v in values]
+
+
+TWICE = {
+    "ratio": lambda x: fn.ratio(x, x),
+    "round_to": lambda x: fn.round_to(fn.ratio(x, x), 2),
+    "percent": lambda x: fn.percent(x, x),
+    "growth_pct": lambda x: fn.growth_pct(x, x),
+    "raw_pressure": lambda x: fn.raw_pressure(x, x),
+    "adjusted_pressure": lambda x: fn.adjusted_pressure(x, x, x),
+    "missing_if_nan": fn.missing_if_nan,
+    "plain_text": lambda x: fn.plain_text(x, "double"),
+    "parse_number": lambda x: fn.parse_number(x.cast("string")),
+    "round_from_all_digits": lambda x: fn.round_from_all_digits(x.cast("string")),
+    "round_from_first_digits": lambda x: fn.round_from_first_digits(x.cast("string")),
+    "pressure_class": fn.pressure_class,
+    "pressure_class_rank": fn.pressure_class_rank,
+    "marker_size": fn.marker_size,
+    "shifted_longitude": lambda x: fn.shifted_longitude(x, x, x, x),
+    "shifted_latitude": lambda x: fn.shifted_latitude(x, x, x),
+    "band_rank": lambda x: fn.band_rank(x.cast("string")),
+    "safe_name": lambda x: fn.safe_name(x.cast("string")),
+    "number_text": fn.number_text,
+    "map_label": lambda x: fn.map_label(x.cast("string"), x, "Brute"),
+    "residence_tooltip": lambda x: fn.residence_tooltip(x.cast("string"), x.cast("string"), x, x, x),
+}
+
+
+@pytest.mark.parametrize("name", TWICE)
+def test_plans_stay_small(spark, name):
+    """A column of any function, here of a computed argument, takes a short plan and few seconds."""
+    df = spark.createDataFrame([(float(i),) for i in range(10)], "x double").select(TWICE[name](F.col("x") / 3 + 1).alias("y"))
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    start = time.monotonic()
+    assert df.count() == len(df.collect()) == 10
+    assert time.monotonic() - start < 10
+
+
+def test_every_function_has_a_plan_test():
+    public = {name for name, value in vars(fn).items() if inspect.isfunction(value)}
+    assert public == set(TWICE)
+
+
 def test_parse_number(spark):
     cases = {"5": 5.0, " 7 ": 7.0, "1e2": 100.0, "-.5": -0.5, "0 Bis": None, "5D": None, "NaN": None, "": None, None: None}
     assert evaluate(spark, list(cases), fn.parse_number, "string") == list(cases.values())
