@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roomtide.llm import bytedup, exact, html_text, mixing, neardup, neighbours, packing, personal, substring, toxicity
+from roomtide.llm import (
+    bytedup,
+    exact,
+    html_text,
+    manifest,
+    mixing,
+    neardup,
+    neighbours,
+    packing,
+    personal,
+    substring,
+    tokenfile,
+    toxicity,
+    whitening,
+)
 from roomtide.llm.common import importable
 
 
@@ -31,10 +45,14 @@ QUERIES = {
         "op8_repeated_bytes": bytedup.op8,
         "op9_personal_data": personal.op9,
         "op10_mix_sources": mixing.op10,
+        "op11_merkle_manifest": manifest.op11,
+        "op12_token_files": tokenfile.op12,
+        "op13_whiten_embeddings": whitening.op13,
     }.items()
 }
 
 SQL = {
     "op3_exact_dedup": exact.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op11_merkle_manifest": manifest.SQL,
 }
