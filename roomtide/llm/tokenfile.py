@@ -31,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roomtide.llm.common import SPACES, buckets, give_back, shared_folder, string_bytes, text_batches, words, written
-from roomtide.llm.packing import WordIds, default_vocabulary, word_ids
+from roomtide.llm.common import LOWER, SPACES, buckets, give_back, shared_folder, string_bytes, text_batches, words, written
+from roomtide.llm.packing import MARKS, WordIds, default_vocabulary
 
 END_ID = 1
 SCALE_BITS = 20
@@ -211,30 +212,104 @@ class Block:
 
 _KEPT = np.ones(256, bool)
 _KEPT[list(SPACES)] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = True
+#: Pieces whose ids a worker keeps; the table starts anew beyond it.
+KNOWN_PIECES = 1_500_000
+#: Bytes of texts that are looked up together.
+TEXT_BYTES = 3 << 20
 
 
-def token_ids(texts: pa.Array, known: WordIds, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in one array, `end` behind each text, and the number of ids of each.
+def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and the number of the first piece of each text, with a last entry for all.
 
-    The distinct words of the texts are looked up once; the rest is picking their ids by number.
+    The tokenizer drops white space, joins nothing across it, makes letters small and takes letters apart from marks behind
+    them. So a word of plain letters and marks is a piece of small letters and a piece of marks; any other word is one piece.
     """
     data, ends = string_bytes(texts)
     starts, stops, first = words(data, ends)
-    offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
-    packed = pa.py_buffer(data[_KEPT[data]].tobytes())
-    coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.tobytes()), packed]).dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    known.learn(set(distinct))
-    found = [known.ids[w] for w in distinct] + [np.array([end], "<u4").tobytes()]
-    ids = np.frombuffer(b"".join(found), "<u4")
-    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    begin = np.cumsum(size) - size
-    code = np.insert(coded.indices.to_numpy(zero_copy_only=False), first[1:], len(distinct))  # the end of each text
-    many = size[code]
-    upto = np.cumsum(many)
-    chosen = ids[np.repeat(begin[code] - (upto - many), many) + np.arange(int(upto[-1]) if len(upto) else 0)]
-    last = upto[first[1:] + np.arange(len(texts))] if len(texts) else upto
-    return chosen, np.diff(last, prepend=0)
+    long = stops - starts
+    data = data[_KEPT[data]]
+    begin = np.cumsum(long) - long
+    odd = ~_LETTER[data]
+    inner, ending = begin + long, np.arange(len(begin))  # where a word's last marks begin, and words that may have more
+    while len(ending):
+        ending = ending[inner[ending] > begin[ending]]
+        ending = ending[_MARK[data[inner[ending] - 1]]]
+        inner[ending] -= 1
+        odd[inner[ending]] = False
+    plain = (inner > begin) & ~(np.logical_or.reduceat(odd, begin) if len(begin) else odd[:0])
+    data = np.where(np.repeat(plain, long), LOWER[data], data)
+    split = np.flatnonzero(plain & (inner < begin + long))
+    cuts = np.append(np.insert(begin, split + 1, inner[split]), len(data)).astype(np.int64)
+    first = first + np.searchsorted(split, first)
+    return pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())]), first
+
+
+class PieceIds:
+    """Ids of pieces: all ids in one array, and for each known piece where its own begin and how many they are."""
+
+    def __init__(self, path: str) -> None:
+        self.encoder = WordIds(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces in the table, which learns the new ones."""
+        at = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(at.is_null())
+        if len(new) == 0:
+            return at.to_numpy()
+        if len(self.known) and len(self.known) + len(new) > KNOWN_PIECES:
+            self.clear()
+            return self.places(distinct)
+        found = new.to_pylist()
+        self.encoder.ids.clear()
+        self.encoder.add(found)
+        data = [self.encoder.ids[piece] for piece in found]
+        self.encoder.ids.clear()
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        before, old = len(self.ids), len(self.known)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(data), "<u4")])
+        self.begin = np.concatenate([self.begin, before + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.known = pa.concat_arrays([self.known, new])
+        at = at.fill_null(-1).to_numpy().copy()
+        at[at < 0] = np.arange(old, old + len(new))
+        return at
+
+    def of(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, `end` behind each text, and the number of ids of each.
+
+        Distinct pieces are looked up once; the rest is picking their ids by number.
+        """
+        found, first = pieces(texts)
+        coded = found.dictionary_encode()
+        at = self.places(coded.dictionary)
+        size = np.append(self.size[at], 1)
+        begin = np.append(self.begin[at], len(self.ids))
+        ids = np.append(self.ids, np.uint32(end))
+        code = np.insert(coded.indices.to_numpy(), first[1:], len(at))  # the end of each text
+        many = size[code]
+        upto = np.cumsum(many)
+        chosen = ids[np.repeat(begin[code] - (upto - many), many) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        last = upto[first[1:] + np.arange(len(texts))] if len(texts) else upto
+        return chosen, np.diff(last, prepend=0)
+
+
+_KNOWN: dict[str, PieceIds] = {}
+
+
+def piece_ids(path: str) -> PieceIds:
+    """The table of this Python worker, which later tasks find filled."""
+    if path not in _KNOWN:
+        _KNOWN[path] = PieceIds(path)
+    return _KNOWN[path]
 
 
 # --- files ----------------------------------------------------------------------------------------
@@ -248,10 +323,10 @@ def encoded(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        known = word_ids(vocabulary)
-        unit = id_unit(known)
-        for batch in text_batches(batches):
-            ids, sizes = token_ids(batch.column("text"), known, end)
+        known = piece_ids(vocabulary)
+        unit = "<u2" if known.encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        for batch in text_batches(batches, TEXT_BYTES):
+            ids, sizes = known.of(batch.column("text"), end)
             cuts = np.concatenate([[0], np.cumsum(sizes)])
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             small = ids.astype(unit)
@@ -263,10 +338,6 @@ def encoded(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
-def id_unit(known: WordIds) -> str:
-    return "<u2" if known.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-
 def raw_ids(column: pa.Array, n: int) -> np.ndarray:
     """All ids of a column of packed ids, of which there are n."""
     data, _ = string_bytes(column)
