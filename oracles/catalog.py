@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -22,9 +24,9 @@ from roomtide.functions import (
 from roomtide.operators import bands, demand, joins, places, reshape, selection, shares
 from roomtide.reports import grants, maps, yearly
 from roomtide.reports import pressure as pressures
-from roomtide.schema import NUMBER_COLUMNS, PERIOD, RESIDENCE, SECTOR, TEXT_COLUMNS
+from roomtide.schema import FILE_ORDER, NUMBER_COLUMNS, PERIOD, RESIDENCE, SECTOR, TEXT_COLUMNS
 from roomtide.sources import trade_tables as trade
-from roomtide.sources.applications import conform
+from roomtide.sources.applications import conform, read_applications
 
 ORDER = trade.ORDER_COLS
 KEYS = list(ORDER)
@@ -78,6 +80,35 @@ _keys = ", ".join(KEYS)
 register("scan_applications", f"SELECT {_all} FROM applications")(lambda a: a.select(*ALL_COLUMNS))
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder among those that all executors share; on this machine alone where that is where Spark runs."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="roomtide-files-")
+    return f"{shared.rstrip('/')}/applications-{uuid.uuid4().hex}"
+
+
+def _read_back(a: DataFrame, fmt: str) -> DataFrame:
+    """The applications, written to several files in their order and read by the reader."""
+    path = _scratch(a.sparkSession)
+    rows = a.select(*ALL_COLUMNS).repartitionByRange(5, *KEYS).sortWithinPartitions(*KEYS)
+    # Without a mark for what is missing, CSV would not tell it from empty text.
+    options = {"nullValue": "NA"} if fmt == "csv" else {}
+    rows.write.options(header=True, **options).format(fmt).save(path)
+    read = conform(read_applications(a.sparkSession, path, fmt, schema=rows.schema if fmt == "json" else None, **options))
+    return read.withColumns({k: F.col(k).cast(kind) for k, kind in rows.dtypes if k in KEYS})
+
+
+for _fmt in ("parquet", "csv", "json"):
+    register(f"read_{_fmt}", f"SELECT {_all} FROM applications")(lambda a, f=_fmt: _read_back(a, f).select(*ALL_COLUMNS))
+    # The first row of a residence, by the order of the files, is that by the keys that they were written in.
+    register(f"read_{_fmt}_order", sql.capacity(RESIDENCE))(
+        lambda a, f=_fmt: places.capacity(_read_back(a, f), RESIDENCE, FILE_ORDER)
+    )
+
+
 @register("conform_applications", f"SELECT {_all} FROM applications")
 def _conform(a):
     """All columns given as text, as from a CSV file, and coerced back."""

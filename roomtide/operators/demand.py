@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomtide.functions import round_from_all_digits, round_from_first_digits
+from roomtide.operators.joins import salted_join
 from roomtide.operators.selection import all_present, eligible, in_period, in_sectors, is_eligible, require
 from roomtide.schema import NOT_ELIGIBLE, SECTOR
 
@@ -77,12 +78,14 @@ def last_round_rows(df: DataFrame, group: Sequence[str], last: DataFrame | None
     """The rows that belong to the last round of their group, with its number as `round`.
 
     The maximum is aggregated and joined back instead of taken over a window, so that no task has to
-    hold a whole group. `last` may give the result of `last_rounds`, for instance read from a table or
-    with a hint: where it is known to be small, a broadcast spares the shuffle of the rows. Without, rows
-    are shuffled by group and round, and adaptive execution splits the partition of a large group.
+    hold a whole group. Groups and rounds are few, so the join is salted: rows of a large group go to many tasks.
+    `last` may give the result of `last_rounds`, for instance read from a table or with a hint: where it
+    is known to be small, a broadcast spares the shuffle of the rows.
     """
-    last = last_rounds(df, group) if last is None else last
-    return _rows_with_round(df, group).join(last, [*group, "round"], "left_semi")
+    rows = _rows_with_round(df, group)
+    if last is not None:
+        return rows.join(last, [*group, "round"], "left_semi")
+    return salted_join(rows, last_rounds(df, group), [*group, "round"], "left_semi")
 
 
 def balance_demand(df: DataFrame, group: Sequence[str]) -> DataFrame:

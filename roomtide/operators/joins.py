@@ -24,6 +24,21 @@ def left_join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str])
     return left.join(renamed, same, "left").drop(*[f"__{k}" for k in keys])
 
 
+SALTS = 32
+
+
+def salted_join(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join of many rows to a table of one row per key, of which one may have most of the rows.
+
+    Rows are dealt over `salts` numbers by a hash of all their columns, and `small` is repeated for each, so no task gets
+    a key alone even where neither side is broadcast. Equal rows share a number: fold those first. `how` is inner, left or
+    left_semi; a missing key matches nothing.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def with_area(df: DataFrame, areas: DataFrame) -> DataFrame:
     """Add the area of each sector; rows of sectors without an area are left out.
 

@@ -66,10 +66,17 @@ def band_columns(bands: Sequence[str]) -> dict[str, str]:
     return names
 
 
+#: Bands that become columns at most, if their names are looked up.
+MOST_BANDS = 200
+
+
 def present_bands(counts: DataFrame) -> list[str]:
-    """The bands of a count table, sorted. Runs its plan; the table of bands has a column for each, so they are few."""
-    found = counts.agg(F.sort_array(F.collect_set("scale_band"))).first()[0]
-    return [b for b in found if b is not None]
+    """The bands of a count table, sorted. Runs its plan. More than MOST_BANDS are an error, found before the driver gets
+    more than one name beyond them: so many columns are no table to read, and a fixed list of bands has one for the rest."""
+    found = counts.select("scale_band").filter("scale_band IS NOT NULL").distinct().limit(MOST_BANDS + 1).collect()
+    if len(found) > MOST_BANDS:
+        raise ValueError(f"more than {MOST_BANDS} bands; give the list of bands that become columns")
+    return sorted((r[0] for r in found), key=lambda band: band.encode())
 
 
 def band_sums(bands: Sequence[str] | None, counts: DataFrame, count: str) -> dict[str, Column]:

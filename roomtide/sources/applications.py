@@ -34,7 +34,8 @@ def read_applications(
     """Read applications from Parquet, CSV or JSON, with columns that hold the order of rows.
 
     Headers are renamed by `mapping` (the spreadsheet headers by default). CSV is read as text, which
-    takes no inference pass; `conform` turns the numbers into doubles. JSON needs a `schema`, as it
+    takes no inference pass; `conform` turns the numbers into doubles. In CSV empty text is missing, unless the option
+    `nullValue` names another mark for what is missing. JSON needs a `schema`, as it
     would take a pass over all data to find one. `schema.FILE_ORDER` names the order columns: file,
     position of the split in the file, row within it.
 

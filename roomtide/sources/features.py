@@ -12,8 +12,9 @@ _GEOMETRY = "struct<type: string, coordinates: string>"
 def read_features(spark: SparkSession, paths: str | list[str], one_per_line: bool = False) -> DataFrame:
     """Features of all files as (code, name, geometry_type, coordinates).
 
-    A FeatureCollection is one JSON document, so each file is read by one task; layers too large for
-    that come with one feature per line (`one_per_line`), which Spark splits.
+    A FeatureCollection is one JSON document, so each file is read whole by one task. Boundary layers are some dozen to some
+    ten thousand features (tens of kilobytes to tens of megabytes), which a task holds easily; larger ones come with
+    one feature per line (`one_per_line`), which Spark splits.
     """
     if one_per_line:
         features = spark.read.schema(f"properties {_PROPERTIES}, geometry {_GEOMETRY}").json(paths)

@@ -345,3 +345,33 @@ def test_a_band_called_like_no_grant_gives_way(spark, make, rows):
         assert "band_non_boursiers" not in table and table.asDict().get("band_other", 0) == 0
     shares = {r.scale_band: r.applicants for r in grants.band_distribution(applications, ["id"]).collect()}
     assert shares == {"1": 1, "Non-boursiers": 2}
+
+
+def test_too_many_bands_for_columns(spark, make):
+    """An error before the names are collected; a fixed list has a column for the rest."""
+    counts = spark.range(reshape.MOST_BANDS + 1).selectExpr("'2025' AS period", "concat('b', id) AS scale_band", "1L AS n")
+    with pytest.raises(ValueError, match="more than"):
+        reshape.pivot_bands(counts, ["period"], "n")
+    assert len(reshape.pivot_bands(counts.limit(reshape.MOST_BANDS), ["period"], "n").columns) == reshape.MOST_BANDS + 1
+    assert reshape.pivot_bands(counts, ["period"], "n", ["b1"]).first().band_other == reshape.MOST_BANDS
+
+
+@pytest.mark.parametrize("sectors, period", [(None, None), (["a", "C"], None), (None, "2025")])
+def test_bands_in_one_number_and_in_several(spark, rows, sectors, period):
+    """Both ways of folding agree: numbers of any kind as bands, ties, missing bands, many rows of one applicant."""
+    import random
+
+    rng = random.Random(3)
+    names = ["0", "0 Bis", "1", "1.0", "7", "-2", "1e3", "Hors Barème", "x", "", None, None]
+    data = [
+        (i - 500, rng.choice(["2024", "2025"]), rng.choice("ABCD"), "s0" if i % 3 == 0 else f"s{rng.randrange(60)}", rng.choice(names))
+        for i in range(1500)
+    ]
+    data += [(2**62, "2025", "A", "s0", "7"), (-(2**62), "2025", "B", "s0", "7")]
+    df = spark.createDataFrame(data, "id long, period string, sector string, applicant_id string, scale_band string").repartition(5)
+    df = df.withColumn("again", F.lit(0))
+    for operator in (bands.top_band_per_applicant, bands.band_counts, bands.credits):
+        one = operator(df, ["id"], sectors, period)
+        several = operator(df, ["id", "again"], sectors, period)
+        assert rows(one) == rows(several) and one.count() == several.count() > 0
+        assert one.dtypes == several.dtypes

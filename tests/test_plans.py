@@ -87,49 +87,80 @@ def test_single_order_column_aggregates_by_hash(micro):
     assert "SortAggregate" not in plan
 
 
-def test_band_reports_fold_rows_by_hash(micro):
-    """Raw rows are folded by hash; only the few folded rows of an applicant are compared as structs."""
-    from roomtide.reports.grants import band_table
-
-    plan = band_table(micro, ["id"])._jdf.queryExecution().executedPlan().toString()
-    scan = plan.rindex("InMemoryTableScan")
-    folds = [line for line in plan[:scan].split("\n") if "Aggregate(keys=[period" in line and "scale_band" in line]
-    assert folds and "HashAggregate" in folds[-1] and "SortAggregate" not in folds[-1] and "SortAggregate" not in folds[-2]
+@pytest.mark.parametrize("name", ["top_band", "band_table", "band_distribution"])
+def test_bands_by_hash_in_one_pass(spark, make, tmp_path, name):
+    """With a whole number as order no rows of applicants are sorted for an aggregate, and the table is read once."""
+    from roomtide.operators.bands import credits, top_band_per_applicant
+    from roomtide.reports import grants
+
+    from conftest import MICRO
+
+    make(MICRO).write.parquet(str(tmp_path / "a"))
+    df = spark.read.parquet(str(tmp_path / "a"))
+    folds = top_band_per_applicant if name == "top_band" else credits
+    plan = folds(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    result = folds(df, ["id"]) if name == "top_band" else getattr(grants, name)(df, ["id"])
+    result.collect()
+    final = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall("FileScan parquet", final)) == 1
 
 
 def test_complete_gathers_nothing(plan_of):
     assert "collect_set" not in plan_of("complete_sector_band")
 
 
-def test_a_large_group_is_split(spark):
-    """Without broadcasts the rows of one group that holds most of the table go to several tasks."""
-    from pyspark.sql import functions as F
+NO_BROADCAST = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
-    from roomtide.operators.demand import last_round_rows
-    from roomtide.schema import SECTOR
 
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.shuffle.partitions": "16",
-    }
+@pytest.fixture
+def no_broadcast(spark):
+    settings = NO_BROADCAST | {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.skewJoin.enabled": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
-    try:
-        rows = spark.range(0, 200_000, 1, 8).select(
-            F.lit("2025").alias("period"),
-            F.when(F.col("id") % 10 == 0, F.concat(F.lit("S"), F.col("id") % 97)).otherwise("large").alias("sector"),
-            F.sha2(F.col("id").cast("string"), 256).alias("applicant_id"),
-            F.lit("Tour 1").alias("round_label"),
-        )
-        result = last_round_rows(rows, SECTOR)
-        assert len(result.collect()) == 200_000
-        final = result._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-        assert "skew" in final.lower()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def rows_a_task(result):
+    """Rows of a result by the task that makes them, without what adaptive execution could mend."""
+    from pyspark.sql import functions as F
+
+    return [r[0] for r in result.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+
+
+def test_last_round_rows_of_a_large_group(spark, no_broadcast):
+    """Without broadcasts and without splitting of skewed joins, a group with most rows goes to many tasks."""
+    from pyspark.sql import functions as F
+
+    from roomtide.operators.demand import last_round_rows
+    from roomtide.schema import SECTOR
+
+    rows = spark.range(0, 50_000, 1, 8).select(
+        F.lit("2025").alias("period"),
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("S"), F.col("id") % 97)).otherwise("large").alias("sector"),
+        F.sha2(F.col("id").cast("string"), 256).alias("applicant_id"),
+        F.lit("Tour 1").alias("round_label"),
+    )
+    result = last_round_rows(rows, SECTOR)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and "applicant_id" not in line]
+    join = plan[: plan.index("HashAggregate")]
+    assert keyed and all("_salt" in line for line in join.split("\n") if "Exchange hashpartitioning(" in line)
+    counts = rows_a_task(result)
+    assert sum(counts) == 50_000 and max(counts) < 10_000
+
+
+def test_concentration_of_a_large_period(spark, no_broadcast):
+    """Totals reach the groups of a period that has nearly all of them over many tasks."""
+    from roomtide.operators.shares import concentration
+
+    counts = spark.range(0, 40_000, 1, 8).selectExpr("IF(id % 100 = 0, '2024', '2025') AS period", "concat('S', id) AS sector", "id AS applicants")
+    result = concentration(counts)
+    found = rows_a_task(result)
+    assert sum(found) == 40_000 and max(found) < 8_000
+    share = result.filter("sector = 'S39999'").first()
+    total = sum(i for i in range(40_000) if i % 100)
+    assert share["concentration"] == pytest.approx(39999 * 39600 / total, abs=0.01)

@@ -109,6 +109,74 @@ def test_write_area_maps(spark, micro, tmp_path):
     assert [p.name for p in (tmp_path / "maps").iterdir() if p.is_dir()] == ["area_safe=Lens_Lievin"]
 
 
+def files_of(path):
+    """Data files by folder."""
+    found = {}
+    for file in path.rglob("part-*"):
+        found.setdefault(str(file.parent.relative_to(path)), []).append(file.name)
+    return found
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
+def test_replacing_one_period(spark, tmp_path, fmt):
+    """Only the periods written are replaced; a second run gives the same folders and rows."""
+    path = tmp_path / "report"
+
+    def write(rows, mode):
+        write_report(spark.createDataFrame(rows, "period string, sector string, n int"), str(path), fmt, mode=mode)
+
+    def stored():
+        back = spark.read.format(fmt).option("header", True).load(str(path))
+        return sorted((str(r["period"]), r["sector"], int(r["n"])) for r in back.collect())
+
+    write([("2023", "A", 1), ("2024", "A", 2), ("2024", "B", 3), ("2025", "A", 4)], "error")
+    for _ in range(2):
+        write([("2025", "A", 5), ("2025", "C", 6)], "replace")
+        assert stored() == [("2023", "A", 1), ("2024", "A", 2), ("2024", "B", 3), ("2025", "A", 5), ("2025", "C", 6)]
+        assert {k: len(v) for k, v in files_of(path).items()} == {"period=2023": 1, "period=2024": 1, "period=2025": 1}
+    write([("2026", "A", 7)], "replace")
+    assert len(stored()) == 6
+    write_report(spark.createDataFrame([], "period string, sector string, n int"), str(path), fmt, mode="replace")
+    assert len(stored()) == 6
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        write([("2030", "A", 8)], "overwrite")
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert stored() == [("2030", "A", 8)]
+
+
+def test_only_folders_are_replaced(spark, tmp_path):
+    with pytest.raises(ValueError, match="overwrite"):
+        write_report(spark.range(3), str(tmp_path / "x"), partition_by=None, mode="replace")
+
+
+def test_few_files_in_a_folder(spark, tmp_path):
+    table = spark.range(0, 3000, 1, 8).selectExpr("CAST(2023 + id % 3 AS STRING) AS period", "id")
+    write_report(table, str(tmp_path / "r"))
+    assert {k: len(v) for k, v in files_of(tmp_path / "r").items()} == {f"period={y}": 1 for y in (2023, 2024, 2025)}
+
+
+def test_files_follow_the_size_of_an_area(spark, tmp_path):
+    """An area with most rows is written by several tasks, the others have a file each."""
+    points = spark.range(0, 60_000, 1, 8).selectExpr(
+        "IF(id % 20 = 0, concat('Area ', id % 7), 'Large') AS area", "'2025' AS period", "id", "sha2(string(id), 256) AS label"
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500k")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        write_area_maps(points, str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = {k.split("/")[0]: len(v) for k, v in files_of(tmp_path / "m").items()}
+    assert 3 <= files.pop("area_safe=Large") <= 20
+    # One of the seven shares the hash partition of the large one here.
+    assert len(files) == 7 and sorted(files.values())[:6] == [1] * 6
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 60_000
+
+
 def test_json_needs_a_schema(spark, tmp_path):
     with pytest.raises(ValueError, match="schema"):
         read_applications(spark, str(tmp_path), "json")
