@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomtide.llm.common import LOWER, Powers, mix, span_hashes, string_bytes, text_batches, window_hashes, window_starts, words, written
 from roomtide.llm.components import components
+from roomtide.operators.joins import salted_join
 
 BANDS, ROWS = 48, 7
 BLOCK = 256
@@ -200,37 +201,38 @@ def block_links(table: pa.Table, width: int, percent: int) -> list[tuple[int, in
 
 def residual_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) of members (centre, doc_id, linked, far) that aren't linked to their centre, with all others of it."""
-    sizes = members.groupBy("centre").agg(
-        F.ceil(F.sum((~F.col("linked")).cast("int")) / BLOCK).cast("int").alias("loose_blocks"),
-        F.ceil(F.sum(F.col("linked").cast("int")) / BLOCK).cast("int").alias("linked_blocks"),
-        F.count("*").alias("rows"),
-    )
+    kind = F.when(F.col("linked"), "linked").when(F.col("far"), "far").otherwise("near")
+    counted = [F.ceil(F.sum((kind == k).cast("int")) / BLOCK).cast("int").alias(f"{k}_blocks") for k in ("linked", "near", "far")]
+    sizes = members.groupBy("centre").agg(*counted, F.count("*").alias("rows"))
     # With a single member there is no pair that the comparison with the centre has not settled.
-    sizes = sizes.filter("loose_blocks > 0 AND rows > 1").drop("rows")
-    rows = members.join(sizes, "centre")
+    sizes = sizes.filter("near_blocks + far_blocks > 0 AND rows > 1").drop("rows")
+    # A centre may have a large part of all members: they are dealt over salts.
+    rows = salted_join(members, sizes, ["centre"])
     h = F.xxhash64("doc_id")
-    rows = rows.withColumn(
-        "block", F.pmod(h, F.when(F.col("linked"), F.col("linked_blocks")).otherwise(F.col("loose_blocks"))).cast("int")
-    )
-    loose = F.sequence(F.lit(0), F.col("loose_blocks") - 1)
-    # Block pairs: "i:j" of loose blocks i <= j, "i:+j" of a loose and a linked block.
-    of_linked = F.transform(loose, lambda i: F.struct(F.concat(i.cast("string"), F.lit(":+"), F.col("block").cast("string")).alias("pair"), F.lit(1).alias("side")))
+    near, far, linked = (F.col(f"{k}_blocks") for k in ("near", "far", "linked"))
+    # Loose blocks are numbered, those near the centre first; linked blocks have numbers of their own.
+    place = F.when(kind == "linked", F.pmod(h, linked)).when(kind == "near", F.pmod(h, near)).otherwise(near + F.pmod(h, far))
+    rows = rows.withColumn("block", place.cast("int"))
+    pair_type = "array<struct<pair:string,side:int>>"
+
+    def upto(n: Column, build) -> Column:
+        """`build` of each number below n."""
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), build)).otherwise(F.array().cast(pair_type))
+
+    # Block pairs: "i:j" of loose blocks i <= j, "i:+j" of a loose block near the centre and a linked block. Members far
+    # from the centre have no link with those linked to it, so neither's text is sent to the other.
     block = F.col("block")
-    of_loose = F.transform(
-        loose,
+    of_linked = upto(near, lambda i: F.struct(F.concat(i.cast("string"), F.lit(":+"), block.cast("string")).alias("pair"), F.lit(1).alias("side")))
+    of_loose = upto(
+        near + far,
         lambda i: F.struct(
             F.concat_ws(":", F.least(i, block).cast("string"), F.greatest(i, block).cast("string")).alias("pair"),
             F.when(i == block, 2).when(block < i, 0).otherwise(1).alias("side"),
         ),
     )
-    with_linked = F.when(
-        F.col("linked_blocks") > 0,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.col("linked_blocks") - 1, F.lit(0))),
-            lambda j: F.struct(F.concat(block.cast("string"), F.lit(":+"), j.cast("string")).alias("pair"), F.lit(0).alias("side")),
-        ),
-    ).otherwise(F.array().cast("array<struct<pair:string,side:int>>"))
-    rows = rows.withColumn("to", F.explode(F.when(F.col("linked"), of_linked).otherwise(F.concat(of_loose, with_linked))))
+    with_linked = upto(linked, lambda j: F.struct(F.concat(block.cast("string"), F.lit(":+"), j.cast("string")).alias("pair"), F.lit(0).alias("side")))
+    to = F.when(kind == "linked", of_linked).when(kind == "near", F.concat(of_loose, with_linked)).otherwise(of_loose)
+    rows = rows.withColumn("to", F.explode(to))
     rows = rows.select("centre", "to.pair", "to.side", "doc_id", "linked", "far").join(texts, "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
@@ -248,9 +250,10 @@ def near_duplicates(
     table = written(sketched(docs, width, bands, rows))
     some = table.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
-    # One row of keys for each class, from the document that names it.
-    named = some.join(classes, "set_hash").filter("doc_id = class_id").select("doc_id", "keys").dropDuplicates(["doc_id"])
-    keyed = named.select("doc_id", F.explode("keys").alias("key"))
+    # One row of keys for each class, from the document that names it; rows that share a doc_id may name several.
+    of_rows = some.join(classes, "set_hash")
+    named = of_rows.filter("doc_id = class_id").select("doc_id", "set_hash", "keys").dropDuplicates(["doc_id", "set_hash"])
+    keyed = named.select("doc_id", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(keyed.join(shared, "key"))
     score = met.groupBy("doc_id").agg(F.sum("n").alias("score"))
@@ -269,7 +272,10 @@ def near_duplicates(
         F.max(linked).alias("linked"), F.min(far).alias("far")
     )
     members = written(members)
-    links = checked.filter(linked).select("a", "b").union(residual_links(members, texts, width, percent))
+    # Rows that share a doc_id are one node: its classes are linked.
+    several = of_rows.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a < b")
+    shared_ids = of_rows.select("doc_id", F.col("class_id").alias("b")).distinct().join(several.drop("b"), "doc_id").select("a", "b")
+    links = checked.filter(linked).select("a", "b").union(residual_links(members, texts, width, percent)).union(shared_ids)
     found = components(links).withColumnRenamed("node", "class_id")
     of_class = classes.join(found, "class_id", "left").select(
         "set_hash", F.coalesce("component", "class_id").alias("component")

@@ -23,102 +23,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from roomtide.llm.common import cpu_threads_off, give_back, text_batches
+from roomtide.llm.common import give_back, text_batches
+from roomtide.llm.pieces import TEXT_BYTES, default_vocabulary, piece_ids
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a task keeps; the table starts anew beyond it.
-KNOWN_WORDS = 1_400_000
-BAR = "|"
-#: Marks that may end a word of letters; no apostrophe, which the tokenizer joins with some letters.
-MARKS = ".,;:!?%#*&$"
-
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class WordIds:
-    """Ids of words as bytes of 32-bit numbers. The tokenizer drops white space and joins nothing across it,
-    so a text's ids are those of its words in order, and a frequent word is encoded once."""
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        cpu_threads_off()
-        self.ids: dict[str, bytes] = {}
-        self.tokenizer = Tokenizer.from_file(path)
-        bar = self.encode([BAR])[0]
-        self.bar = int(bar[0]) if len(bar) == 1 else -1
-
-    def learn(self, found: set[str]) -> None:
-        """Letters and the marks behind them are apart for the tokenizer too, so such words are put together from both."""
-        known = self.ids
-        new = [w for w in found if w not in known]
-        if len(known) + 2 * len(new) > KNOWN_WORDS:
-            known.clear()
-            new = list(found)
-        whole, composed = set(), []
-        for w in new:
-            core = w.rstrip(MARKS)
-            if core.isalpha() and (core.isascii() and not core.islower() or core != w):
-                tail, core = w[len(core) :], core.lower() if core.isascii() else core
-                composed.append((w, core, tail))
-                whole.add(core)
-                if tail:
-                    whole.add(tail)
-            else:
-                whole.add(w)
-        self.add([w for w in whole if w not in known])
-        for w, core, tail in composed:
-            known[w] = known[core] + known[tail] if tail else known[core]
-
-    def add(self, new: list[str]) -> None:
-        """Many words are encoded as one text with a bar between them: a bar is one id, which no word without a bar
-        has. Words that hold a bar are encoded alone."""
-        alone = [w for w in new if BAR in w]
-        new = [w for w in new if BAR not in w]
-        for start in range(0, len(new), 2_000):
-            part = new[start : start + 2_000]
-            ids = self.encode([f" {BAR} ".join(part)])[0]
-            cuts = np.flatnonzero(ids == self.bar)
-            if len(cuts) != len(part) - 1:
-                alone += part
-                continue
-            starts, stops = np.concatenate([[0], cuts + 1]) * 4, np.append(cuts, len(ids)) * 4
-            data = ids.tobytes()
-            for word, a, b in zip(part, starts.tolist(), stops.tolist(), strict=True):
-                self.ids[word] = data[a:b]
-        for start in range(0, len(alone), 2_000):
-            part = alone[start : start + 2_000]
-            for word, ids in zip(part, self.encode(part), strict=True):
-                self.ids[word] = ids.tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        found = set().union(*parts)
-        self.learn(found)
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.ids.__getitem__, p)) + end, "<u4") for p in parts]
-
-
-_KNOWN: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """The table of this Python worker, which later tasks find filled."""
-    if path not in _KNOWN:
-        _KNOWN[path] = WordIds(path)
-    return _KNOWN[path]
-
-
 class SumOfSquares:
     """Open windows by fill level. `place` puts an item of `size` < window into the level that minimises the sum of
     squared level counts, and returns the window and the offset; `open` holds (window, fill) after the last item."""
@@ -204,13 +116,16 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()  # what other stages have freed in this worker, before its table of words grows
-        words, base = word_ids(path), TaskContext.get().partitionId() << 32
+        give_back()  # what other stages have freed in this worker
+        known, base = piece_ids(path), TaskContext.get().partitionId() << 32
 
         def documents():
-            for batch in text_batches(batches):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                yield from zip(batch.column("doc_id").to_pylist(), words.of(texts), strict=True)
+            for batch in text_batches(batches, TEXT_BYTES):
+                ids, sizes = known.of(batch.column("text"), END_ID)
+                cuts = [0, *np.cumsum(sizes).tolist()]
+                # Copies, as open windows would keep all ids of the batch.
+                each = (ids[a:b].copy() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+                yield from zip(batch.column("doc_id").to_pylist(), each, strict=True)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))

@@ -222,22 +222,27 @@ def feature_counts(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     columns = [f"{kind}{k}" for k in range(cells) for kind in ("n", "ones")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+        # Sorted keys (feature, column) with their counts: only what occurs takes memory.
+        keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in text_batches(batches):
-            if counts is None:
-                counts = np.zeros((2 * cells, 1 << FEATURE_BITS), np.int32)
             owner, numbers = features(batch.column("text"))
             fold = folds_of(batch.column("doc_id").to_numpy(zero_copy_only=False))
+            found = [keys]
             for c, name in enumerate(names):
                 y = batch.column(name).to_numpy(zero_copy_only=False).astype(float)
-                for f in range(FOLDS):
-                    for j, has in enumerate((~np.isnan(y), y == 1)):
-                        found, times = np.unique(numbers[(has & (fold == f))[owner]], return_counts=True)
-                        counts[2 * (c * FOLDS + f) + j, found] += times.astype(np.int32)
-        if counts is not None:
-            seen = np.flatnonzero(counts.any(axis=0))
-            for at in np.array_split(seen, len(seen) // 10_000 + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in counts)], ["number", *columns])
+                for j, has in enumerate((~np.isnan(y), y == 1)):
+                    mine = has[owner]
+                    found.append(numbers[mine] * 2 * cells + 2 * (c * FOLDS + fold[owner[mine]]) + j)
+            new = np.concatenate(found[1:])
+            weights = np.concatenate([times, np.ones(len(new), np.int64)])
+            keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            times = np.bincount(at, weights, len(keys)).astype(np.int64)
+        for start in range(0, len(keys), 100_000):
+            at, column = np.divmod(keys[start : start + 100_000], 2 * cells)
+            seen, row = np.unique(at, return_inverse=True)
+            counts = np.zeros((2 * cells, len(seen)), np.int32)
+            counts[column, row] = times[start : start + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(x) for x in counts)], ["number", *columns])
 
     schema = f"number long, {', '.join(f'{c} int' for c in columns)}"
     summed = rows.mapInArrow(count, schema).groupBy("number").agg(*(F.sum(c).cast("int").alias(c) for c in columns))

@@ -96,6 +96,18 @@ def test_odd_rows(documents, table):
     assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in twice) == [(0, None, True), (3, 3, True), (5, 3, False), (5, 3, False)]
 
 
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_rows_that_share_a_doc_id(documents, partitions):
+    """Every version of a repeated doc_id has its links, and its versions are one node, however the rows are dealt."""
+    rng = random.Random(8)
+    texts = [[f"{name}{i}" for i in range(60)] for name in "abcd"]
+    rows = [(1, " ".join(texts[0])), (1, " ".join(texts[1])), (2, edited(texts[0], 1, rng)), (3, edited(texts[1], 1, rng))]
+    rows += [(5, " ".join(texts[2])), (7, " ".join(texts[2])), (7, " ".join(texts[3])), (9, edited(texts[3], 1, rng)), (11, "alone")]
+    found = neardup.near_duplicates(documents(rows).repartition(partitions), 4).collect()
+    got = sorted((r["doc_id"], r["component_id"]) for r in found)
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (7, 5), (7, 5), (9, 5), (11, 11)]
+
+
 def test_kept_documents_keep_their_columns(documents, prose):
     docs = documents(prose)
     kept = neardup.keep_one_of_each(docs, 4)

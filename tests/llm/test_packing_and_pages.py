@@ -4,12 +4,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from roomtide.llm import html_text, packing
+from roomtide.llm import html_text, packing, pieces
 
 
 @pytest.fixture(scope="module")
@@ -82,19 +83,31 @@ def test_place_minimises_the_sum_of_squares():
                 assert after <= (other**2).sum()
 
 
-@given(st.lists(st.text("ab|'é½٣ \n\t.,Á <>", max_size=40), max_size=6))
-@settings(max_examples=100, deadline=None)
-def test_words_are_encoded_as_texts_are(texts):
-    words = packing.word_ids(packing.default_vocabulary())
-    want = [[*e.ids, packing.END_ID] for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in words.of(texts)] == want
+def split_ids(known, texts, end=packing.END_ID):
+    ids, sizes = known.of(pa.array(texts, pa.string()), end)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
 
 
-def test_table_of_words_starts_anew(monkeypatch, tokenizer):
-    monkeypatch.setattr(packing, "KNOWN_WORDS", 10)
-    words = packing.WordIds(packing.default_vocabulary())
+@given(st.lists(st.text("aBb|'é½٣ \n\t.,*#$Á <>", max_size=40), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_texts_of_pieces(texts):
+    known = pieces.piece_ids(packing.default_vocabulary())
+    want = [[*e.ids, packing.END_ID] for e in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert split_ids(known, texts) == want
+
+
+def test_pieces():
+    found, first = pieces.pieces(pa.array(["Ab, AB!? a1, .. ,x é.", None, "", "Z"]))
+    assert found.to_pylist() == ["ab", ",", "ab", "!?", "a1,", "..", ",x", "é.", "z"]
+    assert first.tolist() == [0, 8, 8, 8, 9]
+
+
+def test_table_of_pieces_starts_anew(monkeypatch, tokenizer):
+    monkeypatch.setattr(pieces, "KNOWN_PIECES", 10)
+    known = pieces.PieceIds(packing.default_vocabulary())
     for text in ("a b c d", "Hello, worlds! e f g", "a b c d x y z 1 2 3 4 5 6 7 8 9"):
-        assert words.of([text])[0].tolist() == ids_of(tokenizer, text)
+        assert split_ids(known, [text])[0] == ids_of(tokenizer, text)
+    assert len(known.known) <= 16
 
 
 PAGES = {

@@ -4,13 +4,14 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from test_near_duplicates import classes
 
 import __spark_entry__ as registered
 import compare
 import corpus_pipeline
-from roomtide.llm import catalog, mixing, packing, toxicity
+from roomtide.llm import catalog, mixing, packing, pieces, toxicity
 from roomtide.llm.common import written
 
 FOLDER = "/root/testdata/sf0.001"
@@ -74,9 +75,9 @@ def test_stages(spark):
     tokens, want = defaultdict(int), defaultdict(int)
     for r in after[5].collect():
         tokens[r["doc_id"]] += r["length"]
-    encoder = packing.word_ids(packing.default_vocabulary())
-    for r, ids in zip(mixed, encoder.of([r["text"] for r in mixed]), strict=True):
-        want[r["doc_id"]] += len(ids)
+    known = pieces.piece_ids(pieces.default_vocabulary())
+    for r, n in zip(mixed, known.of(pa.array([r["text"] for r in mixed]), packing.END_ID)[1].tolist(), strict=True):
+        want[r["doc_id"]] += n
     assert tokens == want
     assert sum(r["length"] for r in registered.queries()["pipeline"](spark, FOLDER).collect()) == sum(want.values())
 
