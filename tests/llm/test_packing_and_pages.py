@@ -1,5 +1,6 @@
 """Packing and main text of pages."""
 
+import time
 import zlib
 from collections import defaultdict
 
@@ -133,6 +134,57 @@ def test_pages(html):
     assert html_text.main_text(html) == PAGES[html]
 
 
+BODY = "".join(f"<p>{'word ' * 60}{i}.</p>" for i in range(5))
+TEXT = "\n\n".join(f"{'word ' * 60}{i}." for i in range(5))
+AROUND_THE_PAGE = [
+    f'<body><div class="layout-sidebar-right"><article><h1>T</h1>{BODY}</article></div><div class=sidebar>no</div></body>',
+    f'<div class="social-science"><h1>T</h1>{BODY}</div><div class="social-links"><a href=x>share</a></div>',
+    f'<form id="aspnetForm"><div class=menu><a href=x>menu</a></div><h1>T</h1>{BODY}<div class=footer>foot</div><form>q</form></form>',
+    f"<table><tr><td class=sidebar>menu<td><article><h1>T</h1>{BODY}</article></table>",
+    f"<table><tbody><tr><td class=nav>menu<td><h1>T</h1>{BODY}<tr><td class=footer>foot</table>",
+    f'<div class="main-widget"><h1>T</h1>{BODY}</div><div class=widget>weather</div>',
+    f'<article><div class="post-header"><h1>T</h1></div>{BODY}</article><div class="site-header"><h1>Site</h1></div>',
+    f'<div class="article-header"><h1>T</h1></div><div class="article-body">{BODY}</div><section class=comments>{BODY}{BODY}</section>',
+]
+
+
+@pytest.mark.parametrize("html", AROUND_THE_PAGE)
+def test_names_around_the_page_leave_nothing_out(html):
+    assert html_text.main_text(html) == "T\n\n" + TEXT
+
+
+def test_omitted_end_tags():
+    assert html_text.main_text("<table><tr><td class=sidebar>menu<td>article text is here") == "article text is here"
+    assert html_text.main_text("<ul><li class=ad>buy<li>text stays</ul>") == "text stays"
+    assert html_text.main_text("<ul><li>a<ul><li class=ad>b<li>c</ul><li>d</ul>") == "a\n\nc\n\nd"
+    assert html_text.main_text("<dl><dt class=ad>a<dd>b<dt>c</dl>") == "b\n\nc"
+
+
+def test_inline_elements_are_never_left_out_by_name():
+    html = "<article><p>See <span class='share'>our share</span> price; <em class='ad'>ad hoc</em> work.</p></article>"
+    assert html_text.main_text(html) == "See our share price; ad hoc work."
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<div>" * 50_000 + "<p>x", "<p>" + "<b>x " * 50_000, "<ul>" + "<li>x " * 50_000, "<div>" * 50_000 + "<p>x</p></b>" * 20_000, "<ul><li>" * 25_000 + "x"],
+)
+def test_time_grows_with_the_page(html):
+    start = time.monotonic()
+    assert html_text.main_text(html).startswith("x")
+    assert time.monotonic() - start < 5
+
+
+def test_ratios_decide(monkeypatch):
+    """Without an article element the smoothed ratios choose the region: with others, another text comes out."""
+    links = "".join(f"<li>see <a href='/{i}'>link {i}</a></li>" for i in range(30))
+    html = f"<body><div><ul>{links}</ul></div><div><h2>T</h2>{BODY}</div></body>"
+    assert html_text.main_text(html) == "T\n\n" + TEXT
+    smoothed = html_text.smoothed
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: smoothed(1 / (1 + ratios)))
+    assert "link 3" in html_text.main_text(html)
+
+
 def test_article_without_its_element():
     """Without an article element long blocks make the region, and lists of links beside them go."""
     links = "".join(f"<li><a href='/{i}'>link {i}</a></li>" for i in range(12))
