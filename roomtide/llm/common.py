@@ -26,9 +26,12 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of its own where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir; one of its own where that is unset and everything runs on
+    this machine, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="roomtide-shared-"))
         folder = _own_folder[0]

@@ -55,7 +55,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Summed row by row, so that equal rows have equal scores."""
+    """Summed row by row, so that equal rows have equal scores. Scaled by powers of two first, which rounds nothing, so
+    that squares of large or small numbers neither overflow nor vanish."""
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+    query = np.ldexp(query, -np.frexp(np.abs(query).max())[1])
     norms = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum())
     return (rows * query).sum(axis=1) / norms
 
@@ -115,7 +118,7 @@ def candidates_needed(index: DataFrame, asks: DataFrame, codebooks, sizes: np.nd
     """How many vectors a query has to take so that the part `recall` of true neighbours is among them."""
     n = asks.count()
     few = asks.filter(F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(1 << 20)) < int(min(1.0, TRIALS / n) * (1 << 20)) + 1)
-    few = few.select("embedding").limit(TRIALS).toArrow().column(0).combine_chunks()
+    few = few.orderBy(F.xxhash64("entry", F.lit(1)), "entry").select("embedding").limit(TRIALS).toArrow().column(0).combine_chunks()
     if not len(few):
         return 1
     trials = unit(vectors(few))
@@ -185,7 +188,7 @@ def nearest(
         return spark.createDataFrame([], RESULT)
     part = min(1.0, SAMPLE / n)
     drawn = entries.filter(F.pmod(F.xxhash64("entry"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    sample = unit(vectors(drawn.select("embedding").limit(SAMPLE).toArrow().column(0).combine_chunks()))
+    sample = unit(vectors(drawn.orderBy(F.xxhash64("entry"), "entry").select("embedding").limit(SAMPLE).toArrow().column(0).combine_chunks()))
     half = sample.shape[1] // 2 or sample.shape[1]
     centroids = int(min(MOST_CENTROIDS, 1 << max(1, int(np.ceil(np.log2(np.sqrt(n / CELL)))))))
     parts = [x if x.shape[1] else np.zeros((len(x), 1)) for x in (sample[:, :half], sample[:, half:])]

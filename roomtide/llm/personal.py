@@ -36,6 +36,8 @@ CONTEXT = 2
 SHAPES = 1 << 10
 #: Words of a training row at most, whose batch is padded to the longest.
 LONGEST = 40
+#: Characters of a training row's words at most; rows with longer ones are not trained on. Every word is decoded.
+LONGEST_WORD = 100
 #: Padded words of neighbourhoods that are decoded side by side.
 SIDE_BY_SIDE = 1 << 18
 
@@ -127,9 +129,6 @@ _RUN = re.compile(r"[0-9]+|[^\W\d_]+")
 
 def shape(word: str) -> int:
     """The word with letters as one letter and digits as their number, as an index."""
-    if len(word) > 64:
-        word = word[:48] + word[-16:]  # of a very long word only the ends tell its shape
-
     def short(m: re.Match) -> str:
         return f"0{min(len(m[0]), 20)}" if m[0][0].isdigit() else "a"
 
@@ -319,10 +318,12 @@ def labelled_table(docs: DataFrame, seed: int = 0) -> list[tuple[list[str], list
                     spans = base_spans(text)
                     rows = [w[j : j + LONGEST] for w in neighbourhoods(text) for j in range(0, len(w), LONGEST)]
                     for place, words in enumerate(rows):
+                        if max(b - a for a, b in words) > LONGEST_WORD:
+                            continue
                         key = hashlib.blake2b(f"{seed}:{doc_id}:{place}".encode(), digest_size=8).hexdigest()
                         found = labelled(words, between(spans, words[0][0], words[-1][1]))
                         kinds = sum(1 << y for y in set(found) - {0}) or 1
-                        out.append((key, kinds, json.dumps([[text[a:b][:100] for a, b in words], found])))
+                        out.append((key, kinds, json.dumps([[text[a:b] for a, b in words], found])))
             columns = zip(*out, strict=True) if out else [[]] * 3
             kinds_of = (pa.string(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True)], names)

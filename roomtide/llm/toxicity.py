@@ -187,12 +187,12 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, seed: int =
     part = min(1.0, TRAIN_ROWS / max(known.count(), 1))
     key = F.xxhash64("doc_id", F.lit(seed))
     # The bound of what is broadcast: TRAIN_ROWS numbers and labels.
-    drawn = known.filter(F.pmod(key, F.lit(1 << 20)) < int(part * (1 << 20)) + 1).limit(2 * TRAIN_ROWS)
+    drawn = known.filter(F.pmod(key, F.lit(1 << 20)) < int(part * (1 << 20)) + 1).orderBy(key, "doc_id").limit(2 * TRAIN_ROWS)
     names = [name for name, _, _ in categories]
     # Read twice, so written: at most about TRAIN_ROWS texts.
     rows = written(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"))
     if rows.count() > 2 * TRAIN_ROWS:  # rows that share doc_ids
-        rows = written(rows.limit(2 * TRAIN_ROWS))
+        rows = written(rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * TRAIN_ROWS))
     wanted = rows.sparkSession.sparkContext.broadcast(chosen_features(rows, names))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

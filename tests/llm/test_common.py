@@ -66,3 +66,22 @@ def test_intervals_merge():
     assert a.tolist() == [0, 5] and b.tolist() == [4, 10]
     a, b = common.intervals(np.array([0, 1, 2]), np.array([10, 2, 3]))
     assert a.tolist() == [0] and b.tolist() == [10]
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    """Tables that other machines have to read never go to a folder of the driver's own."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from roomtide.llm import common
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default: folder or default)
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    for master in ("spark://a:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_folder(session(master))
+        assert common.shared_folder(session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert common.shared_folder(session("local[4]")).startswith("file:")

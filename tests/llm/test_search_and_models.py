@@ -344,3 +344,20 @@ def test_features_chosen_from_counts_are_those_of_all_pairs(spark, documents, mo
     for model, other in zip(models, want, strict=True):
         tied = np.setxor1d(model.numbers, other.numbers)
         assert len(model.numbers) == len(other.numbers) and len(tied) <= 0.1 * len(other.numbers)
+
+
+def test_cosine_of_large_and_small_numbers():
+    rows = np.array([[3.0, 4.0], [1e200, -2e200], [1e-200, 1e-200], [1.5e-5, 7.0]])
+    for query in (np.array([1e250, 1e250]), np.array([2.0, 1.0]), np.array([1e-250, 0.0])):
+        plain = np.array([np.dot(r / np.abs(r).max(), query / np.abs(query).max()) / np.linalg.norm(r / np.abs(r).max()) / np.linalg.norm(query / np.abs(query).max()) for r in rows])
+        assert np.allclose(neighbours.cosine(rows, query), plain, rtol=1e-14)
+    # Numbers of usual size are scored to the bit as without scaling.
+    x = np.random.default_rng(1).standard_normal((50, 64)).astype(np.float32).astype(float)
+    want = (x * x[0]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((x[0] * x[0]).sum()))
+    assert (neighbours.cosine(x, x[0]) == want).all()
+
+
+def test_shapes_of_very_long_words():
+    """The whole word counts, in training as in decoding."""
+    assert personal.shape("a1-" * 40 + "x") != personal.shape("a1-" * 40 + "7")
+    assert personal.shape("-" * 60 + "1" + "-" * 60) != personal.shape("-" * 121)
