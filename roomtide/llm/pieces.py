@@ -20,7 +20,7 @@ _MARK[list(MARKS.encode())] = True
 #: Pieces whose ids a worker keeps; the table starts anew beyond it.
 KNOWN_PIECES = 1_500_000
 #: Bytes of texts that are looked up together.
-TEXT_BYTES = 3 << 20
+TEXT_BYTES = 8 << 20
 
 
 def default_vocabulary() -> str:
