@@ -1,7 +1,8 @@
 """Session settings.
 
 On a cluster pass your own session to the library; these are settings to start from. Nothing here
-sets a checkpoint folder: the library never cuts lineage.
+sets a checkpoint folder: reports never cut lineage, and the text operators, which do, take the cluster's own
+`spark.checkpoint.dir` and refuse to run on a cluster without it.
 """
 
 from __future__ import annotations
