@@ -26,7 +26,7 @@ def db():
 
 def test_one_query_for_each_operator():
     names = [n for n in registered.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in registered.queries() and catalog.SQL.keys() <= registered.queries().keys()
 
 
