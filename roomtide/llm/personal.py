@@ -1,17 +1,20 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds to them.
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers. A small labelled table is drawn from the
-documents: the neighbourhoods of digits and at signs in at most TRAIN_DOCS documents, in rows of at most LONGEST words,
-whose words the patterns label, each also in the variants that people write and the patterns miss. The random field is trained on it by gradient
-descent on the exact likelihood (forward-backward in numpy batches) and decoded by Viterbi over batches of
-neighbourhoods of all whole texts. A decoded span is added if it holds what its kind needs and touches no other span.
-
-A neighbourhood is a run of words with at most CONTEXT words between two that hold a digit or an at sign, and so many
-on either side; words outside have no such word near and are labelled as none.
-
-Defined cases: null or empty text has no spans, whose digest is that of the empty string. Texts without a digit or an
-at sign are not looked at further, as no span can be in them. Repeated rows are read each. Without a labelled
-neighbourhood nothing is added to the patterns.
+documents: the neighbourhoods of hints in at most TRAIN_DOCS documents, in rows of at most LONGEST words, whose words the
+patterns label. In place of a labelled span the table also has what people write and the patterns miss ("name (at) host
+(dot) org", "tel 030/123456"), labelled alike, and what only looks like it (dates, amounts, page ranges), labelled as none,
+each spelling in about EACH_SPELLING rows. The random field is trained on it by gradient descent on the exact likelihood
+(forward-backward in numpy batches) and decoded by Viterbi over batches of neighbourhoods of all whole texts. A decoded
+span is added if it holds what its kind needs and touches no other span.
+
+A hint is a digit, an at sign, "at" or "dot" in brackets, or the word "dot". A neighbourhood is a run of words with
+at most twice CONTEXT words between two that hold a hint, and CONTEXT words on either side; words outside have no such word
+near and are labelled as none.
+
+Defined cases: null or empty text has no spans, whose digest is that of the empty string. Texts without a hint are not
+looked at further, as no span can be in them. Repeated rows are read each. Without a labelled neighbourhood nothing is
+added to the patterns, and spellings of a kind are taught only if the patterns find some of that kind.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import random
 import re
 from collections.abc import Iterator
 
@@ -32,12 +36,16 @@ from roomtide.llm.common import text_batches, written
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 4000
 TRAIN_ROWS = 3000
-CONTEXT = 2
-SHAPES = 1 << 10
+CONTEXT = 3
+SHAPES = 1 << 12
+#: Rows that teach each spelling, at most about twice as many.
+EACH_SPELLING = 60
 #: Words of a training row at most, whose batch is padded to the longest.
 LONGEST = 40
 #: Characters of a training row's words at most; rows with longer ones are not trained on. Every word is decoded.
 LONGEST_WORD = 100
+#: Padded words of training rows whose probabilities are computed side by side.
+TRAINED_TOGETHER = 1 << 13
 #: Padded words of neighbourhoods that are decoded side by side.
 SIDE_BY_SIDE = 1 << 18
 
@@ -50,6 +58,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ASKED = re.compile(r"[0-9@]")
+HINT = re.compile(r"[0-9@]|[(\[{<](?:at|dot)[)\]}>]|(?<!\w)dot(?!\w)", re.IGNORECASE)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -114,7 +123,7 @@ def neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
     """Words (start, end) of each neighbourhood."""
     found = [m.span() for m in WORD.finditer(text)]
     starts = np.array([a for a, _ in found])
-    hits = np.unique(np.searchsorted(starts, [m.start() for m in ASKED.finditer(text)], "right") - 1)
+    hits = np.unique(np.searchsorted(starts, [m.start() for m in HINT.finditer(text)], "right") - 1)
     low, high = np.maximum(hits - CONTEXT, 0), np.minimum(hits + CONTEXT + 1, len(found))
     out, begin = [], 0
     for i in range(1, len(hits) + 1):
@@ -125,14 +134,22 @@ def neighbourhoods(text: str) -> list[list[tuple[int, int]]]:
 
 
 _RUN = re.compile(r"[0-9]+|[^\W\d_]+")
+#: Words that stand for a sign or before a number, whose shape is the word itself.
+CUES = frozenset("at dot tel telefon phone call fax mobile".split())
 
 
 def shape(word: str) -> int:
-    """The word with letters as one letter and digits as their number, as an index."""
+    """The word with letters as one letter and digits as their number, or a cue as it is, as an index. In words of four
+    and more numbers, as addresses are, those of up to three digits are alike."""
+    alike = 3 if sum(m[0][0].isdigit() for m in _RUN.finditer(word)) > 3 else 0
+
     def short(m: re.Match) -> str:
-        return f"0{min(len(m[0]), 20)}" if m[0][0].isdigit() else "a"
+        if not m[0][0].isdigit():
+            return "a"
+        return "0" if len(m[0]) <= alike else f"0{min(len(m[0]), 20)}"
 
-    text = _RUN.sub(short, word)
+    cue = word.lower().strip(".,;:!?")
+    text = cue if cue.strip("()[]{}<>") in CUES else _RUN.sub(short, word)
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % SHAPES
 
 
@@ -158,6 +175,105 @@ def variants(words: list[str], labels: list[int]) -> Iterator[tuple[list[str], l
         yield [".".join(re.findall(".{1,4}", w)) if y == card and w.isdigit() else w for w, y in zip(words, labels, strict=True)], labels
 
 
+# --- spellings that the patterns miss, and what only looks like them ----------------------------------
+
+
+def spellings(kind: str, value: str, draw: random.Random) -> list[tuple[str, str]]:
+    """(words before that belong to no span, the span) for a value of the kind; numbers are drawn anew where no check
+    digit binds them."""
+    def digits(n: int) -> str:
+        return str(draw.randint(1, 9)) + "".join(str(draw.randint(0, 9)) for _ in range(n - 1))
+
+    cue = draw.choice(("tel", "Tel.:", "phone:", "Telefon", "call", "fax", "mobile"))
+    if kind == "email":
+        local, host = value.split("@")
+        parts = host.split(".")[-draw.randint(2, 3) :]
+        if draw.random() < 0.5:
+            names = re.findall("[A-Za-z]+", local) or [local]
+            local = draw.choice(("", ".", "_")).join(names * 2 if len(names) == 1 else names)
+        if draw.random() < 0.5:
+            host = re.sub("[0-9]+(?=[.])", "", host)
+        a, b, host = *draw.choice(("()", "[]", "{}", "<>")), ".".join(parts)
+        return [
+            ("", f"{local} {a}at{b} {f' {a}dot{b} '.join(parts)}"),
+            ("", f"{local} {a}at{b} {host}"),
+            ("", f"{local}{a}at{b}{host}"),
+            ("", f"{local}{a}at{b}{f'{a}dot{b}'.join(parts)}"),
+            ("", f"{local} at {' dot '.join(parts)}"),
+            ("", f"{local} @ {host}"),
+            ("", f"{local}@{' dot '.join(parts)}"),
+        ]
+    if kind == "ip":
+        parts = [str(draw.randint(0, 255)) for _ in range(4)]
+        a, b = draw.choice(("()", "[]", "{}"))
+        return [("", sign.join(parts)) for sign in (f"{a}.{b}", f"{a}dot{b}", f" {a}dot{b} ", " . ", " dot ")]
+    if kind == "card":
+        fours = re.findall("..?.?.?", only_digits(value))
+        return [("", sign.join(fours)) for sign in (".", "/", "_", " / ")]
+    area, line = digits(draw.randint(2, 4)), digits(draw.randint(5, 8))
+    return [
+        ("", f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        ("", f"{digits(3)}-{digits(3)}-{digits(4)}"),
+        ("", f"{digits(3)}.{digits(3)}.{digits(4)}"),
+        ("", f"0{area}/{line}"),
+        ("", f"0{area}-{line}"),
+        ("", f"00{digits(2)} {area} {line}"),
+        (cue, f"0{area} {line}"),
+        (cue, f"{digits(3)} {digits(3)} {digits(4)}"),
+        (cue, digits(draw.randint(8, 12))),
+    ]
+
+
+def decoys(draw: random.Random) -> list[str]:
+    """Numbers and signs that are no personal data."""
+    year, month, day = draw.randint(1900, 2030), draw.randint(1, 12), draw.randint(1, 31)
+    a, b, c, d = (draw.randint(1, 999) for _ in range(4))
+    return [
+        f"{year}-{month:02}-{day:02}",
+        f"{day:02}.{month:02}.{year}",
+        f"{day}/{month}/{year}",
+        f"{year}-{month:02}-{day:02} {a % 24:02}:{b % 60:02}:{c % 60:02}",
+        f"{a},{b:03},{c:03}.{d % 100:02}",
+        f"{a}.{b:03}.{c:03},{d % 100:02}",
+        f"{a} {b:03} {c:03}",
+        f"{year}-{year + a % 50}",
+        f"{year}/{(year + 1) % 100:02}",
+        f"978-{a % 10}-{b % 90 + 10}-{c:03}{d:03}-{a % 10}",
+        str(draw.randint(10**6, 10 ** draw.randint(7, 12))),
+        f"{a}-{a + b}",
+        f"v{a % 20}.{b % 20}.{c}",
+        f"{a}.{b}",
+        f"{a} {b} {c} {d}",
+        f"{a % 24}:{b % 60:02}",
+        f"call {a % 10} times",
+        f"no. {a}/{b}",
+    ]
+
+
+def in_place(words: list[str], labels: list[int], kind: int, before: str, text: str, label: int) -> tuple[list[str], list[int]]:
+    """The row with the text, of the given label, in place of its first run of words of the kind."""
+    i = labels.index(kind)
+    j = next((j for j in range(i, len(labels)) if labels[j] != kind), len(labels))
+    lead, new = before.split(), text.split()
+    return [*words[:i], *lead, *new, *words[j:]], [*labels[:i], *[0] * len(lead), *[label] * len(new), *labels[j:]]
+
+
+def taught(table: list[tuple[list[str], list[int]]], seed: int = 0) -> Iterator[tuple[list[str], list[int]]]:
+    """Rows of the table with spellings and decoys in place of spans."""
+    draw = random.Random(seed)
+    for k, kind in enumerate(KINDS, 1):
+        rows = [r for r in table if k in r[1]]
+        step, every = max(1, len(rows) // EACH_SPELLING), max(1, EACH_SPELLING // max(1, len(rows)))
+        for n, (words, labels) in enumerate(rows):
+            run = " ".join(w for w, y in zip(words, labels, strict=True) if y == k)
+            value = next((run[a:b] for found, a, b in base_spans(run) if found == kind), None)
+            for _ in range(every if value else 0):
+                rewritten = [(before, text, k) for before, text in spellings(kind, value, draw)]
+                for i, (before, text, label) in enumerate([*rewritten, *(("", text, 0) for text in decoys(draw))]):
+                    if (n + i) % step == 0:
+                        yield in_place(words, labels, k, before, text, label)
+
+
 # --- the random field -------------------------------------------------------------------------------
 
 
@@ -184,23 +300,24 @@ class RandomField:
     def trained(cls, rows: list[list[int]], labels: list[list[int]], rounds: int = 80, penalty: float = 0.02):
         n = len(KINDS) + 1
         field = cls(np.zeros((3 * (SHAPES + 1), n)), np.zeros((n, n)))
-        features, lengths = cls.features(rows)
-        steps = features.shape[1]
-        inside = np.arange(steps) < lengths[:, None]
-        gold = np.zeros((len(rows), steps), np.int64)
-        for i, y in enumerate(labels):
-            gold[i, : len(y)] = y
-        one_hot = np.eye(n)[gold] * inside[:, :, None]
-        pairs = inside[:, 1:] & inside[:, :-1]
-        gold_moves = np.zeros((n, n))
-        np.add.at(gold_moves, (gold[:, :-1][pairs], gold[:, 1:][pairs]), 1)
+        batches, gold_moves = [], np.zeros((n, n))
+        for at in side_by_side([len(r) for r in rows], TRAINED_TOGETHER):
+            features, lengths = cls.features([rows[i] for i in at])
+            inside = np.arange(features.shape[1]) < lengths[:, None]
+            gold = np.zeros(inside.shape, np.int64)
+            gold[inside] = [y for i in at for y in labels[i]]
+            pairs = inside[:, 1:] & inside[:, :-1]
+            np.add.at(gold_moves, (gold[:, :-1][pairs], gold[:, 1:][pairs]), 1)
+            batches.append((features, inside, np.eye(n)[gold] * inside[:, :, None]))
         state = [np.zeros_like(x) for x in (field.weights, field.weights, field.moves, field.moves)]
         for step in range(1, rounds + 1):
-            node, edge = field.marginals(features, inside)
-            change = one_hot - node
-            gradient = np.zeros_like(field.weights)
-            for k in range(3):
-                np.add.at(gradient, features[:, :, k][inside], change[inside])
+            gradient, edge = np.zeros_like(field.weights), np.zeros((n, n))
+            for features, inside, one_hot in batches:
+                node, moved = field.marginals(features, inside)
+                edge += moved
+                change = (one_hot - node)[inside]
+                for k in range(3):
+                    np.add.at(gradient, features[:, :, k][inside], change)
             gradients = (gradient / len(rows) - penalty / len(rows) * field.weights, (gold_moves - edge) / len(rows))
             for x, g, (m, v) in zip((field.weights, field.moves), gradients, (state[:2], state[2:]), strict=True):
                 m += 0.1 * (g - m)
@@ -264,16 +381,20 @@ def side_by_side(lengths: list[int], most: int = SIDE_BY_SIDE) -> Iterator[list[
 
 
 EDGES = ".,;:!?\"'<>[]{}|"
+#: An at sign and a dot as they are written.
+AT = re.compile(r"\s*[(\[{<](?:@|at)[)\]}>]\s*|\s+at\s+|\s*@\s*", re.IGNORECASE)
+DOT = re.compile(r"\s*[(\[{<](?:\.|dot)[)\]}>]\s*|\s+dot\s+|\s+\.\s+", re.IGNORECASE)
 
 
 def holds(kind: str, text: str) -> bool:
     """Whether a decoded span has what its kind needs."""
     digits = only_digits(text)
     if kind == "email":
-        return "@" in text.strip("@") and "." in text
+        plain = DOT.sub(".", AT.sub("@", text))
+        return next(emails(plain), None) == (0, len(plain))
     if kind == "ip":
-        parts = re.split(r"[^0-9]+", text)
-        return len(parts) == 4 and all(p and octet(p) for p in parts)
+        parts = DOT.sub(".", text).split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and octet(p) for p in parts)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits) and len(text) <= 2 * len(digits)
     return 7 <= len(digits) <= 15 and re.fullmatch(r"\+?[ ().0-9/-]+", text) is not None
@@ -314,7 +435,7 @@ def labelled_table(docs: DataFrame, seed: int = 0) -> list[tuple[list[str], list
         for batch in text_batches(batches):
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text and ASKED.search(text):
+                if text and HINT.search(text):
                     spans = base_spans(text)
                     rows = [w[j : j + LONGEST] for w in neighbourhoods(text) for j in range(0, len(w), LONGEST)]
                     for place, words in enumerate(rows):
@@ -352,6 +473,7 @@ def between(spans: list[tuple[str, int, int]], start: int, stop: int) -> list[tu
 
 def train(table: list[tuple[list[str], list[int]]]) -> RandomField | None:
     rows = [v for words, labels in table for v in variants(words, labels)]
+    rows += taught(table)
     if not any(any(labels) for _, labels in rows):
         return None
     return RandomField.trained([[shape(w) for w in words] for words, _ in rows], [labels for _, labels in rows])
@@ -368,7 +490,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
                 found.append((base, []))
-                if field.value is not None and text and ASKED.search(text):
+                if field.value is not None and text and HINT.search(text):
                     for words in neighbourhoods(text):
                         rows.append([shape(text[a:b]) for a, b in words])
                         places.append((len(found) - 1, text, words))
