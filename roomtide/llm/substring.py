@@ -6,6 +6,9 @@ words, settles repeats among them, and sends for every hash only its first start
 all, and the others are repeats. Repeats go back to the documents, where overlapping windows merge into maximal
 intervals.
 
+Windows are equal if their hash and 32 bits of a second one, over the words' hashes mixed anew, both are: n windows give
+about n^2 / 2^97 false matches.
+
 Hashes and starts travel as packed bytes, one row for a task and bucket. A window that fills a third of all
 documents reaches its bucket once per task, whatever its number.
 
@@ -33,6 +36,7 @@ from roomtide.llm.common import (
     doc_ids,
     intervals,
     join_parts,
+    mix,
     pack_places,
     part_data,
     part_rows,
@@ -52,6 +56,8 @@ WIDTH = 20
 #: Windows that a task folds at a time.
 FLUSH = 1 << 21
 FIRST_STARTS, REPEATS = 1, 2
+#: Sets the words' second hashes apart from the first.
+OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -59,44 +65,51 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def not_first(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Along `order`, which sorts the hashes: whether a start comes after the first one of its hash."""
+def check_bits(tokens: np.ndarray, at: np.ndarray, width: int, powers: Powers) -> np.ndarray:
+    """32 bits for each window, from a polynomial in other hashes of its words."""
+    return (window_hashes(mix(tokens ^ OTHER), at, width, powers) >> np.uint64(32)).astype("<u4")
+
+
+def not_first(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Along `order`, which sorts the hashes: whether a start comes after the first one of its hash and check."""
     h = hashes[order]
     run = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    number = np.cumsum(run) - 1
-    size = np.bincount(number, minlength=1)
     late = np.zeros(len(h), bool)
-    many = np.flatnonzero(size[number] > 1) if len(h) else np.zeros(0, np.int64)
+    several = ~run
+    several[:-1] |= ~run[1:]
+    many = np.flatnonzero(several)
     if len(many):
-        d, p, g = docs[order[many]], places[order[many]], number[many]
-        by = np.lexsort((p, d, g))
-        d, p, g = d[by], p[by], g[by]
-        lead = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        lead = np.repeat(lead, np.diff(np.append(lead, len(g))))
+        number = np.cumsum(run[many])
+        d, p, c = docs[order[many]], places[order[many]], checks[order[many]]
+        by = np.lexsort((p, d, c, number))
+        d, p, c, number = d[by], p[by], c[by], number[by]
+        lead = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (c[1:] != c[:-1])]))
+        lead = np.repeat(lead, np.diff(np.append(lead, len(number))))
         late[many[by]] = (d != d[lead]) | (p != p[lead])
     return late
 
 
 def window_rows(docs: DataFrame, width: int, n: int) -> DataFrame:
-    """Rows (bucket, FIRST_STARTS, hashes and starts) and (bucket, REPEATS, starts) of the windows of all documents."""
+    """Rows (bucket, FIRST_STARTS, hashes, checks and starts) and (bucket, REPEATS, starts) of the windows of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, size, turn = Powers(), [], 0, 0
 
         def rows() -> pa.RecordBatch:
-            hashes, ids, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            hashes, checks, ids, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             if np.any(ids[1:] < ids[:-1]):
                 by = np.argsort(ids, kind="stable")
-                hashes, ids, places = hashes[by], ids[by], places[by]
+                hashes, checks, ids, places = hashes[by], checks[by], ids[by], places[by]
             order = np.argsort(hashes, kind="stable")
-            late = not_first(hashes, ids, places, order)
+            late = not_first(hashes, checks, ids, places, order)
             first = order[~late]
             cuts = np.searchsorted(bucket_of(hashes[first], n), np.arange(n + 1))
             out = []
             for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
                     at = np.sort(first[a:b])
-                    data = join_parts(hashes[at].astype("<u8").tobytes(), pack_places(ids[at], places[at]))
+                    data = join_parts(hashes[at].astype("<u8").tobytes(), checks[at].tobytes(), pack_places(ids[at], places[at]))
                     out.append((bucket, FIRST_STARTS, data))
             again = np.sort(order[late])
             if len(again):
@@ -109,12 +122,13 @@ def window_rows(docs: DataFrame, width: int, n: int) -> DataFrame:
             tokens = span_hashes(data, starts, stops)
             at, text = window_starts(first, width)
             if len(at):
-                held.append((window_hashes(tokens, at, width, powers), doc_ids(batch.column("doc_id"))[text], at - first[text]))
+                hashes, checks = window_hashes(tokens, at, width, powers), check_bits(tokens, at, width, powers)
+                held.append((hashes, checks, doc_ids(batch.column("doc_id"))[text], at - first[text]))
                 size += len(at)
             turn += 1
             if size >= FLUSH:
                 yield rows()
-                held, size = [], 0
+                size = 0
         if held:
             yield rows()
 
@@ -123,19 +137,18 @@ def window_rows(docs: DataFrame, width: int, n: int) -> DataFrame:
 
 def repeated_starts(table: pa.Table, parts: int) -> pa.Table:
     """The repeats of one bucket as rows (part of the document, REPEATS, starts)."""
-    hashes, ids, places = [], [], []
+    found = []
     for data in part_data(table, FIRST_STARTS):
-        h, starts = split_parts(data)
-        d, p = unpack_places(starts)
-        hashes.append(np.frombuffer(h, "<u8"))
-        ids.append(d)
-        places.append(p)
+        h, c, starts = split_parts(data)
+        found.append((np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4"), *unpack_places(starts)))
     again = [unpack_places(data) for data in part_data(table, REPEATS)]
-    if hashes:
-        h, d, p = np.concatenate(hashes), np.concatenate(ids), np.concatenate(places)
+    if found:
+        h, c, d, p = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
         order = np.argsort(h)
-        late = order[not_first(h, d, p, order)]
+        late = order[not_first(h, c, d, p, order)]
         again.append((d[late], p[late]))
+        del h, c, d, p, order
     d, p = (np.concatenate(x) for x in zip(*again, strict=True))
     by = np.lexsort((p, d))
     d, p = d[by], p[by]
