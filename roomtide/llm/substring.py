@@ -6,8 +6,8 @@ words, settles repeats among them, and sends for every hash only its first start
 all, and the others are repeats. Repeats go back to the documents, where overlapping windows merge into maximal
 intervals.
 
-Windows are equal if their hash and 32 bits of a second one, over the words' hashes mixed anew, both are: n windows give
-about n^2 / 2^97 false matches.
+Windows are equal if their hash and 24 bits of a second one, over the words' hashes mixed anew, both are: n windows give
+about n^2 / 2^89 false matches.
 
 Hashes and starts travel as packed bytes, one row for a task and bucket. A window that fills a third of all
 documents reaches its bucket once per task, whatever its number.
@@ -66,8 +66,18 @@ def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def check_bits(tokens: np.ndarray, at: np.ndarray, width: int, powers: Powers) -> np.ndarray:
-    """32 bits for each window, from a polynomial in other hashes of its words."""
-    return (window_hashes(mix(tokens ^ OTHER), at, width, powers) >> np.uint64(32)).astype("<u4")
+    """24 bits for each window, from a polynomial in other hashes of its words."""
+    return (window_hashes(mix(tokens ^ OTHER), at, width, powers) >> np.uint64(40)).astype("<u4")
+
+
+def pack_checks(checks: np.ndarray) -> bytes:
+    return checks.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpack_checks(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
 
 
 def not_first(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -109,7 +119,7 @@ def window_rows(docs: DataFrame, width: int, n: int) -> DataFrame:
             for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
                     at = np.sort(first[a:b])
-                    data = join_parts(hashes[at].astype("<u8").tobytes(), checks[at].tobytes(), pack_places(ids[at], places[at]))
+                    data = join_parts(hashes[at].astype("<u8").tobytes(), pack_checks(checks[at]), pack_places(ids[at], places[at]))
                     out.append((bucket, FIRST_STARTS, data))
             again = np.sort(order[late])
             if len(again):
@@ -140,7 +150,7 @@ def repeated_starts(table: pa.Table, parts: int) -> pa.Table:
     found = []
     for data in part_data(table, FIRST_STARTS):
         h, c, starts = split_parts(data)
-        found.append((np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4"), *unpack_places(starts)))
+        found.append((np.frombuffer(h, "<u8"), unpack_checks(c), *unpack_places(starts)))
     again = [unpack_places(data) for data in part_data(table, REPEATS)]
     if found:
         h, c, d, p = (np.concatenate(x) for x in zip(*found, strict=True))
