@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -90,22 +91,37 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/applications-{uuid.uuid4().hex}"
 
 
-def _read_back(a: DataFrame, fmt: str) -> DataFrame:
+# One task sorts and writes a file, so a larger table takes more files, not longer ones.
+ROWS_PER_FILE = 500_000
+FEWEST_FILES = 5
+# Spark numbers files with five digits; with more of them their names would no longer be in order.
+MOST_FILES = 100_000
+
+
+def _read_back(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
     """The applications, written to several files in their order and read by the reader."""
-    path = _scratch(a.sparkSession)
-    rows = a.select(*ALL_COLUMNS).repartitionByRange(5, *KEYS).sortWithinPartitions(*KEYS)
+    path = _scratch(spark)
+    # The files' footers have the number of line items; that of applications would take the joins once more.
+    wanted = math.ceil(trade.line_items(spark, folder).count() / ROWS_PER_FILE)
+    files = min(max(wanted, FEWEST_FILES), MOST_FILES)
+    a = trade.applications(spark, folder)
+    rows = a.select(*ALL_COLUMNS).repartitionByRange(files, *KEYS).sortWithinPartitions(*KEYS)
     # Without a mark for what is missing, CSV would not tell it from empty text.
     options = {"nullValue": "NA"} if fmt == "csv" else {}
     rows.write.options(header=True, **options).format(fmt).save(path)
-    read = conform(read_applications(a.sparkSession, path, fmt, schema=rows.schema if fmt == "json" else None, **options))
+    read = conform(read_applications(spark, path, fmt, schema=rows.schema if fmt == "json" else None, **options))
     return read.withColumns({k: F.col(k).cast(kind) for k, kind in rows.dtypes if k in KEYS})
 
 
 for _fmt in ("parquet", "csv", "json"):
-    register(f"read_{_fmt}", f"SELECT {_all} FROM applications")(lambda a, f=_fmt: _read_back(a, f).select(*ALL_COLUMNS))
+    CATALOG[f"read_{_fmt}"] = Query(
+        lambda spark, folder, f=_fmt: _read_back(spark, folder, f).select(*ALL_COLUMNS),
+        sql.statement(f"SELECT {_all} FROM applications"),
+    )
     # The first row of a residence, by the order of the files, is that by the keys that they were written in.
-    register(f"read_{_fmt}_order", sql.capacity(RESIDENCE))(
-        lambda a, f=_fmt: places.capacity(_read_back(a, f), RESIDENCE, FILE_ORDER)
+    CATALOG[f"read_{_fmt}_order"] = Query(
+        lambda spark, folder, f=_fmt: places.capacity(_read_back(spark, folder, f), RESIDENCE, FILE_ORDER),
+        sql.statement(sql.capacity(RESIDENCE)),
     )
 
 

@@ -42,10 +42,14 @@ def _unless_multiple(part: int, value: Column) -> Column:
     return F.when(F.col("l_partkey") % part != 0, value)
 
 
+def line_items(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "lineitem")
+
+
 def applications(spark: SparkSession, folder: str) -> DataFrame:
     """One application per line item."""
     rows = (
-        _table(spark, folder, "lineitem")
+        line_items(spark, folder)
         .join(_table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(_table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as registered
 import compare
+from oracles import catalog
 from oracles.catalog import CATALOG
 
 FOLDER = "/root/testdata/sf0.001"
@@ -23,3 +24,16 @@ def test_contract(spark):
 @pytest.mark.parametrize("name", sorted(CATALOG))
 def test_same_as_sql(spark, db, name):
     assert compare.difference(spark, db, name, FOLDER) is None
+
+
+@pytest.mark.parametrize("name", ["read_json"])
+def test_files_read_back_have_a_bounded_number_of_rows(spark, db, tmp_path, monkeypatch, name):
+    """One task sorts a file, so a larger table is written to more files; the results stay."""
+    path = f"file://{tmp_path}/rows"
+    monkeypatch.setattr(catalog, "ROWS_PER_FILE", 500, raising=False)
+    monkeypatch.setattr(catalog, "_scratch", lambda spark: path)
+    assert compare.difference(spark, db, name, FOLDER) is None
+    fmt = name.split("_")[1]
+    stored = spark.read.options(header=True).schema("l_orderkey long").format(fmt).load(path)
+    counts = [r["count"] for r in stored.groupBy("_metadata.file_name").count().collect()]
+    assert sum(counts) == 6000 and max(counts) <= 1000
