@@ -26,7 +26,7 @@ def test_same_as_sql(spark, db, name):
     assert compare.difference(spark, db, name, FOLDER) is None
 
 
-@pytest.mark.parametrize("name", ["read_json", "read_parquet_order", "read_csv", "read_csv_order", "read_json_order"])
+@pytest.mark.parametrize("name", ["read_json", "read_parquet_order", "read_csv", "read_csv_order", "read_json_order", "read_parquet"])
 def test_files_read_back_have_a_bounded_number_of_rows(spark, db, tmp_path, monkeypatch, name):
     """One task sorts a file, so a larger table is written to more files; the results stay."""
     path = f"file://{tmp_path}/rows"
