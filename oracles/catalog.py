@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracles import sql
@@ -98,17 +99,53 @@ FEWEST_FILES = 5
 MOST_FILES = 100_000
 
 
+# A table of many files is written in slices of its first key, one after the other, so that the shuffles of one slice at a
+# time take disk. Each slice reads the tables again, so there are few.
+MOST_SLICES = 4
+
+
+def _slices(items: DataFrame, number: int) -> list[Column]:
+    """Conditions on the first key, in its order, that give every row to one slice, each about as many. Rows without that key,
+    which have no order to join, are in none of several."""
+    key = F.col(KEYS[0])
+    cuts = [i / number for i in range(1, number)]
+    found = items.agg(F.percentile_approx(key, cuts)).first()[0] if cuts else []
+    edges = sorted(set(found or []))
+    lower = [F.lit(True), *[key >= edge for edge in edges]]
+    upper = [*[key < edge for edge in edges], F.lit(True)]
+    return [low & high for low, high in zip(lower, upper)]
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Queries run in here remove their shuffle files at their end. Else they stay until the driver collects its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _read_back(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
     """The applications, written to several files in their order and read by the reader."""
     path = _scratch(spark)
     # The files' footers have the number of line items; that of applications would take the joins once more.
-    wanted = math.ceil(trade.line_items(spark, folder).count() / ROWS_PER_FILE)
-    files = min(max(wanted, FEWEST_FILES), MOST_FILES)
-    a = trade.applications(spark, folder)
-    rows = a.select(*ALL_COLUMNS).repartitionByRange(files, *KEYS).sortWithinPartitions(*KEYS)
+    items = trade.line_items(spark, folder)
+    slices = _slices(items, min(max(math.ceil(items.count() / ROWS_PER_FILE) // FEWEST_FILES, 1), MOST_SLICES))
     # Without a mark for what is missing, CSV would not tell it from empty text.
     options = {"nullValue": "NA"} if fmt == "csv" else {}
-    rows.write.options(header=True, **options).format(fmt).save(path)
+    # Plain text takes many times the disk of the tables. A compressed file is not split, but its rows are bounded.
+    packed = {"compression": "gzip"} if fmt == "json" else {}
+    with _shuffles_removed(spark):
+        for number, part in enumerate(slices):
+            wanted = math.ceil(items.filter(part).count() / ROWS_PER_FILE)
+            files = min(max(wanted, FEWEST_FILES), MOST_FILES)
+            # Sorted before the columns of applications are made, which take twice the disk in a shuffle.
+            a = trade.joined(spark, folder).filter(part).repartitionByRange(files, *KEYS).sortWithinPartitions(*KEYS)
+            rows = trade.derived(a).select(*ALL_COLUMNS)
+            rows.write.options(header=True, **options, **packed).format(fmt).save(f"{path}/slice={number}")
     read = conform(read_applications(spark, path, fmt, schema=rows.schema if fmt == "json" else None, **options))
     return read.withColumns({k: F.col(k).cast(kind) for k, kind in rows.dtypes if k in KEYS})
 

@@ -1,5 +1,7 @@
 """Every registered query against its SQL, exactly, and the driver's contract."""
 
+import time
+
 import pytest
 
 import __spark_entry__ as registered
@@ -37,3 +39,42 @@ def test_files_read_back_have_a_bounded_number_of_rows(spark, db, tmp_path, monk
     stored = spark.read.options(header=True).schema("l_orderkey long").format(fmt).load(path)
     counts = [r["count"] for r in stored.groupBy("_metadata.file_name").count().collect()]
     assert sum(counts) == 6000 and max(counts) <= 1000
+
+
+@pytest.fixture
+def sorted_for_files(spark, tmp_path, monkeypatch):
+    """Round trips in many small files in the test's folder; returns the tables that are sorted for them."""
+    tables, frame = [], type(spark.range(0))
+    deal = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: tables.append(self) or deal(self, *a))
+    monkeypatch.setattr(catalog, "ROWS_PER_FILE", 500)
+    monkeypatch.setattr(catalog, "_scratch", lambda spark: f"file://{tmp_path}/rows")
+    return tables
+
+
+@pytest.mark.parametrize("name", ["read_json_order"])
+def test_files_take_little_disk(spark, tmp_path, sorted_for_files, name):
+    """A line item takes about 480 bytes of plain JSON and 150 of CSV."""
+    registered.queries()[name](spark, FOLDER)
+    assert sum(p.stat().st_size for p in (tmp_path / "rows").rglob("part-*")) < 100 * 6000
+
+
+@pytest.mark.parametrize("name", ["read_json_order"])
+def test_shuffles_for_files_take_little_disk(spark, tmp_path, sorted_for_files, name):
+    """Few columns are sorted, not all rows at once, and the files of these shuffles go when the rows are written."""
+    jvm = spark.sparkContext._jvm
+
+    def shuffled():
+        files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(files) if f.getName().startswith("shuffle_")}
+
+    before = shuffled()
+    registered.queries()[name](spark, FOLDER)
+    for _ in range(20):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert all(len(t.columns) <= 12 for t in sorted_for_files)
+    counts = [t.count() for t in sorted_for_files]
+    assert sum(counts) == 6000 and max(counts) <= 4000
