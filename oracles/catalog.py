@@ -131,15 +131,15 @@ def _shuffles_removed(spark: SparkSession):
 def _read_back(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
     """The applications, written to several files in their order and read by the reader."""
     path = _scratch(spark)
-    # The files' footers have the number of line items; that of applications would take the joins once more.
     items = trade.line_items(spark, folder)
-    slices = _slices(items, min(max(math.ceil(items.count() / ROWS_PER_FILE) // FEWEST_FILES, 1), MOST_SLICES))
     # Without a mark for what is missing, CSV would not tell it from empty text.
     options = {"nullValue": "NA"} if fmt == "csv" else {}
     # Plain text takes many times the disk of the tables. A compressed file is not split, but its rows are bounded.
     packed = {"compression": "gzip"} if fmt == "json" else {}
     with _shuffles_removed(spark):
-        for number, part in enumerate(slices):
+        # The files' footers have the number of line items; that of applications would take the joins once more.
+        wanted = math.ceil(items.count() / ROWS_PER_FILE)
+        for number, part in enumerate(_slices(items, min(max(wanted // FEWEST_FILES, 1), MOST_SLICES))):
             wanted = math.ceil(items.filter(part).count() / ROWS_PER_FILE)
             files = min(max(wanted, FEWEST_FILES), MOST_FILES)
             # Sorted before the columns of applications are made, which take twice the disk in a shuffle.
