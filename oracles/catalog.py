@@ -135,7 +135,7 @@ def _read_back(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
     # Without a mark for what is missing, CSV would not tell it from empty text.
     options = {"nullValue": "NA"} if fmt == "csv" else {}
     # Plain text takes many times the disk of the tables. A compressed file is not split, but its rows are bounded.
-    packed = {"compression": "gzip"} if fmt == "json" else {}
+    packed = {} if fmt == "parquet" else {"compression": "gzip"}
     with _shuffles_removed(spark):
         # The files' footers have the number of line items; that of applications would take the joins once more.
         wanted = math.ceil(items.count() / ROWS_PER_FILE)
