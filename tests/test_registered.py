@@ -52,14 +52,14 @@ def sorted_for_files(spark, tmp_path, monkeypatch):
     return tables
 
 
-@pytest.mark.parametrize("name", ["read_json_order", "read_json", "read_csv_order"])
+@pytest.mark.parametrize("name", ["read_json_order", "read_json", "read_csv_order", "read_csv"])
 def test_files_take_little_disk(spark, tmp_path, sorted_for_files, name):
     """A line item takes about 480 bytes of plain JSON and 150 of CSV."""
     registered.queries()[name](spark, FOLDER)
     assert sum(p.stat().st_size for p in (tmp_path / "rows").rglob("part-*")) < 100 * 6000
 
 
-@pytest.mark.parametrize("name", ["read_json_order", "read_json", "read_csv_order"])
+@pytest.mark.parametrize("name", ["read_json_order", "read_json", "read_csv_order", "read_csv"])
 def test_shuffles_for_files_take_little_disk(spark, tmp_path, sorted_for_files, name):
     """Few columns are sorted, not all rows at once, and the files of these shuffles go when the rows are written."""
     jvm = spark.sparkContext._jvm
